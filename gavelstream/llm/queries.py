@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import exact_dedup, mixing
+from gavelstream.llm import exact_dedup, mixing, simhash
 from gavelstream.llm.common import table
 
 
@@ -19,9 +19,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
