@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import exact_dedup, mixing, simhash
+from gavelstream.llm import bpe, exact_dedup, mixing, simhash
 from gavelstream.llm.common import table
 
 
@@ -14,6 +15,17 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("body", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True)
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
@@ -26,6 +38,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_source_mixing": op5_source_mixing,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
