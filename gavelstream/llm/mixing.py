@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 
     in_pack = Window.partitionBy("rank", "pack").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = keyed.where("size > 0").withColumn("start", F.sum("size").over(in_pack) - F.col("size"))
-    placed = placed.join(packs.select("rank", "pack", "base"), ["rank", "pack"])
+    placed = placed.join(packs.select("rank", "pack", "base").hint("merge"), ["rank", "pack"])
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     pieces = placed.select("rank", "pack", "start", "doc_id", "source", "size", "source_size", "target", "base", F.explode(F.sequence(first, last)).alias("local"))
     end = F.least(F.col("start") + F.col("size"), (F.col("local") + 1) * block_words)
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     pieces = pieces.withColumn("words", words).withColumn("block", F.col("base") + F.col("local"))
 
     draws = slots.groupBy("rank", "block").agg(F.count("*").alias("draws"))
-    met = pieces.join(draws, ["rank", "block"], "left")
+    met = pieces.join(draws.hint("merge"), ["rank", "block"], "left")
     taken = met.groupBy("rank", "pack", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("draws", F.lit(0))).alias("taken"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     empty = keyed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -147,11 +147,13 @@ def _drawn_slots(shares: DataFrame, shard_slots: int, seed: int, cells: int = 10
     slots = slots.withColumn("point", F.pmod(F.xxhash64(F.lit(seed), "slot"), F.col("n_slots")))
     cell = F.floor(F.col("point").cast("double") * cells / F.col("n_slots")).cast("long")
 
-    # a source's interval of points is found by an equi-join on the cells it touches
+    # a source's interval of points is found by an equi-join on the cells it touches; the joins from here on are
+    # told to merge, as the planner sizes exploded slots by the one row that they come from
     owners = shares.where("wanted > 0").withColumn("high", F.col("low") + F.col("wanted"))
     touched = F.sequence(F.floor(F.col("low").cast("double") * cells / F.col("n_slots")).cast("long"), F.floor((F.col("high") - 1).cast("double") * cells / F.col("n_slots")).cast("long"))
     owners = owners.select("rank", "source", "n_blocks", "wanted", "low", "high", F.explode(touched).alias("cell"))
-    drawn = slots.withColumn("cell", cell).join(owners, "cell").where("point >= low and point < high")
+    few = shares.count() < 50_000  # then the owners of cells are under 50,000 + cells short rows
+    drawn = slots.withColumn("cell", cell).join(F.broadcast(owners) if few else owners.hint("merge"), "cell").where("point >= low and point < high")
     drawn = drawn.select("shard", "slot", "rank", "source", "n_blocks", "wanted")
 
     per_shard = drawn.groupBy("rank", "shard").agg(F.count("*").alias("n"))
@@ -159,7 +161,7 @@ def _drawn_slots(shares: DataFrame, shard_slots: int, seed: int, cells: int = 10
     per_shard = stash(per_shard.select("rank", "shard", "n", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("before")), "mix-shards")
     in_shard = Window.partitionBy("rank", "shard").orderBy("slot")
     turned = drawn.withColumn("turn", F.row_number().over(in_shard) - 1)
-    turned = turned.join(per_shard.select("rank", "shard", "before"), ["rank", "shard"]).withColumn("turn", F.col("turn") + F.col("before"))
+    turned = turned.join(per_shard.select("rank", "shard", "before").hint("merge"), ["rank", "shard"]).withColumn("turn", F.col("turn") + F.col("before"))
 
     got = shares.join(per_shard.groupBy("rank").agg(F.sum("n").alias("got")), "rank", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     in_order = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -170,7 +172,7 @@ def _drawn_slots(shares: DataFrame, shard_slots: int, seed: int, cells: int = 10
     )
     short = got.where("got < wanted").select("rank", "source", "n_blocks", "got", "short_before", F.explode(F.expr("sequence(got, wanted - 1)")).alias("turn"))
     short = short.select("rank", "source", "n_blocks", "turn", (F.col("short_before") + F.col("turn") - F.col("got")).alias("hand"))
-    over = turned.where("turn >= wanted").join(got.select("rank", "over_before"), "rank")
+    over = turned.where("turn >= wanted").join(got.select("rank", "over_before").hint("merge"), "rank")
     over = over.select("shard", "slot", (F.col("over_before") + F.col("turn") - F.col("wanted")).alias("hand"))
     columns = ["shard", "slot", "rank", "source", "n_blocks", "turn"]
-    return turned.where("turn < wanted").select(columns).unionByName(over.join(short, "hand").select(columns))
+    return turned.where("turn < wanted").select(columns).unionByName(over.join(short.hint("merge"), "hand").select(columns))
