@@ -99,7 +99,7 @@ def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, max_words: int = 5000, prior: float = 100.0, least_z: float = 7.0, cost: float = 0.2) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, max_words: int = 5000, prior: float = 100.0, least_z: float = 6.0, cost: float = 0.2) -> Model:
     """Fit the model on at most max_rows labelled rows that are not held out.
 
     A word's odds come from the documents that hold it, with a Dirichlet prior
