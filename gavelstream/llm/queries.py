@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import bpe, exact_dedup, fingerprint, mixing, secrets, simhash, substring_dedup, toxicity
+from gavelstream.llm import bpe, exact_dedup, fingerprint, mixing, pii, secrets, simhash, substring_dedup, toxicity
 from gavelstream.llm.common import table
 
 
@@ -37,6 +37,18 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _count_base(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: (s["kind"] == kind) & ~s["learned"])).cast("long").alias(f"n_{kind}")
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s["learned"])
+    counts = [_count_base(k) for k in pii.KINDS]
+    learned = F.size(F.filter("spans", lambda s: s["learned"])).alias("n_learned")
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), learned)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -80,6 +92,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secrets": op3_secrets,
+    "op4_personal_data": op4_personal_data,
     "op5_source_mixing": op5_source_mixing,
     "op6_multiset_fingerprint": op6_multiset_fingerprint,
     "op7_byte_bpe": op7_byte_bpe,
