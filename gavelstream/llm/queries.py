@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstream.llm import bpe, exact_dedup, fingerprint, mixing, pii, secrets, simhash, substring_dedup, toxicity
+from gavelstream.llm import bpe, exact_dedup, fingerprint, html_text, mixing, pii, secrets, simhash, substring_dedup, toxicity
 from gavelstream.llm.common import table
 
 
@@ -88,6 +88,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -98,6 +103,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {
