@@ -7,6 +7,8 @@ its block indices, one permutation per epoch; slots meet blocks by index.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +78,24 @@ def permuted(index: Column, size: Column, key: Column, rounds: int = 4, walks: i
     return F.when(walked < size, walked).otherwise(index)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, block_words: int = 64, shard_slots: int = 65536, pack_docs: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """Draw a mixture; returns (slots, documents).
+@dataclass(frozen=True)
+class Mixture:
+    """A drawn mixture.
 
     slots: shard, slot, source, epoch, block: the mixture in output order.
     documents: one row per row of docs: doc_id, source, size, source_size,
     target, taken (the words that the mixture takes of it, repeats counted).
+    pieces: doc_id, size, offset, words, draws: the part of each document in
+    each of its blocks, and how often the mixture takes it.
+    """
+
+    slots: DataFrame
+    documents: DataFrame
+    pieces: DataFrame
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, block_words: int = 64, shard_slots: int = 65536, pack_docs: int = 4096, seed: int = 17) -> Mixture:
+    """Draw a mixture of docs (doc_id, text, source).
 
     Every slot draws its source independently, so a shard's counts are
     multinomial. The total per source is then made exact: slots drawn beyond a
@@ -131,11 +145,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     pieces = pieces.withColumn("words", words).withColumn("block", F.col("base") + F.col("local"))
 
     draws = slots.groupBy("rank", "block").agg(F.count("*").alias("draws"))
-    met = pieces.join(draws.hint("merge"), ["rank", "block"], "left")
-    taken = met.groupBy("rank", "pack", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("draws", F.lit(0))).alias("taken"))
+    met = pieces.join(draws.hint("merge"), ["rank", "block"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
+    taken = met.groupBy("rank", "pack", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("draws")).alias("taken"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     empty = keyed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return slots.select("shard", "slot", "source", "epoch", "block"), taken.select(columns).unionByName(empty.select(columns))
+    offset = F.greatest(F.col("local") * block_words - F.col("start"), F.lit(0))
+    return Mixture(
+        slots.select("shard", "slot", "source", "epoch", "block"),
+        taken.select(columns).unionByName(empty.select(columns)),
+        met.select("doc_id", "size", offset.alias("offset"), "words", "draws"),
+    )
+
+
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """The mixture as documents, with the columns of docs.
+
+    A document gives a row for each time that any of its pieces is taken: the
+    first with the pieces taken at least once, the second with those taken twice
+    or more, and so on; text joins their words by one space and n_chars, if
+    there, counts its characters. What the mixture does not take, and documents
+    without words, give none. Rows that repeat a doc_id and a size share their
+    pieces, so ids should be unique.
+    """
+    pieces = mix(docs, **parameters).pieces.where("draws > 0")
+    taken = pieces.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "draws"))).alias("_pieces"), F.max("draws").alias("_most"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_pieces", "_most")
+    keys = docs["doc_id"].eqNullSafe(taken["_id"]) & (word_count() == taken["_size"])
+    joined = docs.join(taken.hint("merge"), keys).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
+    words = F.split(F.trim(F.regexp_replace("text", WHITE + "+", " ")), " ", -1)
+    joined = joined.withColumn("_words", words)
+    chosen = F.filter("_pieces", lambda p: p["draws"] >= F.col("_turn"))
+    parts = F.transform(chosen, lambda p: F.array_join(F.slice("_words", (p["offset"] + 1).cast("int"), p["words"].cast("int")), " "))
+    mixed = joined.withColumn("text", F.array_join(parts, " "))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(docs.columns)
 
 
 def _drawn_slots(shares: DataFrame, shard_slots: int, seed: int, cells: int = 1024) -> DataFrame:

@@ -50,8 +50,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, documents = mixing.mix(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    mixture = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixture.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
