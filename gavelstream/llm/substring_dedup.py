@@ -1,15 +1,20 @@
 """Duplicate passages by relative Lempel-Ziv parsing against the earlier documents.
 
-The reference is every document; its index is a table of word windows, and a
-shuffle partition of that table is a reference block. A document is factored
-against every block at once: its windows are looked up by equi-join, and the
-greedy factors are the longest runs of hits in one earlier document. Where a
-factor ends, the windows across the boundary have been looked up on their own,
-so a passage that goes on in another document is not lost.
+The reference is every document; its index is a table of word windows, dealt by
+hash into reference blocks. Documents are factored against every block at once:
+their windows are looked up, and the greedy factors are the longest runs of hits
+in one earlier document. Where a factor ends, the windows across the boundary
+have been looked up on their own, so a passage that goes on in another document
+is not lost.
 
 Only windows that can repeat are indexed: each window has one anchor, its least
 hashed five-word seed, so equal windows have equal anchors, and an anchor that
 one document alone holds leads to no duplicate.
+
+Documents travel in batches of about half a megabyte. A batch asks each index block
+about its distinct hashes in one packed row, and gets one packed row back, so a
+passage that a third of all documents hold costs a number per batch, not per
+document.
 """
 
 from __future__ import annotations
@@ -19,13 +24,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelstream.llm.common import small_batches, text_or_empty
 
-#: Bytes of text hashed at once.
-BLOCK_BYTES = 1 << 17
+#: Bytes of text hashed at once, and in a batch.
+BLOCK_BYTES, BATCH_BYTES = 1 << 17, 1 << 19
 SEED_WORDS = 5
 
 _RANDOM = np.random.default_rng(4711)
@@ -99,55 +105,207 @@ class Windows:
         return _mix(total)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about BLOCK_BYTES of text."""
+def _zip(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, each by byte plane, which compresses better than whole ones."""
+    out = [np.uint64(len(arrays)).tobytes()]
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        out += [np.uint64(len(x)).tobytes(), x.dtype.str.encode().ljust(8), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def _unzip(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 8, []
+    for _ in range(int(np.frombuffer(raw, np.uint64, 1)[0])):
+        n, kind = int(np.frombuffer(raw, np.uint64, 1, at)[0]), np.dtype(raw[at + 8 : at + 16].decode().strip())
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 16).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += 16 + n * kind.itemsize
+    return out
+
+
+def _delta(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers; np.cumsum takes them back."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(batch, ids, texts): rows in order, about BATCH_BYTES at a time.
+
+    The number follows from the scan's partition and the rows before, so every
+    pass over the same files numbers them alike.
+    """
+    ids, texts, held, made, at = [], [], 0, 0, 0
     for batch in batches:
-        texts, start, held = batch.column("text").cast(pa.binary()).to_pylist(), 0, 0
-        for k, text in enumerate(texts):
+        at = batch.column("at")[0].as_py() if batch.num_rows else at
+        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            ids.append(i)
+            texts.append(text)
             held += len(text)
-            if held >= BLOCK_BYTES or k == len(texts) - 1:
-                yield batch.slice(start, k + 1 - start), texts[start : k + 1]
-                start, held = k + 1, 0
+            if held >= BATCH_BYTES:
+                yield (at << 32) + made, np.array(ids), texts
+                ids, texts, held, made = [], [], 0, made + 1
+    if ids:
+        yield (at << 32) + made, np.array(ids), texts
+
+
+def _slices(texts: list[bytes], size: int) -> Iterator[tuple[int, Windows]]:
+    """Windows of a batch's texts, about BLOCK_BYTES at a time, with the number of texts before."""
+    start, held = 0, 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= BLOCK_BYTES or k == len(texts) - 1:
+            yield start, Windows(texts[start : k + 1], size)
+            start, held = k + 1, 0
 
 
-def _anchors(size: int):
+def _asked(number: int, n_blocks: int, hashes: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """A batch's rows to the index blocks: its hashes in rising order, with what goes with each."""
+    block = (hashes >> np.uint64(33)) % np.uint64(n_blocks)
+    order = np.lexsort((hashes, block))
+    block, hashes, more = block[order], hashes[order], [x[order] for x in more]
+    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(block)).astype(np.int64)
+    packed = [_zip(_delta(hashes[s:e]), *[x[s:e] for x in more]) for s, e in zip(starts, ends)]
+    return _rows(block[starts].astype(np.int32), [number] * len(packed), packed)
+
+
+def _rows(blocks, batches, packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(batches, pa.int64()), pa.array(packed, pa.binary())], ["block", "batch", "packed"])
+
+
+_ROWS = "block int, batch long, packed binary"
+
+
+def _ask_anchors(size: int, n_blocks: int):
+    """Each batch's distinct anchors, and whether two of its documents hold one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _blocks(batches):
-            w = Windows(texts, size)
-            at, first = np.unique(w.anchor_at, return_index=True)
-            owner, anchor = w.owner[first], w.anchors[first]
-            order = np.lexsort((owner, anchor))
-            owner, anchor = owner[order], anchor[order]
-            new = np.ones(len(owner), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1])
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids, pa.int64())], ["anchor", "doc_id"])
+        for number, ids, texts in _batched(batches):
+            anchors, owners = [], []
+            for before, w in _slices(texts, size):
+                at, first = np.unique(w.anchor_at, return_index=True)
+                anchors.append(w.anchors[first])
+                owners.append(ids[w.owner[first] + before])
+            anchor, least, most = _extremes(np.concatenate(anchors), np.concatenate(owners))
+            yield _asked(number, n_blocks, anchor, (least != most).astype(np.uint8))
 
     return run
 
 
-def _candidates(size: int):
-    """The windows whose anchor is among the document's repeated ones."""
+def _extremes(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, and the least and greatest id of each."""
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hashes)) - 1 if len(first) else first
+    return hashes[first], ids[first], ids[last]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], answer) -> Iterator[pa.RecordBatch]:
+    """answer(batch numbers, packed rows) for each index block; a block's rows follow each other."""
+    last, numbers, packed = None, [], []
+    for batch in batches:
+        for block, number, data in zip(*(batch.column(c).to_pylist() for c in ("block", "batch", "packed"))):
+            if block != last and numbers:
+                yield from answer(last, numbers, packed)
+                numbers, packed = [], []
+            last = block
+            numbers.append(number)
+            packed.append(data)
+    if numbers:
+        yield from answer(last, numbers, packed)
+
+
+def _answered(block: int, numbers: list[int], sizes: list[int], chosen: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The chosen entries of each batch's row, sent back to it."""
+    ends = np.cumsum(sizes)
+    blocks, to, packed = [], [], []
+    for number, s, e in zip(numbers, ends - sizes, ends):
+        own = chosen[s:e]
+        if own.any():
+            hashes, *more = (x[s:e][own] for x in columns)
+            blocks.append(block)
+            to.append(number)
+            packed.append(_zip(_delta(hashes), *more))
+    if packed:
+        yield _rows(blocks, to, packed)
+
+
+def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors that two documents hold, in one batch or in two."""
+
+    def answer(block: int, numbers: list[int], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [_unzip(p) for p in packed]
+        hashes, shared = (np.concatenate(x) for x in zip(*[(np.cumsum(h, dtype=np.uint64), f) for h, f in parts]))
+        _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        repeated = (counts > 1) | (np.bincount(inverse, shared, len(counts)) > 0)
+        yield from _answered(block, numbers, [len(h) for h, _ in parts], repeated[inverse], [hashes])
+
+    yield from _by_block(batches, answer)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, ids, texts in _batched(batches):
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_zip(ids.astype(np.int64), lengths)], pa.binary()), pa.array([body], pa.binary())], ["batch", "index", "body"])
+
+
+def _unpacked(index: bytes, body: bytes) -> tuple[np.ndarray, list[bytes]]:
+    ids, lengths = _unzip(index)
+    raw, ends = zstandard.ZstdDecompressor().decompress(body, max_output_size=int(lengths.sum()) + 1), np.cumsum(lengths)
+    return ids, [raw[s:e] for s, e in zip((ends - lengths).tolist(), ends.tolist())]
+
+
+def _ask_windows(size: int, n_blocks: int):
+    """Each batch's distinct windows over repeated anchors, with the least and greatest of its documents that hold one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _blocks(batches):
-            w = Windows(texts, size)
-            lists = batch.column("anchors")
-            counts = np.diff(lists.offsets.to_numpy())
-            wanted = lists.flatten().to_numpy().view(np.uint64) ^ _mix(np.repeat(np.arange(len(texts)), counts).astype(np.uint64))
-            chosen = np.flatnonzero(np.isin(w.anchors ^ _mix(w.owner.astype(np.uint64)), wanted))
-            owner = w.owner[chosen]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner]
-            position = (w.at[chosen] - w.first[owner]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(w.hashes(chosen).view(np.int64)), pa.array(ids, pa.int64()), pa.array(position)], ["window", "doc_id", "position"])
+        for batch in batches:
+            for number, index, body, answers in zip(*(batch.column(c).to_pylist() for c in ("batch", "index", "body", "answers"))):
+                ids, texts = _unpacked(index, body)
+                wanted = np.sort(np.concatenate([np.cumsum(_unzip(a)[0], dtype=np.uint64) for a in answers]))
+                hashes, owners = [], []
+                for before, w in _slices(texts, size):
+                    chosen = np.flatnonzero(_among(w.anchors, wanted))
+                    hashes.append(w.hashes(chosen))
+                    owners.append(ids[w.owner[chosen] + before])
+                window, least, most = _extremes(np.concatenate(hashes), np.concatenate(owners))
+                yield _asked(number, n_blocks, window, least, (least != most).astype(np.uint8))
 
     return run
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that a smaller doc_id than some of the batch's holds, with the smallest."""
+
+    def answer(block: int, numbers: list[int], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [_unzip(p) for p in packed]
+        hashes, least, shared = (np.concatenate(x) for x in zip(*[(np.cumsum(h, dtype=np.uint64), i, f) for h, i, f in parts]))
+        order = np.argsort(hashes, kind="stable")
+        new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.empty(0, bool)
+        smallest = np.minimum.reduceat(least[order], np.flatnonzero(new)) if len(order) else least
+        source = np.empty_like(least)
+        source[order] = smallest[np.cumsum(new) - 1]
+        hit = (source < least) | (shared > 0)
+        yield from _answered(block, numbers, [len(h) for h, *_ in parts], hit, [hashes, source])
+
+    yield from _by_block(batches, answer)
+
+
 def factors(positions: np.ndarray, sources: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, source) in words: longest runs of hits in one source."""
-    order = np.argsort(positions, kind="stable")
-    positions, sources = positions[order], sources[order]
+    """Greedy factors (start, length, source) in words, from hits in rising order: longest runs in one source."""
+    if not len(positions):
+        return []
     new = np.ones(len(positions), bool)
     new[1:] = (np.diff(positions) != 1) | (sources[1:] != sources[:-1])
     starts = np.flatnonzero(new)
@@ -155,33 +313,60 @@ def factors(positions: np.ndarray, sources: np.ndarray, size: int) -> list[tuple
     return [(int(positions[s]), int(n) + size - 1, int(sources[s])) for s, n in zip(starts, counts)]
 
 
+_FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())]))
+_CUT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,length:int,source:long>>"
+
+
+def _cut_rows(ids, texts: list[bytes], parses: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+    counts, removed, kept = [], [], []
+    for text, parse in zip(texts, parses):
+        words = text.split()
+        counts.append(len(words))
+        if parse:
+            stay = bytearray(b"\1" * len(words))
+            for start, length, _ in parse:
+                stay[start : start + length] = bytes(length)
+            words = [w for w, s in zip(words, stay) if s]
+        removed.append(counts[-1] - len(words))
+        kept.append(b" ".join(words))
+    found = [[{"start": s, "length": n, "source": d} for s, n, d in parse] for parse in parses]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(found, _FACTORS)],
+        ["doc_id", "n_words", "n_removed", "kept", "factors"],
+    )
+
+
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, kept, found = [], [], [], []
-            hits = batch.column("hits").to_pylist()
-            for text, hit in zip(batch.column("text").cast(pa.binary()).to_pylist(), hits):
-                words = text.split()
-                counts.append(len(words))
-                parse = factors(np.array([h["position"] for h in hit]), np.array([h["source"] for h in hit]), size) if hit else []
-                if parse:
-                    stay = bytearray(b"\1" * len(words))
-                    for start, length, _ in parse:
-                        stay[start : start + length] = bytes(length)
-                    words = [w for w, s in zip(words, stay) if s]
-                removed.append(counts[-1] - len(words))
-                kept.append(b" ".join(words))
-                found.append([{"start": s, "length": n, "source": d} for s, n, d in parse])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(found, kind)],
-                ["doc_id", "n_words", "n_removed", "kept", "factors"],
-            )
+            for index, body, answers in zip(*(batch.column(c).to_pylist() for c in ("index", "body", "answers"))):
+                ids, texts = _unpacked(index, body)
+                parses: list = [[] for _ in texts]
+                if answers:
+                    known, sources = (np.concatenate(x) for x in zip(*[(np.cumsum(h, dtype=np.uint64), s) for h, s in map(_unzip, answers)]))
+                    order = np.argsort(known)
+                    known, sources = known[order], sources[order]
+                    for before, w in _slices(texts, size):
+                        hashes = w.hashes(np.arange(len(w.at)))
+                        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                        hit = np.flatnonzero((known[place] == hashes) & (sources[place] < ids[w.owner + before]))
+                        owner, source = w.owner[hit], sources[place[hit]]
+                        position = w.at[hit] - w.first[owner]
+                        bounds = np.searchsorted(owner, np.arange(len(w.first) + 1))
+                        for k in np.unique(owner).tolist():
+                            own = slice(bounds[k], bounds[k + 1])
+                            parses[before + k] = factors(position[own], source[own], size)
+                yield _cut_rows(ids, texts, parses)
 
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, window_words: int = 13) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _cut_rows(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), [[]] * batch.num_rows)
+
+
+def remove_repeated_passages(docs: DataFrame, window_words: int = 13, n_blocks: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept, factors for each row of docs.
 
     Words are runs of what is not white space. Every word that a window of
@@ -193,29 +378,30 @@ def remove_repeated_passages(docs: DataFrame, window_words: int = 13) -> DataFra
 
     Null and empty texts have no words. A row with a null doc_id is kept whole
     and takes nothing from others, as it is neither earlier nor later. Rows that
-    repeat a doc_id don't remove each other's words, but share their removed
-    positions, so ids should be unique. Extra columns are ignored; an empty
-    table gives an empty one. Windows are compared by 64-bit hashes: among n
-    repeated windows the chance of a wrong match anywhere is about n**2 / 2**65.
-
-    A passage shared by many documents is counted before the shuffle; the
-    joins back are equi-joins, which Spark splits when skewed.
+    repeat a doc_id don't remove each other's words. Extra columns are ignored;
+    an empty table gives an empty one. Windows are compared by 64-bit hashes:
+    among n repeated windows the chance of a wrong match anywhere is about
+    n**2 / 2**65.
+
+    docs is read three times and must give the same rows in the same order each
+    time, as files do; write a computed DataFrame first. n_blocks is the number
+    of index blocks, unset that of shuffle partitions; it should grow with the
+    input, as a task holds a block's hashes.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark, size="8m")
+    n_blocks = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    named = texts.where("doc_id is not null")
-
-    anchors = named.mapInArrow(_anchors(window_words), "anchor long, doc_id long")
-    repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    of_doc = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-
-    # the texts cross the shuffle once; Spark reuses that exchange below
-    found = named.join(of_doc.hint("merge"), "doc_id").mapInArrow(_candidates(window_words), "window long, doc_id long, position int")
-    first = found.groupBy("window").agg(F.min("doc_id").alias("source"))
-    hits = found.join(first, "window").where("source < doc_id")
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("position", "source")).alias("hits"))
-
-    schema = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,length:int,source:long>>"
-    cut = named.join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_cut(window_words), schema)
-    unnamed = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<position:int,source:long>>").alias("hits"))
-    return cut.unionByName(unnamed.mapInArrow(_cut(window_words), schema))
+    named = texts.where("doc_id is not null").withColumn("at", F.spark_partition_id())
+
+    def through_index(asked: DataFrame, answer) -> DataFrame:
+        dealt = asked.repartition(n_blocks, "block").sortWithinPartitions("block")
+        return dealt.mapInArrow(answer, _ROWS).groupBy("batch").agg(F.collect_list("packed").alias("answers"))
+
+    repeated = through_index(named.mapInArrow(_ask_anchors(window_words, n_blocks), _ROWS), _answer_anchors)
+    # the texts cross the shuffle once, compressed; Spark reuses that exchange for the second join
+    packed = named.mapInArrow(_pack_texts, "batch long, index binary, body binary")
+    asked = packed.join(repeated.hint("merge"), "batch").select("batch", "index", "body", "answers").mapInArrow(_ask_windows(window_words, n_blocks), _ROWS)
+    hits = through_index(asked, _answer_windows)
+    cut = packed.join(hits.hint("merge"), "batch", "left").select("batch", "index", "body", "answers").mapInArrow(_cut(window_words), _CUT)
+    return cut.unionByName(texts.where("doc_id is null").mapInArrow(_whole, _CUT))
