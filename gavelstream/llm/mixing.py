@@ -173,10 +173,13 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     keys = docs["doc_id"].eqNullSafe(taken["_id"]) & (word_count() == taken["_size"])
     joined = docs.join(taken.hint("merge"), keys).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
     words = F.split(F.trim(F.regexp_replace("text", WHITE + "+", " ")), " ", -1)
-    joined = joined.withColumn("_words", words)
     chosen = F.filter("_pieces", lambda p: p["draws"] >= F.col("_turn"))
-    parts = F.transform(chosen, lambda p: F.array_join(F.slice("_words", (p["offset"] + 1).cast("int"), p["words"].cast("int")), " "))
-    mixed = joined.withColumn("text", F.array_join(parts, " "))
+
+    def cut(w: Column) -> Column:
+        return F.array_join(F.transform(chosen, lambda p: F.array_join(F.slice(w, (p["offset"] + 1).cast("int"), p["words"].cast("int")), " ")), " ")
+
+    # the words are bound by transform, or the planner would put their split into the lambda and run it for each piece
+    mixed = joined.withColumn("text", F.element_at(F.transform(F.array(words), cut), 1))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(docs.columns)

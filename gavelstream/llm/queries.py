@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def _joined(spans: Column) -> Column:
@@ -107,6 +107,24 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS body
+            FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM d)
+        ), firsts AS (
+            SELECT body, min(doc_id) AS first_id FROM windows GROUP BY body
+        ), covered AS (
+            SELECT DISTINCT doc_id, i + j AS place FROM windows JOIN firsts USING (body), range(13) r(j) WHERE first_id < doc_id
+        ), placed AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS body, count(*) AS n FROM placed ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
