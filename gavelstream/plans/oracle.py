@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
         ), kept AS (
             SELECT *, bool_or(running) OVER (PARTITION BY id, part ORDER BY bid_dateTime, price, bidder ROWS UNBOUNDED PRECEDING) AS opened FROM parts
         )
-        SELECT min(bid_dateTime) AS ws, max(bid_dateTime) AS we, [max({{'price': price, 'id': id, 'itemName': itemName, 'seller': seller}})] AS wb
+        SELECT min(bid_dateTime) AS ws, max(bid_dateTime) AS we, max(price) AS price, id, any_value(itemName) AS itemName, any_value(seller) AS seller
         FROM kept WHERE opened GROUP BY id, part""",
     "q10": f"{_MARKET} SELECT auction, bidder, price, date_time, extra, {_DAY} AS dt, strftime(date_time, '%H:%M') AS hm FROM bid",
     "q11": f"{_MARKET} {_session('bidder', 'date_time', '10 seconds', 'bid', 'bid_count')}",

@@ -17,7 +17,8 @@ from gavelstream.sources.auction_tables import Market
 RANK_BOUNDS = (10_000, 1_000_000)
 
 
-def _ranks() -> dict:
+def price_ranks() -> dict:
+    """The ranks' names and conditions."""
     low, high = RANK_BOUNDS
     price = F.col("price")
     return {"rank1": price < low, "rank2": (price >= low) & (price < high), "rank3": price >= high}
@@ -83,13 +84,13 @@ def q9_session(market: Market, longest_seconds: int = 7200) -> DataFrame:
 def q15(market: Market) -> DataFrame:
     """Bids, bidders and auctions per day, in all and by price rank."""
     keyed = market.bid.withColumn("day", day(F.col("date_time")))
-    return ranked_counts(keyed, ["day"], {"bidders": "bidder", "auctions": "auction"}, _ranks(), "bids")
+    return ranked_counts(keyed, ["day"], {"bidders": "bidder", "auctions": "auction"}, price_ranks(), "bids")
 
 
 def q16(market: Market) -> DataFrame:
     """As q15 per channel and day, with the last minute of a bid."""
     keyed = market.bid.withColumn("day", day(F.col("date_time")))
-    return ranked_counts(keyed, ["channel", "day"], {"bidders": "bidder", "auctions": "auction"}, _ranks(), "bids", {"minute": minute(F.col("date_time"))})
+    return ranked_counts(keyed, ["channel", "day"], {"bidders": "bidder", "auctions": "auction"}, price_ranks(), "bids", {"minute": minute(F.col("date_time"))})
 
 
 def q17(market: Market) -> DataFrame:
@@ -98,7 +99,7 @@ def q17(market: Market) -> DataFrame:
     price = F.col("price")
     return keyed.groupBy("auction", "day").agg(
         F.count("*").alias("total_bids"),
-        *[count_when(c).alias(f"{r}_bids") for r, c in _ranks().items()],
+        *[count_when(c).alias(f"{r}_bids") for r, c in price_ranks().items()],
         F.min(price).alias("min_price"),
         F.max(price).alias("max_price"),
         F.expr("sum(price) div count(price)").alias("avg_price"),
