@@ -37,10 +37,10 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 256, hash_all: bool =
     rows = docs.select("doc_id", normalised().alias("body"))
     signed = rows.select("doc_id", "body", F.length("body").alias("len"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head"))
 
-    heads = stash(signed.select("len", "head"), "dedup-heads")
-    lengths = heads.groupBy("len").count().where("count > 1").select("len")
-    pairs = heads.join(lengths, "len", "left_semi").groupBy("len", "head").count().where("count > 1")
-    pairs = pairs.select("len", "head", F.lit(True).alias("open"))
+    # counted per pair first, so that a hot length or pair is a few partial counts from each task
+    heads = stash(signed.groupBy("len", "head").agg(F.count("*").alias("n")), "dedup-heads")
+    lengths = heads.groupBy("len").agg(F.sum("n").alias("rows")).where("rows > 1").select("len")
+    pairs = heads.where("n > 1").join(lengths, "len", "left_semi").select("len", "head", F.lit(True).alias("open"))
 
     joined = signed.join(pairs, ["len", "head"], "left")
     digest = F.sha2("body", 256)
