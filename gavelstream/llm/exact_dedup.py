@@ -51,7 +51,9 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 256, hash_all: bool =
     )
     hashed = stash(hashed, "dedup-hashes")
 
+    # written, so that the join below has an exchange of its own on each side, which Spark can split
     groups = hashed.where("open").groupBy("full_hash").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stash(groups, "dedup-groups")
     shared = hashed.where("open").join(groups, "full_hash").select("doc_id", "keep_id", "group_size", "full_hash")
     alone = hashed.where("not open").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "full_hash")
     return shared.unionByName(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "full_hash")
