@@ -215,7 +215,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def extract_text(pages: DataFrame, least_pages: int = 5) -> DataFrame:
+def extract_text(pages: DataFrame, least_pages: int = 10) -> DataFrame:
     """page_id, url, text (the main text, empty if none) for each row of pages.
 
     A container element whose subtree stands on pages of least_pages different
