@@ -83,6 +83,12 @@ def read_market(spark: SparkSession, sf_dir: str) -> Market:
     return Market(person(table("customer")), auction(table("orders")), bid(table("lineitem")))
 
 
+def create_views(market: Market) -> None:
+    """The tables as temporary views person, auction and bid, for queries in SQL text."""
+    for name in ("person", "auction", "bid"):
+        getattr(market, name).createOrReplaceTempView(name)
+
+
 def side_input(spark: SparkSession, keys: int = 10000) -> DataFrame:
     """The bounded table that bids are enriched from: key, value."""
     return spark.range(keys).select(F.col("id").alias("key"), F.concat(F.lit("v"), F.col("id")).alias("value"))

@@ -14,7 +14,7 @@ from gavelstream.operators.joins import asof_join, interval_join, not_in
 from gavelstream.operators.ranking import last_row, top_rows
 from gavelstream.operators.windows import hop_counts, hop_counts_by_pane, predicate_sessions, session_counts
 from gavelstream.plans import relational, stateless, windowed
-from gavelstream.sources.auction_tables import Market
+from gavelstream.sources.auction_tables import Market, create_views
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -140,3 +140,9 @@ def test_ranked_counts_against_plain_sql(spark, name):
     market = Market(None, None, bids(spark, [(a, b, p, s) for s, (a, b, p) in enumerate([(1, 1, 1), (1, 2, 20_000), (2, 2, 5), (2, 2, 2_000_000)])]))
     row = getattr(relational, name)(market).first()
     assert (row["total_bids"], row["rank1_bids"], row["total_bidders"], row["rank1_bidders"], row["rank2_auctions"], row["rank3_auctions"]) == (4, 2, 2, 2, 1, 1)
+
+
+def test_sql_text_over_views(spark):
+    create_views(Market(auctions(spark, []), auctions(spark, [(1, 1, 0, 9)]), bids(spark, [(1, 1, 5, 1), (1, 2, 8, 2)])))
+    found = spark.sql("SELECT auction, max(price) AS top FROM bid WHERE price >= :low GROUP BY auction", args={"low": 5}).collect()
+    assert [tuple(r) for r in found] == [(1, 8)]
