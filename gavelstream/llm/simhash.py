@@ -9,7 +9,7 @@ the radius is missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,54 +48,75 @@ def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
         starts, ends = starts[: 1 - shingle_words], ends[shingle_words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for k in range(0, len(starts), BLOCK):
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist())]
+    digest = xxhash.xxh64_intdigest
+    blocks = ((starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist()) for k in range(0, len(starts), BLOCK))
+    return _majority(([digest(joined[s:e], seed) for s, e in zip(*block)] for block in blocks), len(starts))
+
+
+def _majority(blocks: Iterable[list[int]], n: int) -> int:
+    """The bits that are set in over half of n hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for hashes in blocks:
         rows = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    majority = np.packbits(counts * 2 > len(starts), bitorder="little")
-    return int(majority.view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+
 
+def word_set_fingerprint(text: bytes, seed: int = 42) -> int:
+    """The unsigned SimHash of the text's distinct words; an edited word moves it less than the shingles it is in."""
+    words = list(dict.fromkeys(text.lower().split()))
+    return _majority(([xxhash.xxh64_intdigest(w, seed) for w in words[k : k + BLOCK]] for k in range(0, len(words), BLOCK)), len(words))
 
-def simhash(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row; null and empty texts have 0."""
+
+def simhash(docs: DataFrame, shingle_words: int | None = 4) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) for each row; null and empty texts have 0.
+
+    With shingle_words None the fingerprint is that of the distinct words.
+    """
     small_batches(docs.sparkSession)
+    of_text = word_set_fingerprint if shingle_words is None else lambda text: fingerprint(text, shingle_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in texts), np.uint64, len(texts))
+            fps = np.fromiter((of_text(t.as_py()) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links (members, least member) that join whatever of fps is connected within the radius."""
-    rest, members, heads = np.sort(fps), [], []
+def _forest(fps: np.ndarray, radius: int, start: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs (members, the one they were found from), each within the radius, that join whatever of fps is connected.
+
+    start varies the order of the search, and so the pairs.
+    """
+    order = np.argsort((fps ^ start).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rest, members, sources = fps[order], [], []
     while len(rest) > 1:
-        head, rest = rest[0], rest[1:]
-        open_, found = [head], []
+        open_, rest = [rest[0]], rest[1:]
         while open_ and len(rest):
-            near = np.bitwise_count((rest ^ open_.pop()).view(np.uint64)) <= radius
+            at = open_.pop()
+            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= radius
             if near.any():
                 new, rest = rest[near], rest[~near]
                 open_ += list(new)
-                found.append(new)
-        if found:
-            members.append(np.concatenate(found))
-            heads.append(np.full(len(members[-1]), head))
-    return members, heads
+                members.append(new)
+                sources.append(np.full(len(new), at))
+    return members, sources
+
 
+def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limit: int = 20000) -> DataFrame:
+    """a, b: pairs that connect all fingerprints (distinct, column fp) within the radius of each other.
 
-def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 20000) -> DataFrame:
-    """a, b: links that connect all fingerprints (distinct, column fp) within the radius of each other.
+    With a reach beyond the radius, pairs up to that far apart are taken too
+    where they share a bucket, which is not certain.
 
     Buckets are read as runs of a sorted partition. A bucket gives a spanning
     forest of its links, not its pairs. One with more than bucket_limit
     fingerprints is compared in a second step, block against block, each pair
     of blocks in a group of its own, so that no task holds the bucket.
     """
+    reach = radius if reach is None else reach
     tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])).alias("slot", "key")
     buckets = fps.select("fp", tables)
     buckets = buckets.repartition(F.col("slot"), F.col("key")).sortWithinPartitions("slot", "key")
@@ -122,7 +143,7 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 20000) -> DataFra
                     slot, key, fp = slot[n:], key[n:], fp[n:]
                     continue
                 starts, spilling = starts[1:], None
-            yield from joined(fp, starts[:-1], np.diff(starts))
+            yield from joined(slot, fp, starts[:-1], np.diff(starts))
             slot, key, fp = slot[done:], key[done:], fp[done:]
             if len(fp) > bucket_limit:
                 spilling = (slot[0], key[0])
@@ -132,16 +153,16 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 20000) -> DataFra
             if spilling and (slot[0], key[0]) == spilling:
                 yield emit(fp, fp, slot, key)
             else:
-                yield from joined(fp, np.array([0]), np.array([len(fp)]))
+                yield from joined(slot, fp, np.array([0]), np.array([len(fp)]))
 
-    def joined(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def joined(slot: np.ndarray, fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         pairs = starts[sizes == 2]
-        near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= radius
+        near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= reach
         a, b = [fp[pairs][near]], [fp[pairs + 1][near]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            members, heads = _forest(fp[s : s + n], radius)
+            members, sources = _forest(fp[s : s + n], reach, int(slot[s]))
             a += members
-            b += heads
+            b += sources
         if sum(map(len, a)):
             yield emit(np.concatenate(a), np.concatenate(b))
 
@@ -156,8 +177,7 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 20000) -> DataFra
     large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def block_pair(t: pa.Table) -> pa.Table:
-        members, heads = _forest(t.column("fp").to_numpy(), radius)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (members, heads))
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in _forest(t.column("fp").to_numpy(), reach))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     if found.where("slot is not null").isEmpty():
@@ -188,3 +208,54 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int =
     """The rows of docs whose doc_id stands for their component, with all their columns."""
     kept = near_duplicates(docs, radius, shingle_words).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
+def shingle_set(text: bytes, shingle_words: int = 5, seed: int = 42) -> list[int]:
+    """Signed hashes of the text's distinct shingles; of the whole sequence if it has fewer words, none if it has no words."""
+    words = text.lower().split()
+    shingles = {b" ".join(words[k : k + shingle_words]) for k in range(max(1, len(words) - shingle_words + 1))} if words else ()
+    return [h - 2**64 if h >= 2**63 else h for h in (xxhash.xxh64_intdigest(x, seed) for x in shingles)]
+
+
+def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 7, reach: int = 10) -> DataFrame:
+    """a, b: doc_ids of pairs whose sets of shingles are similar (Jaccard), enough pairs to connect each group of them.
+
+    Candidates are found by covering hashing over the fingerprints of the
+    distinct words, as texts that share most shingles share nearly all words.
+    All within the radius are met, and many up to the reach. Every candidate's
+    similarity is then computed from the whole texts. Texts with one fingerprint
+    are compared with the one of the smallest doc_id.
+
+    A null doc_id is never in a pair. Rows that repeat a doc_id count as one
+    document, by their first text.
+    """
+    small_batches(docs.sparkSession)
+    rows = stash(simhash(docs.where("doc_id is not null"), None), "similar")
+    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "similar-distinct")
+    found = links(distinct.select("fp"), radius, reach)
+    ends = [distinct.select(F.col("fp").alias(c), F.col("least_id").alias(f"{c}_id")) for c in "ab"]
+    between = found.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id")
+    within = rows.join(distinct, "fp").where("doc_id != least_id").select(F.col("least_id").alias("a_id"), F.col("doc_id").alias("b_id"))
+    pairs = stash(between.unionByName(within).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "similar-pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(nodes, "doc_id", "left_semi")
+    sets = texts.mapInArrow(run, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    sets = stash(sets, "similar-sets")
+    of = [sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
+    compared = pairs.join(of[0], "a").join(of[1], "b")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    either = F.size("a_set") + F.size("b_set") - shared
+    return compared.where((shared >= similarity * either) | (either == 0)).select("a", "b")
+
+
+def drop_similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """The rows of docs but for those that similar_pairs connect with a smaller doc_id, with all their columns."""
+    roots = connected_components(similar_pairs(docs, similarity, shingle_words))
+    gone = roots.where("node != root").select(F.col("node").alias("_gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")

@@ -70,7 +70,7 @@ def test_links_connect_what_is_near(spark, limit):
         for _ in range(rng.choice([1, 2, 9, 30])):
             fps.add(center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
     fps = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
-    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, limit).collect()
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, bucket_limit=limit).collect()
     near = [(a, b) for k, a in enumerate(fps) for b in fps[:k] if ((a ^ b) % 2**64).bit_count() <= 4]
     assert roots([(r["a"], r["b"]) for r in found], fps) == roots(near, fps)
 
@@ -100,6 +100,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        words = rng.choices([f"v{k}_{j % 150}" for j in range(400)] + WORDS, k=rng.choice([60, 300, 900]))
+        for _ in range(rng.choice([1, 2, 8])):
+            edited = list(words)
+            for _ in range(rng.randint(0, len(words) // 60)):
+                edited[rng.randrange(len(words))] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(500, None), (501, ""), (502, "one two"), (503, "ONE two"), (504, "two one"), (505, "a b " * 9000), (506, "b a " * 9000), (None, rows[0][1]), (507, rows[0][1])]
+    sets = {i: set(simhash.shingle_set((t or "").encode())) for i, t in rows if i is not None}
+    alike = [(a, b) for b in sets for a in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = [(r["a"], r["b"]) for r in simhash.similar_pairs(docs(spark, rows)).collect()]
+    assert set(found) <= set(alike) and roots(found, sets) == roots(alike, sets)
+    kept = simhash.drop_similar_documents(docs(spark, rows))
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["None", *{str(r) for r in roots(alike, sets).values()}])
+    assert simhash.drop_similar_documents(docs(spark, [])).count() == 0
+
+
 def slow_removal(rows, size=13):
     first = {}
     for i, t in rows:
