@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelstream.shipping import ship_package
+
 #: White space of every word-based operator here, as a class of Java's and Python's regular expressions.
 WHITE = r"[\x20\x09-\x0D]"
 #: Sorts after every real id; stands for a null id where an order is needed.
@@ -47,7 +49,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bound the rows and bytes of an Arrow batch, so that long texts fit a worker's memory."""
+    """Make Python workers ready: send them the package, and bound an Arrow batch so that long texts fit their memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

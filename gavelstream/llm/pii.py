@@ -350,7 +350,7 @@ def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
 
 #: What a span of the tagger must hold to count: least characters, least digits, and its shape.
 _LEAST = {
-    "email": (7, 0, re.compile(r"(?=.*(?:@|\bat\b))\S.*\S")),
+    "email": (7, 0, re.compile(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]|(?<= )at(?= )) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]|(?<= )dot(?= )) ?[\w-]+)+")),
     "ip": (7, 4, re.compile(r"\d+(?: ?\. ?\d+){3}")),
     "card": (16, 13, re.compile(r"[\d .-]+")),
     "phone": (8, 8, re.compile(r"[\d ().+-]+")),
@@ -381,7 +381,7 @@ def _reconciled(paths: np.ndarray, windows: list[tuple[int, str]], start: int, t
     for kind, s, e in spans_of(labels):
         chars, digits, shape = _LEAST[KINDS[kind]]
         span = text[s:e]
-        if e - s >= chars and sum(map(str.isdigit, span)) >= digits and shape.fullmatch(span):
+        if e - s >= chars and sum(map(str.isdigit, span)) >= digits and shape.fullmatch(span) and (kind != 2 or _luhn(re.sub("[^0-9]", "", span))):
             if not any(b < start + e and start + s < f for _, b, f in base):
                 out.append((kind, start + s, start + e))
     return out
