@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from gavelstream.shipping import ship_package
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,6 +45,7 @@ def top_rows_stream(rows: DataFrame, key: str, order: list[str], ascending: list
 
     The state holds n rows for each key.
     """
+    ship_package(rows.sparkSession)
     columns, schema = rows.columns, rows.schema
     out = T.StructType([*schema.fields, T.StructField("rank_number", T.LongType())])
     processor = TopRows(columns, schema, order, ascending, n)
