@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import small_batches, text_or_empty
+from gavelstream.llm.common import fixed_splits, small_batches, text_or_empty
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
 CHUNK_CHARS = 6_000_000
@@ -218,10 +218,12 @@ def encode(docs: DataFrame, path: str, pattern: str, n_buckets: int | None = Non
     a null doc_id stays null, extra columns are ignored, an empty table gives an
     empty one. A word that is frequent everywhere crosses the shuffle once per
     chunk, not once per use. A chunk holds a bounded number of characters, or
-    one document.
+    one document. docs is read twice and must give the same rows in the same
+    order each time, as files do; write a computed DataFrame first.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    fixed_splits(spark)
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "chunk long, bucket int, doc_id long, packed binary"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.spark_partition_id().alias("at"))

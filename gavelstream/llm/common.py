@@ -55,6 +55,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def fixed_splits(spark: SparkSession) -> None:
+    """Keep the way files are split from following the number of executors, which may change while a query runs.
+
+    Operators that number rows by scan order need every pass to see one order.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

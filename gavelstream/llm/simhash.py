@@ -10,6 +10,7 @@ the radius is missed.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,22 @@ BITS = 64
 BLOCK = 16384
 
 
+@lru_cache(maxsize=8)
 def covering_masks(radius: int) -> list[int]:
-    """One mask of kept bits, as a signed 64-bit number, for each of the 2 ** (radius + 1) - 1 tables."""
+    """One mask of kept bits, as a signed 64-bit number, for each of the 2 ** (radius + 1) - 1 tables.
+
+    Bits take vectors a step apart. Any step is certain to find the pairs; the
+    first under which every table keeps enough bits also tells others apart.
+    """
     span = 2 ** (radius + 1) - 1
-    masks = []
-    for table in range(1, span + 1):
-        mask = sum(1 << bit for bit in range(BITS) if ((bit % span + 1) & table).bit_count() % 2)
-        masks.append(mask - 2**64 if mask >= 2**63 else mask)
-    return masks
+
+    def masks(step: int) -> list[int]:
+        vectors = [bit * step % span + 1 for bit in range(BITS)]
+        return [sum(1 << bit for bit, v in enumerate(vectors) if (v & table).bit_count() % 2) for table in range(1, span + 1)]
+
+    kept = lambda step: min(m.bit_count() for m in masks(step))
+    step = next((s for s in range(1, span) if kept(s) >= BITS * 3 // 8), None) or max(range(1, span), key=kept)
+    return [m - 2**64 if m >= 2**63 else m for m in masks(step)]
 
 
 def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
@@ -85,13 +94,37 @@ def simhash(docs: DataFrame, shingle_words: int | None = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(fps: np.ndarray, radius: int, start: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+#: Members of a bucket that are joined by shortest links.
+TREE = 48
+
+
+def _shortest_tree(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Prim's algorithm over the distances up to the radius."""
+    near, source = np.full(len(fps), BITS + 1), np.zeros(len(fps), np.int64)
+    left, at = np.ones(len(fps), bool), 0
+    members, sources = [], []
+    for _ in range(len(fps) - 1):
+        left[at] = False
+        distance = np.bitwise_count((fps ^ fps[at]).view(np.uint64))
+        closer = distance < near
+        near[closer], source[closer] = distance[closer], at
+        at = int(np.argmin(np.where(left, near, BITS + 2)))
+        if near[at] <= radius:
+            members.append(fps[at : at + 1])
+            sources.append(fps[source[at] : source[at] + 1])
+    return members, sources
+
+
+def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Pairs (members, the one they were found from), each within the radius, that join whatever of fps is connected.
 
-    start varies the order of the search, and so the pairs.
+    The search starts in one order everywhere and takes all that are near at
+    once, so that the buckets of a large group give few different pairs. Up to
+    TREE members are also joined by a tree of shortest links, so that one who
+    checks the pairs further has two ways to join each.
     """
-    order = np.argsort((fps ^ start).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    rest, members, sources = fps[order], [], []
+    rest = fps[np.argsort(fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+    members, sources = _shortest_tree(fps, radius) if len(fps) <= TREE else ([], [])
     while len(rest) > 1:
         open_, rest = [rest[0]], rest[1:]
         while open_ and len(rest):
@@ -143,7 +176,7 @@ def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limi
                     slot, key, fp = slot[n:], key[n:], fp[n:]
                     continue
                 starts, spilling = starts[1:], None
-            yield from joined(slot, fp, starts[:-1], np.diff(starts))
+            yield from joined(fp, starts[:-1], np.diff(starts))
             slot, key, fp = slot[done:], key[done:], fp[done:]
             if len(fp) > bucket_limit:
                 spilling = (slot[0], key[0])
@@ -153,14 +186,14 @@ def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limi
             if spilling and (slot[0], key[0]) == spilling:
                 yield emit(fp, fp, slot, key)
             else:
-                yield from joined(slot, fp, np.array([0]), np.array([len(fp)]))
+                yield from joined(fp, np.array([0]), np.array([len(fp)]))
 
-    def joined(slot: np.ndarray, fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def joined(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         pairs = starts[sizes == 2]
         near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= reach
         a, b = [fp[pairs][near]], [fp[pairs + 1][near]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            members, sources = _forest(fp[s : s + n], reach, int(slot[s]))
+            members, sources = _forest(fp[s : s + n], reach)
             a += members
             b += sources
         if sum(map(len, a)):
@@ -218,13 +251,15 @@ def shingle_set(text: bytes, shingle_words: int = 5, seed: int = 42) -> list[int
 
 
 def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 7, reach: int = 10) -> DataFrame:
-    """a, b: doc_ids of pairs whose sets of shingles are similar (Jaccard), enough pairs to connect each group of them.
+    """a, b: doc_ids of pairs whose sets of shingles are similar (Jaccard), so many that they connect the groups of them.
 
     Candidates are found by covering hashing over the fingerprints of the
     distinct words, as texts that share most shingles share nearly all words.
     All within the radius are met, and many up to the reach. Every candidate's
-    similarity is then computed from the whole texts. Texts with one fingerprint
-    are compared with the one of the smallest doc_id.
+    similarity is then computed from the whole texts, and every pair returned
+    is similar. A text is lost to its group only if it is similar to none of
+    those that it was met with. Texts with one fingerprint are compared with the
+    one of the smallest doc_id.
 
     A null doc_id is never in a pair. Rows that repeat a doc_id count as one
     document, by their first text.

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import small_batches, text_or_empty
+from gavelstream.llm.common import fixed_splits, small_batches, text_or_empty
 
 #: Bytes of text hashed at once, and in a batch.
 BLOCK_BYTES, BATCH_BYTES = 1 << 17, 1 << 19
@@ -390,6 +390,7 @@ def remove_repeated_passages(docs: DataFrame, window_words: int = 13, n_blocks:
     """
     spark = docs.sparkSession
     small_batches(spark, size="8m")
+    fixed_splits(spark)
     n_blocks = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     named = texts.where("doc_id is not null").withColumn("at", F.spark_partition_id())
