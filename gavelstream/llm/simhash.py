@@ -118,13 +118,18 @@ def _shortest_tree(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Pairs (members, the one they were found from), each within the radius, that join whatever of fps is connected.
 
-    The search starts in one order everywhere and takes all that are near at
-    once, so that the buckets of a large group give few different pairs. Up to
-    TREE members are also joined by a tree of shortest links, so that one who
-    checks the pairs further has two ways to join each.
+    Up to TREE members are joined by a tree of shortest links. The search among
+    more starts in one order everywhere and takes all that are near at once, so
+    that the buckets of a large group give few different pairs.
     """
-    rest = fps[np.argsort(fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
-    members, sources = _shortest_tree(fps, radius) if len(fps) <= TREE else ([], [])
+    if len(fps) <= TREE:
+        return _shortest_tree(fps, radius)
+    return _star(fps, radius)
+
+
+def _star(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """As _forest, by a search in one order everywhere."""
+    rest, members, sources = fps[np.argsort(fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))], [], []
     while len(rest) > 1:
         open_, rest = [rest[0]], rest[1:]
         while open_ and len(rest):
@@ -139,26 +144,28 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
 
 
 def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limit: int = 20000) -> DataFrame:
-    """a, b: pairs that connect all fingerprints (distinct, column fp) within the radius of each other.
+    """a, b, spare: pairs that connect all fingerprints (distinct, column fp) within the radius of each other.
 
     With a reach beyond the radius, pairs up to that far apart are taken too
-    where they share a bucket, which is not certain.
+    where they share a bucket, which is not certain; and there are spare pairs,
+    which join the same ones in another way, for one who checks pairs further.
 
     Buckets are read as runs of a sorted partition. A bucket gives a spanning
     forest of its links, not its pairs. One with more than bucket_limit
     fingerprints is compared in a second step, block against block, each pair
     of blocks in a group of its own, so that no task holds the bucket.
     """
+    spares = reach is not None
     reach = radius if reach is None else reach
     tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])).alias("slot", "key")
     buckets = fps.select("fp", tables)
     buckets = buckets.repartition(F.col("slot"), F.col("key")).sortWithinPartitions("slot", "key")
-    schema = "a long, b long, slot int, key long"
+    schema = "a long, b long, spare boolean, slot int, key long"
 
-    def emit(a, b, slot=None, key=None) -> pa.RecordBatch:
+    def emit(a, b, slot=None, key=None, spare=False) -> pa.RecordBatch:
         n = len(a)
         over = [pa.array(slot, pa.int32()), pa.array(key, pa.int64())] if slot is not None else [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *over], ["a", "b", "slot", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([spare] * n, pa.bool_()), *over], ["a", "b", "spare", "slot", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, key, fp = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -191,16 +198,22 @@ def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limi
     def joined(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         pairs = starts[sizes == 2]
         near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= reach
-        a, b = [fp[pairs][near]], [fp[pairs + 1][near]]
+        a, b, spare_a, spare_b = [fp[pairs][near]], [fp[pairs + 1][near]], [], []
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             members, sources = _forest(fp[s : s + n], reach)
             a += members
             b += sources
+            if spares and n <= TREE:
+                members, sources = _star(fp[s : s + n], reach)
+                spare_a += members
+                spare_b += sources
         if sum(map(len, a)):
             yield emit(np.concatenate(a), np.concatenate(b))
+        if spare_a:
+            yield emit(np.concatenate(spare_a), np.concatenate(spare_b), spare=True)
 
     found = stash(buckets.mapInArrow(run, schema), "simhash-links")
-    small = found.where("slot is null").select("a", "b")
+    small = found.where("slot is null").select("a", "b", "spare")
 
     # buckets beyond the limit: every pair of blocks meets once
     large = found.where("slot is not null").select("slot", "key", F.col("a").alias("fp"))
@@ -215,7 +228,8 @@ def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limi
 
     if found.where("slot is not null").isEmpty():
         return small.distinct()
-    return small.unionByName(large.groupBy("slot", "key", "i", "j").applyInArrow(block_pair, "a long, b long")).distinct()
+    pairs = large.groupBy("slot", "key", "i", "j").applyInArrow(block_pair, "a long, b long")
+    return small.unionByName(pairs.withColumn("spare", F.lit(False))).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4) -> DataFrame:
@@ -257,8 +271,8 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     distinct words, as texts that share most shingles share nearly all words.
     All within the radius are met, and many up to the reach. Every candidate's
     similarity is then computed from the whole texts, and every pair returned
-    is similar. A text is lost to its group only if it is similar to none of
-    those that it was met with. Texts with one fingerprint are compared with the
+    is similar. A text that is in no similar pair then gets its spare pairs; it
+    is lost to its group only if it is similar to none of those it was met with. Texts with one fingerprint are compared with the
     one of the smallest doc_id.
 
     A null doc_id is never in a pair. Rows that repeat a doc_id count as one
@@ -269,9 +283,10 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "similar-distinct")
     found = links(distinct.select("fp"), radius, reach)
     ends = [distinct.select(F.col("fp").alias(c), F.col("least_id").alias(f"{c}_id")) for c in "ab"]
-    between = found.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id")
-    within = rows.join(distinct, "fp").where("doc_id != least_id").select(F.col("least_id").alias("a_id"), F.col("doc_id").alias("b_id"))
-    pairs = stash(between.unionByName(within).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "similar-pairs")
+    between = found.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id", "spare")
+    within = rows.join(distinct, "fp").where("doc_id != least_id").select(F.col("least_id").alias("a_id"), F.col("doc_id").alias("b_id"), F.lit(False).alias("spare"))
+    pairs = between.unionByName(within).groupBy(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).agg(F.min("spare").alias("spare"))
+    pairs = stash(pairs, "similar-pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,10 +298,20 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     sets = texts.mapInArrow(run, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
     sets = stash(sets, "similar-sets")
     of = [sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
-    compared = pairs.join(of[0], "a").join(of[1], "b")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set") - shared
-    return compared.where((shared >= similarity * either) | (either == 0)).select("a", "b")
+
+    def similar(candidates: DataFrame) -> DataFrame:
+        compared = candidates.join(of[0], "a").join(of[1], "b")
+        shared = F.size(F.array_intersect("a_set", "b_set"))
+        either = F.size("a_set") + F.size("b_set") - shared
+        return compared.where((shared >= similarity * either) | (either == 0)).select("a", "b")
+
+    first = stash(similar(pairs.where("not spare").select("a", "b")), "similar-first")
+    # the spare pairs of texts that are in no similar pair yet
+    joined = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
+    alone = nodes.join(joined, "doc_id", "left_anti")
+    spare = pairs.where("spare")
+    again = spare.join(alone.withColumnRenamed("doc_id", "a"), "a", "left_semi").unionByName(spare.join(alone.withColumnRenamed("doc_id", "b"), "b", "left_semi").select(*spare.columns))
+    return first.unionByName(similar(again.select("a", "b").distinct()))
 
 
 def drop_similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
