@@ -281,37 +281,46 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     small_batches(docs.sparkSession)
     rows = stash(simhash(docs.where("doc_id is not null"), None), "similar")
     distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "similar-distinct")
-    found = links(distinct.select("fp"), radius, reach)
-    ends = [distinct.select(F.col("fp").alias(c), F.col("least_id").alias(f"{c}_id")) for c in "ab"]
-    between = found.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id", "spare")
-    within = rows.join(distinct, "fp").where("doc_id != least_id").select(F.col("least_id").alias("a_id"), F.col("doc_id").alias("b_id"), F.lit(False).alias("spare"))
-    pairs = between.unionByName(within).groupBy(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).agg(F.min("spare").alias("spare"))
+    pairs = links(distinct.select("fp"), radius, reach).groupBy("a", "b").agg(F.min("spare").alias("spare"))
     pairs = stash(pairs, "similar-pairs")
+    within = stash(rows.join(distinct, "fp").where("doc_id != least_id").select("fp", "doc_id"), "similar-within")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(nodes, "doc_id", "left_semi")
+    # the texts of a fingerprint's first document, and of the others that share it
+    met = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(within.select("fp")).distinct()
+    nodes = distinct.join(met, "fp", "left_semi").select("fp", F.col("least_id").alias("doc_id"), F.lit(True).alias("first"))
+    nodes = stash(nodes.unionByName(within.select("fp", "doc_id", F.lit(False).alias("first"))), "similar-nodes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(nodes.select("doc_id"), "doc_id", "left_semi")
     sets = texts.mapInArrow(run, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-    sets = stash(sets, "similar-sets")
-    of = [sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab"]
+    sets = stash(nodes.join(sets, "doc_id"), "similar-sets")
+    firsts = sets.where("first").select("fp", "doc_id", "shingles")
 
-    def similar(candidates: DataFrame) -> DataFrame:
-        compared = candidates.join(of[0], "a").join(of[1], "b")
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select(F.col("fp").alias(name), F.col("doc_id").alias(f"{name}_id"), F.col("shingles").alias(f"{name}_set"))
+
+    def similar(compared: DataFrame) -> DataFrame:
         shared = F.size(F.array_intersect("a_set", "b_set"))
         either = F.size("a_set") + F.size("b_set") - shared
-        return compared.where((shared >= similarity * either) | (either == 0)).select("a", "b")
-
-    first = stash(similar(pairs.where("not spare").select("a", "b")), "similar-first")
-    # the spare pairs of texts that are in no similar pair yet
-    joined = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
-    alone = nodes.join(joined, "doc_id", "left_anti")
-    spare = pairs.where("spare")
-    again = spare.join(alone.withColumnRenamed("doc_id", "a"), "a", "left_semi").unionByName(spare.join(alone.withColumnRenamed("doc_id", "b"), "b", "left_semi").select(*spare.columns))
-    return first.unionByName(similar(again.select("a", "b").distinct()))
+        return compared.where((shared >= similarity * either) | (either == 0))
+
+    def similar_fps(candidates: DataFrame) -> DataFrame:
+        return similar(candidates.join(side(firsts, "a"), "a").join(side(firsts, "b"), "b")).select("a", "b", "a_id", "b_id")
+
+    first = stash(similar_fps(pairs.where("not spare").select("a", "b")), "similar-first")
+    # the spare pairs of those that are in no similar pair yet
+    joined = first.select(F.col("a").alias("fp")).unionByName(first.select(F.col("b").alias("fp"))).distinct()
+    alone = met.join(joined, "fp", "left_anti")
+    spare = pairs.where("spare").select("a", "b")
+    again = spare.join(alone.withColumnRenamed("fp", "a"), "a", "left_semi").unionByName(spare.join(alone.withColumnRenamed("fp", "b"), "b", "left_semi").select("a", "b"))
+    between = first.unionByName(similar_fps(again.distinct()))
+    others = side(sets.where("not first"), "b").withColumnRenamed("b", "fp")
+    same = similar(others.join(side(firsts, "a").withColumnRenamed("a", "fp"), "fp"))
+    found = between.select("a_id", "b_id").unionByName(same.select("a_id", "b_id"))
+    return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def drop_similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
