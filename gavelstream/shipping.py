@@ -17,6 +17,8 @@ def ship_package(spark: SparkSession) -> None:
     if app in _sent:
         return
     package = Path(__file__).parent
+    if not package.is_dir():  # it came as a zip through --py-files, which the executors have too
+        return
     folder = Path(tempfile.mkdtemp(prefix="spark-"))
     copy = folder / "root" / package.name
     shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
