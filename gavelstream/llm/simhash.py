@@ -264,63 +264,231 @@ def shingle_set(text: bytes, shingle_words: int = 5, seed: int = 42) -> list[int
     return [h - 2**64 if h >= 2**63 else h for h in (xxhash.xxh64_intdigest(x, seed) for x in shingles)]
 
 
-def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 7, reach: int = 10) -> DataFrame:
-    """a, b: doc_ids of pairs whose sets of shingles are similar (Jaccard), so many that they connect the groups of them.
+#: A shingle that stands in the prefixes of more sets than this is compared by blocks.
+COMMON = 32
+#: Shingles of the sets of a block, about.
+BLOCK_SHINGLES = 400_000
+#: Frequent shingles that are put last in the order of prefixes, at most; the order decides on the time taken, not on the result.
+FREQUENT = 100_000
+#: Rows of the prefix table that are looked at together.
+ROWS = 200_000
+
+
+def _sorted_set(text: bytes, shingle_words: int) -> tuple[np.ndarray, int]:
+    """The sorted set of the text's shingles, and its signed hash."""
+    shingles = np.unique(np.array(shingle_set(text, shingle_words), np.int64))
+    node = xxhash.xxh64_intdigest(shingles.tobytes())
+    return shingles, node - 2**64 if node >= 2**63 else node
+
+
+def _prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's first shingles, frequent ones last, that no similar set is without all of them."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    at = np.minimum(np.searchsorted(frequent, shingles), max(len(frequent) - 1, 0))
+    last = frequent[at] == shingles if len(frequent) else np.zeros(n, bool)
+    return np.concatenate([shingles[~last], shingles[last]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def _candidates(rows: tuple[np.ndarray, ...], starts: np.ndarray, sizes: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """a, b, i, j, na, nb: all pairs of each run of rows (node, place, n) that can be similar by their n."""
+    node, place, n = rows
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for d in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == d]
+        for y in range(1, d):
+            for x in range(y):
+                left, right = at + x, at + y
+                close = n[left] >= similarity * n[right] - 1e-9  # runs are sorted by n
+                left, right = left[close], right[close]
+                swap = node[left] > node[right]
+                a, b = np.where(swap, right, left), np.where(swap, left, right)
+                for k, values in enumerate((node[a], node[b], place[a], place[b], n[a], n[b])):
+                    out[k].append(values)
+    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    rows, count_of = rows[order], np.repeat(count, count)
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for d in range(2, 9):  # rare elements by their pairs
+        members = rows[count_of == d].reshape(-1, d)
+        for y in range(1, d):
+            for x in range(y):
+                np.add.at(shared, (members[:, x], members[:, y]), 1)
+    shared += shared.T
+    many, width = count_of > 8, 1024
+    rows, counts = rows[many], count[count > 8]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    for k in range(0, len(counts), width):  # others by products of 0/1 matrices
+        part = slice(ends[k], ends[min(k + width, len(counts))])
+        ones = np.zeros((len(sets), min(width, len(counts) - k)), np.float32)
+        ones[rows[part], np.repeat(np.arange(ones.shape[1]), counts[k : k + width])] = 1
+        shared += ones @ ones.T
+    return shared
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Places of similar pairs that join whatever of the sets is connected, found by comparing each with each."""
+    n, shared = np.array([len(s) for s in sets]), _shared_counts(sets)
+    rest, members, sources = np.arange(len(sets)), [], []
+    while len(rest) > 1:
+        open_, rest = [int(rest[0])], rest[1:]
+        while open_ and len(rest):
+            at = open_.pop()
+            both = shared[at, rest].astype(float)
+            near = both >= similarity * (n[at] + n[rest] - both)
+            new, rest = rest[near].tolist(), rest[~near]
+            open_ += new
+            members += new
+            sources += [at] * len(new)
+    return members, sources
 
-    Candidates are found by covering hashing over the fingerprints of the
-    distinct words, as texts that share most shingles share nearly all words.
-    All within the radius are met, and many up to the reach. Every candidate's
-    similarity is then computed from the whole texts, and every pair returned
-    is similar. A text that is in no similar pair then gets its spare pairs; it
-    is lost to its group only if it is similar to none of those it was met with. Texts with one fingerprint are compared with the
-    one of the smallest doc_id.
 
-    A null doc_id is never in a pair. Rows that repeat a doc_id count as one
-    document, by their first text.
+def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """a, b, i, j, na, nb, common: nodes that share a shingle of their prefixes, a row for each such shingle.
+
+    Up to COMMON nodes of a shingle give all their pairs that can be similar by
+    their sizes. More than these give a chain of links (common) that joins them.
     """
-    small_batches(docs.sparkSession)
-    rows = stash(simhash(docs.where("doc_id is not null"), None), "similar")
-    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "similar-distinct")
-    pairs = links(distinct.select("fp"), radius, reach).groupBy("a", "b").agg(F.min("spare").alias("spare"))
-    pairs = stash(pairs, "similar-pairs")
-    within = stash(rows.join(distinct, "fp").where("doc_id != least_id").select("fp", "doc_id"), "similar-within")
+    schema = "a long, b long, i int, j int, na int, nb int, common boolean"
+    names = ("shingle", "node", "place", "n")
+
+    def emit(columns: list[np.ndarray], common: bool) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+        arrays = [pa.array(c.astype(np.int64), k) for c, k in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(columns[0]), common), pa.bool_())], ["a", "b", "i", "j", "na", "nb", "common"])
+
+    def chains(node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Each row's link to the first row of its chain; a chain ends where the next size is too far off."""
+        breaks = np.concatenate(([True], n[:-1] < similarity * n[1:] - 1e-9))
+        first = np.flatnonzero(breaks)[np.cumsum(breaks) - 1]
+        ends = np.unique(np.stack([node[first], node])[:, ~breaks], axis=1)
+        return emit([*ends, *np.zeros((4, ends.shape[1]), np.int64)], True)
+
+    def look(rows: list[np.ndarray], open_shingle: int | None, last: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray], int | None]:
+        """Batches to emit, the rows of the unfinished run, and its shingle if it is known to be common."""
+        shingle, node, place, n = rows
+        starts = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(shingle)))
+        common = sizes > COMMON
+        common[0] |= open_shingle is not None and shingle[0] == open_shingle
+        out = [chains(node[s : s + k], n[s : s + k]) for s, k in zip(starts[common].tolist(), sizes[common].tolist()) if k > 1]
+        ended = ~common
+        if not last:
+            ended[-1] = False
+        columns = _candidates((node, place, n), starts[ended], sizes[ended], similarity)
+        if len(columns[0]):
+            out.append(emit(columns, False))
+        keep = slice(len(shingle), None) if last else slice(len(shingle) - 1, None) if common[-1] else slice(int(starts[-1]), None)
+        return out, [c[keep] for c in rows], int(shingle[-1]) if common[-1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held, open_shingle = [], 0, None
+        for batch in batches:
+            waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            held += batch.num_rows
+            if held >= ROWS:
+                out, rest, open_shingle = look([np.concatenate(x) for x in zip(*waiting)], open_shingle, False)
+                yield from out
+                waiting, held = [rest], len(rest[0])
+        if held:
+            yield from look([np.concatenate(x) for x in zip(*waiting)], open_shingle, True)[0]
+
+    return prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, schema)
+
+
+def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """a, b: doc_ids of pairs whose sets of shingles are similar (Jaccard), so many that they connect all groups of them.
+
+    Texts with equal sets are one node. Similar sets share a shingle among the
+    first of each in any one order (prefix filter), so every similar pair of
+    nodes meets there. Pairs that meet at rare shingles are compared one by one
+    from the whole texts, but for those that are too far apart by the number of
+    shingles met and left. Nodes that meet at common shingles make groups, in
+    which each is compared with each, block against block; blocks give a
+    spanning forest of their similar pairs. No similar pair is left unconnected,
+    but for collisions of 64-bit hashes, and all pairs returned are similar.
+
+    A null doc_id is never in a pair. Rows that repeat a doc_id count as one
+    document that has all their texts.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+    def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
-
-    # the texts of a fingerprint's first document, and of the others that share it
-    met = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(within.select("fp")).distinct()
-    nodes = distinct.join(met, "fp", "left_semi").select("fp", F.col("least_id").alias("doc_id"), F.lit(True).alias("first"))
-    nodes = stash(nodes.unionByName(within.select("fp", "doc_id", F.lit(False).alias("first"))), "similar-nodes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(nodes.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-    sets = stash(nodes.join(sets, "doc_id"), "similar-sets")
-    firsts = sets.where("first").select("fp", "doc_id", "shingles")
-
-    def side(of: DataFrame, name: str) -> DataFrame:
-        return of.select(F.col("fp").alias(name), F.col("doc_id").alias(f"{name}_id"), F.col("shingles").alias(f"{name}_set"))
-
-    def similar(compared: DataFrame) -> DataFrame:
-        shared = F.size(F.array_intersect("a_set", "b_set"))
-        either = F.size("a_set") + F.size("b_set") - shared
-        return compared.where((shared >= similarity * either) | (either == 0))
-
-    def similar_fps(candidates: DataFrame) -> DataFrame:
-        return similar(candidates.join(side(firsts, "a"), "a").join(side(firsts, "b"), "b")).select("a", "b", "a_id", "b_id")
-
-    first = stash(similar_fps(pairs.where("not spare").select("a", "b")), "similar-first")
-    # the spare pairs of those that are in no similar pair yet
-    joined = first.select(F.col("a").alias("fp")).unionByName(first.select(F.col("b").alias("fp"))).distinct()
-    alone = met.join(joined, "fp", "left_anti")
-    spare = pairs.where("spare").select("a", "b")
-    again = spare.join(alone.withColumnRenamed("fp", "a"), "a", "left_semi").unionByName(spare.join(alone.withColumnRenamed("fp", "b"), "b", "left_semi").select("a", "b"))
-    between = first.unionByName(similar_fps(again.distinct()))
-    others = side(sets.where("not first"), "b").withColumnRenamed("b", "fp")
-    same = similar(others.join(side(firsts, "a").withColumnRenamed("a", "fp"), "fp"))
-    found = between.select("a_id", "b_id").unionByName(same.select("a_id", "b_id"))
-    return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+            yield pa.RecordBatch.from_arrays([pa.array([x for s in sets for x in s], pa.int64())], ["shingle"])
+
+    sample = texts.where("pmod(xxhash64(doc_id), 16) = 0").mapInArrow(all_shingles, "shingle long")
+    often = sample.groupBy("shingle").count().where("count >= 4").orderBy(F.desc("count"), "shingle").limit(FREQUENT)
+    frequent = np.sort(often.select("shingle").toArrow().column("shingle").to_numpy())
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_sorted_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
+            first = pa.array([_prefix(s, frequent, similarity) for s, _ in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for _, k in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), first], ["doc_id", "node", "n", "prefix"])
+
+    rows = stash(texts.mapInArrow(prefixes, "doc_id long, node long, n int, prefix array<long>"), "similar")
+    nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n")), "similar-nodes")
+    again = rows.join(nodes, "node").where("doc_id != least_id").select(F.col("least_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    single = rows.join(nodes.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    # a doc_id that repeats a text would be met with itself, which links nothing
+    placed = single.select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
+    met = stash(_meetings(placed, similarity), "similar-met")
+
+    groups = connected_components(met.where("common and a != b").select("a", "b"))
+    groups = stash(groups.withColumnRenamed("root", "group"), "similar-groups")
+    total = F.col("na") + F.col("nb")
+    least = F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
+    pairs = met.where("not common and a != b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"))
+    pairs = pairs.where(F.col("shared") + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j")) >= least).select("a", "b")
+    known = pairs.join(groups.select(F.col("node").alias("a"), F.col("group").alias("a_group")), "a", "left")
+    known = known.join(groups.select(F.col("node").alias("b"), F.col("group").alias("b_group")), "b", "left")
+    pairs = stash(known.where("a_group is null or b_group is null or a_group != b_group").select("a", "b"), "similar-pairs")
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_sorted_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in sets], pa.int64()), pa.array([s for s, _ in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
+    wanted = stash(nodes.join(wanted, "node", "left_semi"), "similar-wanted")
+    sets = texts.join(wanted.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole_sets, "node long, shingles array<long>")
+    sets = stash(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    either = F.size("a_set") + F.size("b_set") - shared
+    between = pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * either).select("a", "b")
+
+    # groups of common shingles: every pair of blocks meets once
+    sized = groups.join(nodes.select("node", "n"), "node")
+    blocks = sized.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = groups.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block != other")
+    dealt = dealt.select("node", "group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(sets, "node")
+
+    def block_pair(t: pa.Table) -> pa.Table:
+        shingles, node = t.column("shingles").combine_chunks(), t.column("node").to_numpy()
+        members, sources = similar_forest([s.values.to_numpy() for s in shingles], similarity)
+        return pa.table({"a": pa.array(node[members], pa.int64()), "b": pa.array(node[sources], pa.int64())})
+
+    within = dealt.groupBy("group", "x", "y").applyInArrow(block_pair, "a long, b long")
+    linked = stash(between.unionByName(within), "similar-linked")
+    named = linked.join(nodes.select(F.col("node").alias("a"), F.col("least_id").alias("a_id")), "a").join(nodes.select(F.col("node").alias("b"), F.col("least_id").alias("b_id")), "b")
+    named = named.where("a_id != b_id").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return named.unionByName(again)
 
 
 def drop_similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:

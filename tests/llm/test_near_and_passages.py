@@ -124,6 +124,24 @@ def test_similar_documents_equal_brute_force(spark):
     assert simhash.drop_similar_documents(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("copies", [12, 90])
+def test_no_copy_of_an_original_is_lost(spark, copies):
+    rng = random.Random(copies)
+    original = rng.choices([f"o{k}" for k in range(5000)], k=300)
+    rows = [(1000, " ".join(original))]
+    for k in range(copies):
+        words = list(original)
+        for at in rng.sample(range(300), 5):
+            words[at] = f"new{k}_{at}"
+        rows.append((k, " ".join(words)))
+    assert [r["doc_id"] for r in simhash.drop_similar_documents(docs(spark, rows)).collect()] == [0]
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 4000)
+    test_no_copy_of_an_original_is_lost(spark, 90)
+
+
 def slow_removal(rows, size=13):
     first = {}
     for i, t in rows:
