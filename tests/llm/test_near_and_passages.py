@@ -142,6 +142,16 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     test_no_copy_of_an_original_is_lost(spark, 90)
 
 
+def test_copies_behind_a_text_of_the_same_words(spark):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choices(WORDS, k=6)) for _ in range(50)]
+    orders = [rng.sample(lines, 50) for _ in range(2)]
+    near = [*orders[1][:-2], orders[1][-1], orders[1][-2]]
+    rows = [(1, " ".join(orders[0])), (2, " ".join(orders[1])), (3, " ".join(near)), (4, " ".join(orders[1]).upper())]
+    assert len({simhash.word_set_fingerprint(t.encode()) for _, t in rows}) == 1
+    assert sorted(r["doc_id"] for r in simhash.drop_similar_documents(docs(spark, rows)).collect()) == [1, 2]
+
+
 def slow_removal(rows, size=13):
     first = {}
     for i, t in rows:
