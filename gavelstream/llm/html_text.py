@@ -44,12 +44,24 @@ _NOT_MAIN = re.compile(
     r"|header|masthead|footer|copyright|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|teasers?|tags|complementary|contentinfo)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Whole class tokens and roles that mark a container inside an article: a word of furniture, alone or with words of layout.
+_FURNITURE = re.compile(
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall"
+    r"|sidebar|side|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|skip|search|login"
+    r"|header|masthead|footer|copyright|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|teasers?|tags|complementary|contentinfo)"
+    r"(?:[_-](?:ads?|articles?|area|banner|bar|block|box|buttons?|container|form|icons?|items?|links?|list|menu|nav|notice|popup|posts?|section|stories|widget|wrap|wrapper))*",
+    re.IGNORECASE,
+)
+#: Ids that publishing software gives to the readers' comments; other ids inside an article are anchors.
+_COMMENT_IDS = frozenset("comments respond disqus_thread".split())
 
 
 @dataclass(eq=False)
 class Node:
     name: str
     mark: str = ""
+    roles: tuple[str, ...] = ()  # class tokens and roles
+    ident: str = ""
     parent: Node | None = None
     parts: list = field(default_factory=list)  # strings and nodes
 
@@ -89,6 +101,7 @@ def parse(page: str) -> Node:
         if m["attrs"]:
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m["attrs"])}
             node.mark = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
+            node.roles, node.ident = tuple(f"{found.get('class', '')} {found.get('role', '')}".split()), found.get("id", "").strip()
         at.parts.append(node)
         if not m["attrs"].rstrip().endswith("/"):
             at = node
@@ -97,12 +110,18 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_other(node: Node, in_article: bool) -> bool:
-    """Whether HTML or the element's marks say that it is not the article's text."""
+def is_other(node: Node, in_article: bool, page: bool = False) -> bool:
+    """Whether HTML or the element's marks say that it is not the article's text.
+
+    Inside an article only containers are asked, for their whole class tokens
+    and roles; on a page that has no article (page) every mark counts.
+    """
     if node.name in _OTHER:
         return True
     if node.name == "header" and not (in_article and any(isinstance(p, Node) and p.name in ("h1", "h2") for p in node.parts)):
         return True
+    if in_article and not page:
+        return node.name in _CONTAINERS and (node.ident in _COMMENT_IDS or any(_FURNITURE.fullmatch(t) for t in node.roles))
     return bool(node.mark) and node.name not in ("html", "body", "main") and bool(_NOT_MAIN.search(node.mark))
 
 
@@ -148,7 +167,7 @@ def templates(roots: list[Node]) -> list[Node]:
     while open_:
         node = open_.pop()
         for part in node.parts:
-            if isinstance(part, Node) and not is_other(part, True):
+            if isinstance(part, Node) and not is_other(part, True, roots[0].name == "#root"):
                 if part.name in _CONTAINERS:
                     out.append(part)
                 open_.append(part)
@@ -165,6 +184,7 @@ def block_texts(roots: list[Node], known: dict[int, int], dropped: frozenset[int
         if text:
             blocks.append(text)
 
+    page = roots[0].name == "#root"
     stack: list = list(reversed(roots))
     while stack:
         part = stack.pop()
@@ -172,7 +192,7 @@ def block_texts(roots: list[Node], known: dict[int, int], dropped: frozenset[int
             run.append(part)
         elif part is None:
             flush()
-        elif is_other(part, True) and not any(part is r for r in roots) or known.get(id(part)) in dropped:
+        elif is_other(part, True, page) and not any(part is r for r in roots) or known.get(id(part)) in dropped:
             flush()
         else:
             if not part.inline():

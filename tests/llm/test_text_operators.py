@@ -233,3 +233,11 @@ def test_templates_are_counted_by_host_and_article(spark):
     assert texts[30] == "" and sorted(len(r["text"]) for r in found if r["page_id"] == 31) == [0, 59999]
     assert html_text.extract_text(pages.where("false")).count() == 0
     assert pages.select(F.col("url")).count() == len(rows)
+
+
+def test_anchors_in_articles_are_not_roles():
+    text = lambda page: " ".join(html_text.block_texts(html_text.main_roots(html_text.parse(page)), {}, set()))
+    kept = '<section id="related-work">a</section><h2 id="search">b</h2><h3 id="navigation">c</h3><p class="side-note">d</p><div id="alert-levels">e</div><h2 id="comments-on-the-method">f</h2>'
+    gone = '<div class="wide related-posts">x</div><ul role="navigation"><li>x</ul><div id="comments">x</div>'
+    assert text(f"<body><article>{kept}{gone}</article></body>") == "a b c d e f"
+    assert text('<body><div id="sidebar">x</div><p>y') == "y"
