@@ -1,8 +1,8 @@
 """Main text of web pages, without the site's templates.
 
 A page's elements are hashed as subtrees. Spark counts, for each host, on how
-many different articles' pages a subtree stands; subtrees that recur on many
-are the site's template and go, with all elements that HTML or their class mark
+many different articles' pages a subtree stands; subtrees that recur on a
+large share of them are the site's template and go, with all elements that HTML or their class mark
 as something other than the article.
 """
 
@@ -15,10 +15,10 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import small_batches, text_or_empty
+from gavelstream.llm.common import small_batches, stash, text_or_empty
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -157,21 +157,41 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return known
 
 
-#: Elements that can be template: containers, not single paragraphs, whose texts many articles may share.
-_CONTAINERS = frozenset("div section ul ol dl table figure details center td span".split())
+#: Elements that can be template. Articles quote one another, so that a single block needs a larger share of the host's articles than a container.
+_CONTAINERS = frozenset("div section ul ol dl table figure details center".split())
+_BLOCKS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr blockquote pre address header".split())
+#: Words that a subtree must have to be counted; less, such as "Yes" or a heading "References", articles have in common by chance.
+LEAST_WORDS = 3
 
 
-def templates(roots: list[Node]) -> list[Node]:
-    """The elements below the roots that are counted over the host's pages."""
-    out, open_ = [], list(roots)
+def _word_counts(root: Node) -> dict[int, int]:
+    """By identity of each element: the words of its text."""
+    order, stack, counts = [], [root], {}
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [p for p in node.parts if isinstance(p, Node)]
+    for node in reversed(order):
+        counts[id(node)] = sum(counts[id(p)] if isinstance(p, Node) else len(p.split()) for p in node.parts)
+    return counts
+
+
+def templates(roots: list[Node]) -> tuple[list[Node], list[Node]]:
+    """The containers and the single blocks below the roots that are counted over the host's pages."""
+    words = {k: v for r in roots for k, v in _word_counts(r).items()}
+    page = roots[0].name == "#root"
+    containers, blocks, open_ = [], [], list(roots)
     while open_:
         node = open_.pop()
         for part in node.parts:
-            if isinstance(part, Node) and not is_other(part, True, roots[0].name == "#root"):
-                if part.name in _CONTAINERS:
-                    out.append(part)
+            if isinstance(part, Node) and not is_other(part, True, page):
+                if words[id(part)] >= LEAST_WORDS:
+                    if part.name in _CONTAINERS:
+                        containers.append(part)
+                    elif part.name in _BLOCKS:
+                        blocks.append(part)
                 open_.append(part)
-    return out
+    return containers, blocks
 
 
 def block_texts(roots: list[Node], known: dict[int, int], dropped: frozenset[int] | set[int]) -> list[str]:
@@ -203,26 +223,23 @@ def block_texts(roots: list[Node], known: dict[int, int], dropped: frozenset[int
     return blocks
 
 
-def host_of(url: str | None) -> str:
+def host_of(url: str) -> Column:
     """The host in the URL, small letters, without user and port; empty if there is none."""
-    m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "", re.IGNORECASE)
-    return m[1].lower() if m else ""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, subtree, article, page: a row for each subtree of each page that may be template."""
+    """host, article, containers, blocks: for each page the subtrees that may be template."""
     for batch in batches:
-        hosts, trees, articles, pages = [], [], [], []
-        for page, url, text in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html"))):
+        articles, found = [], ([], [])
+        for text in batch.column("html").to_pylist():
             roots = main_roots(parse(text))
             known = {k: v for r in roots for k, v in subtree_hashes(r).items()}
-            body = xxhash.xxh64("".join(str(known[id(r)]) for r in roots)).intdigest() - 2**63
-            own = {known[id(n)] for n in templates(roots)}
-            hosts += [host_of(url)] * len(own)
-            trees += own
-            articles += [body] * len(own)
-            pages += [page] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(articles, pa.int64()), pa.array(pages, pa.int64())], ["host", "subtree", "article", "page"])
+            articles.append(xxhash.xxh64("".join(str(known[id(r)]) for r in roots)).intdigest() - 2**63)
+            for out, nodes in zip(found, templates(roots)):
+                out.append(list({known[id(n)] for n in nodes}))
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(articles, pa.int64()), *lists], ["host", "article", "containers", "blocks"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,23 +252,35 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def extract_text(pages: DataFrame, least_pages: int = 10) -> DataFrame:
+#: Keys over which a host's pages are dealt, as one host may have a large part of them.
+SALTS = 64
+
+
+def extract_text(pages: DataFrame, least_pages: int = 10, container_share: float = 0.3, block_share: float = 0.9) -> DataFrame:
     """page_id, url, text (the main text, empty if none) for each row of pages.
 
-    A container element whose subtree stands on pages of least_pages different
-    articles of its host is template. Copies of one article count once, so that
-    a page that is repeated keeps its text, and single paragraphs are never
-    template, as articles quote one another.
+    An element whose subtree stands on pages of least_pages different articles
+    of its host, and on a share of all of the host's articles, is template: on
+    container_share of them for a container, on block_share for a single block
+    such as a paragraph, as articles quote one another. Cells, inline elements
+    and subtrees of under LEAST_WORDS words are not judged. Copies of one
+    article count once, so that a page that is repeated keeps its text.
 
     Null pages are empty. A null or strange URL has the empty host. Rows that
     repeat a page_id give a row each; extra columns are ignored; an empty table
     gives an empty one.
     """
     small_batches(pages.sparkSession, 500)
-    rows = pages.select("page_id", "url", text_or_empty("html").alias("html"), F.xxhash64("url", "html").alias("page"))
-    found = rows.select("page", "url", "html").mapInArrow(_subtrees, "host string, subtree long, article long, page long")
-    per_article = found.groupBy("host", "subtree", "article").agg(F.lit(1).alias("one"))
-    recurring = per_article.groupBy("host", "subtree").count().where(F.col("count") >= least_pages).select("host", "subtree")
-    dropped = found.join(recurring, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("dropped"))
-    joined = rows.join(dropped, "page", "left").select("page_id", "url", "html", "dropped")
+    rows = pages.select("page_id", "url", text_or_empty("html").alias("html"))
+    hosted = rows.select(F.xxhash64(host_of("url")).alias("host"), "html")
+    found = hosted.mapInArrow(_subtrees, "host long, article long, containers array<long>, blocks array<long>")
+    articles = stash(found.groupBy("host", "article").agg(F.first("containers").alias("containers"), F.first("blocks").alias("blocks")), "html-articles")
+    counted = articles.select("host", F.explode("containers").alias("subtree"), F.lit(container_share).alias("share"))
+    counted = counted.unionByName(articles.select("host", F.explode("blocks").alias("subtree"), F.lit(block_share).alias("share")))
+    often = counted.groupBy("host", "subtree", "share").count().where(F.col("count") >= least_pages)
+    recurring = often.join(articles.groupBy("host").agg(F.count("*").alias("of")), "host").where(F.col("count") >= F.col("share") * F.col("of"))
+    dropped = recurring.groupBy("host").agg(F.collect_set("subtree").alias("dropped"))
+    dropped = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = [F.xxhash64(host_of("url")).alias("host"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("salt")]
+    joined = rows.select("*", *keys).join(dropped, ["host", "salt"], "left").select("page_id", "url", "html", "dropped")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")

@@ -241,3 +241,10 @@ def test_anchors_in_articles_are_not_roles():
     gone = '<div class="wide related-posts">x</div><ul role="navigation"><li>x</ul><div id="comments">x</div>'
     assert text(f"<body><article>{kept}{gone}</article></body>") == "a b c d e f"
     assert text('<body><div id="sidebar">x</div><p>y') == "y"
+
+
+def test_templates_of_single_blocks(spark):
+    rows = [(k, f"http://big.org/{k}", f"<article><p>Read all of our stories here<li>Sent to you every day</li><p>own {k}<p>quoted by half the articles{k % 2}</article>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    assert found == {k: f"own {k} quoted by half the articles{k % 2}" for k in range(40)}
