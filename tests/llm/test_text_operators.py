@@ -248,3 +248,11 @@ def test_templates_of_single_blocks(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
     assert found == {k: f"own {k} quoted by half the articles{k % 2}" for k in range(40)}
+
+
+def test_templates_are_a_share_of_the_articles(spark):
+    cell = "<table><tr><td>Yes<td>row {k}</table><p>see <span>New York</span></p><div>Shared by some articles</div>"
+    rows = [(k, f"http://big.org/{k}", f"<article><p>own {k}" + (cell.format(k=k) if k < 12 else "") + "</article>") for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    assert found == {k: f"own {k}" + (f" Yes row {k} see New York Shared by some articles" if k < 12 else "") for k in range(100)}
