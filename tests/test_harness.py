@@ -10,7 +10,7 @@ import pytest
 from gavelstream import schemas
 from gavelstream.harness.config import BenchmarkError, CaseResult, RunConfig, load_config
 from gavelstream.harness.generator import generate
-from gavelstream.harness.runner import run_batch, run_stream, save_results, summary
+from gavelstream.harness.runner import make_rows, run_batch, run_stream, save_results, summary
 from gavelstream.harness.sampler import Sampler
 from gavelstream.reports import dashboard
 from gavelstream.reports.loader import latest_report, load_report
@@ -49,6 +49,14 @@ def test_streamed_case(spark):
         run_batch(spark, "q999", RunConfig(), None)
 
 
+def test_all_columns_are_made(spark):
+    failing = spark.range(3).selectExpr("id", "if(id = 1, raise_error('made'), 'x') AS body")
+    assert failing.count() == 3
+    with pytest.raises(Exception, match="made"):
+        make_rows(failing)
+    assert make_rows(spark.range(5)) == 5 and make_rows(spark.range(5).where("id > 9")) == make_rows(spark.range(5).where("false")) == 0
+
+
 def test_reports_round_trip(spark, tmp_path):
     with Sampler("q1", "batch", 0.05) as sampler:
         sum(range(10**6))
