@@ -13,7 +13,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
     Each round hangs every node's larger neighbours, then its smaller ones, on
     the least node seen, until the links are stars. The links stay in Spark; a
-    round tells the driver only their number and a checksum. Rows with a null
+    round tells the driver only their number and a checksum. Each node's least
+    neighbour is written before the links join it, so that the join has an
+    exchange of its own and Spark can split the centre of a large component. Rows with a null
     end or with equal ends link nothing.
     """
     edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"{a} != {b}").distinct()
@@ -22,7 +24,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        edges = stash(_small_star(_large_star(edges)), "components")
+        edges = stash(_small_star(stash(_large_star(edges), "components-large")), "components")
         before, state = state, _state(edges)
         if state == before:
             break
@@ -34,12 +36,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("at"), F.col("lo").alias("to")).unionByName(edges.select(F.col("lo").alias("at"), F.col("hi").alias("to")))
-    least = both.groupBy("at").agg(F.least(F.min("to"), F.first("at")).alias("low"))
+    least = stash(both.groupBy("at").agg(F.least(F.min("to"), F.first("at")).alias("low")), "components-least")
     return both.join(least, "at").where("to > at").select(F.col("to").alias("hi"), F.col("low").alias("lo")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("low"))
+    least = stash(edges.groupBy("hi").agg(F.min("lo").alias("low")), "components-least")
     moved = edges.join(least, "hi").where("lo != low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
     return moved.unionByName(least.select("hi", F.col("low").alias("lo"))).distinct()
 

@@ -15,7 +15,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelstream.llm.common import small_batches, stash, text_or_empty
@@ -27,16 +28,17 @@ BLOCK = 16384
 
 
 @lru_cache(maxsize=8)
-def covering_masks(radius: int) -> list[int]:
+def covering_masks(radius: int, family: int = 0) -> list[int]:
     """One mask of kept bits, as a signed 64-bit number, for each of the 2 ** (radius + 1) - 1 tables.
 
     Bits take vectors a step apart. Any step is certain to find the pairs; the
     first under which every table keeps enough bits also tells others apart.
+    Another family lays the bits out in another order.
     """
     span = 2 ** (radius + 1) - 1
 
     def masks(step: int) -> list[int]:
-        vectors = [bit * step % span + 1 for bit in range(BITS)]
+        vectors = [(bit * (family * 26 + 1) + family) % BITS * step % span + 1 for bit in range(BITS)]
         return [sum(1 << bit for bit, v in enumerate(vectors) if (v & table).bit_count() % 2) for table in range(1, span + 1)]
 
     kept = lambda step: min(m.bit_count() for m in masks(step))
@@ -71,24 +73,14 @@ def _majority(blocks: Iterable[list[int]], n: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def word_set_fingerprint(text: bytes, seed: int = 42) -> int:
-    """The unsigned SimHash of the text's distinct words; an edited word moves it less than the shingles it is in."""
-    words = list(dict.fromkeys(text.lower().split()))
-    return _majority(([xxhash.xxh64_intdigest(w, seed) for w in words[k : k + BLOCK]] for k in range(0, len(words), BLOCK)), len(words))
-
-
-def simhash(docs: DataFrame, shingle_words: int | None = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row; null and empty texts have 0.
-
-    With shingle_words None the fingerprint is that of the distinct words.
-    """
+def simhash(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) for each row; null and empty texts have 0."""
     small_batches(docs.sparkSession)
-    of_text = word_set_fingerprint if shingle_words is None else lambda text: fingerprint(text, shingle_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            fps = np.fromiter((of_text(t.as_py()) for t in texts), np.uint64, len(texts))
+            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -143,29 +135,21 @@ def _star(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarr
     return members, sources
 
 
-def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limit: int = 20000) -> DataFrame:
-    """a, b, spare: pairs that connect all fingerprints (distinct, column fp) within the radius of each other.
-
-    With a reach beyond the radius, pairs up to that far apart are taken too
-    where they share a bucket, which is not certain; and there are spare pairs,
-    which join the same ones in another way, for one who checks pairs further.
+def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 20000) -> DataFrame:
+    """a, b: pairs that connect all fingerprints (distinct, column fp) within the radius of each other.
 
     Buckets are read as runs of a sorted partition. A bucket gives a spanning
     forest of its links, not its pairs. One with more than bucket_limit
-    fingerprints is compared in a second step, block against block, each pair
-    of blocks in a group of its own, so that no task holds the bucket.
+    fingerprints is cut by a second family of masks, under which again every
+    pair within the radius meets; what still is larger is compared block against
+    block, each pair of blocks in a group of its own, so that no task holds the
+    bucket.
     """
-    spares = reach is not None
-    reach = radius if reach is None else reach
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])).alias("slot", "key")
-    buckets = fps.select("fp", tables)
-    buckets = buckets.repartition(F.col("slot"), F.col("key")).sortWithinPartitions("slot", "key")
-    schema = "a long, b long, spare boolean, slot int, key long"
-
-    def emit(a, b, slot=None, key=None, spare=False) -> pa.RecordBatch:
+
+    def emit(a, b, slot=None, key=None) -> pa.RecordBatch:
         n = len(a)
         over = [pa.array(slot, pa.int32()), pa.array(key, pa.int64())] if slot is not None else [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([spare] * n, pa.bool_()), *over], ["a", "b", "spare", "slot", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *over], ["a", "b", "slot", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, key, fp = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -197,39 +181,48 @@ def links(fps: DataFrame, radius: int = 4, reach: int | None = None, bucket_limi
 
     def joined(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         pairs = starts[sizes == 2]
-        near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= reach
-        a, b, spare_a, spare_b = [fp[pairs][near]], [fp[pairs + 1][near]], [], []
+        near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= radius
+        a, b = [fp[pairs][near]], [fp[pairs + 1][near]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            members, sources = _forest(fp[s : s + n], reach)
+            members, sources = _forest(fp[s : s + n], radius)
             a += members
             b += sources
-            if spares and n <= TREE:
-                members, sources = _star(fp[s : s + n], reach)
-                spare_a += members
-                spare_b += sources
         if sum(map(len, a)):
             yield emit(np.concatenate(a), np.concatenate(b))
-        if spare_a:
-            yield emit(np.concatenate(spare_a), np.concatenate(spare_b), spare=True)
 
-    found = stash(buckets.mapInArrow(run, schema), "simhash-links")
-    small = found.where("slot is null").select("a", "b", "spare")
+    def searched(buckets: DataFrame) -> DataFrame:
+        buckets = buckets.repartition(F.col("slot"), F.col("key")).sortWithinPartitions("slot", "key")
+        return stash(buckets.mapInArrow(run, "a long, b long, slot int, key long"), "simhash-links")
 
-    # buckets beyond the limit: every pair of blocks meets once
+    masks = covering_masks(radius)
+    found = searched(fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("slot", "key")))
+    small, large = found.where("slot is null").select("a", "b"), found.where("slot is not null")
+    if large.isEmpty():
+        return small.distinct()
+
+    # buckets beyond the limit: the bits that they share and those of a second family of masks
+    kept = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("slot") + 1)
+    finer = F.posexplode(F.array(*[F.lit(m) for m in covering_masks(radius, 1)])).alias("finer", "mask")
+    large = large.select(F.col("a").alias("fp"), kept.alias("kept"), "slot", finer)
+    large = large.select("fp", (F.col("slot") * len(masks) + F.col("finer")).cast("int").alias("slot"), F.col("fp").bitwiseAND(F.col("kept").bitwiseOR(F.col("mask"))).alias("key"))
+    found = searched(large)
+    small = small.unionByName(found.where("slot is null").select("a", "b"))
+
+    # those still beyond it: every pair of blocks meets once
     large = found.where("slot is not null").select("slot", "key", F.col("a").alias("fp"))
-    sizes = large.groupBy("slot", "key").agg(F.ceil(F.count("*") / (bucket_limit // 2)).cast("int").alias("blocks"))
+    if large.isEmpty():
+        return small.distinct()
+    sizes = stash(large.groupBy("slot", "key").agg(F.ceil(F.count("*") / (bucket_limit // 2)).cast("int").alias("blocks")), "simhash-sizes")
     large = large.join(sizes, ["slot", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def block_pair(t: pa.Table) -> pa.Table:
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in _forest(t.column("fp").to_numpy(), reach))
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in _forest(t.column("fp").to_numpy(), radius))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    if found.where("slot is not null").isEmpty():
-        return small.distinct()
     pairs = large.groupBy("slot", "key", "i", "j").applyInArrow(block_pair, "a long, b long")
-    return small.unionByName(pairs.withColumn("spare", F.lit(False))).distinct()
+    return small.unionByName(pairs).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4) -> DataFrame:
@@ -246,7 +239,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4) ->
     distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = connected_components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that the join has an exchange of its own on each side, which Spark can split at a root of very many
+    least = stash(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-roots")
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -266,8 +260,8 @@ def shingle_set(text: bytes, shingle_words: int = 5, seed: int = 42) -> list[int
 
 #: A shingle that stands in the prefixes of more sets than this is compared by blocks.
 COMMON = 32
-#: Shingles of the sets of a block, about.
-BLOCK_SHINGLES = 400_000
+#: Shingles of the sets of a block, and sets of a block that is compared by parities, about.
+BLOCK_SHINGLES, BLOCK_NODES = 400_000, 2048
 #: Frequent shingles that are put last in the order of prefixes, at most; the order decides on the time taken, not on the result.
 FREQUENT = 100_000
 #: Rows of the prefix table that are looked at together.
@@ -281,6 +275,45 @@ def _sorted_set(text: bytes, shingle_words: int) -> tuple[np.ndarray, int]:
     return shingles, node - 2**64 if node >= 2**63 else node
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Whether an even or odd number of the shingles falls into each cell; about a cell for each shingle, 64 at least.
+
+    Two sets differ in as many shingles at least as in cells, which tells most
+    dissimilar sets apart by an eighth of a byte for each shingle.
+    """
+    cells = max(64, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 64)
+    counts = np.bincount((shingles & (cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _halved(cells: np.ndarray) -> np.ndarray:
+    """Parities (rows of bytes) over half as many cells."""
+    half = cells.shape[1] // 2
+    return cells[:, :half] ^ cells[:, half:]
+
+
+def _most_apart(na, nb, similarity: float):
+    """In how many elements sets of na and nb can differ at most if they are that similar."""
+    return (na + nb) * (1 - similarity) / (1 + similarity) + 1e-9
+
+
+def _may_be_similar(a: bytes, na: int, b: bytes, nb: int, similarity: float) -> bool:
+    x, y, width = _number(a), _number(b), 8 * min(len(a), len(b))
+    return (_folded(x, 8 * len(a), width) ^ _folded(y, 8 * len(b), width)).bit_count() <= _most_apart(na, nb, similarity)
+
+
+def _number(cells: bytes) -> int:
+    return int.from_bytes(cells, "little")
+
+
+def _folded(cells: int, bits: int, width: int) -> int:
+    """Parities over `bits` cells (a power of two times the width) as parities over width cells."""
+    while bits > width:
+        bits //= 2
+        cells = cells >> bits ^ cells & ((1 << bits) - 1)
+    return cells
+
+
 def _prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
     """So many of a set's first shingles, frequent ones last, that no similar set is without all of them."""
     n = len(shingles)
@@ -350,6 +383,36 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int]
     return members, sources
 
 
+def possible_forest(cells: list[bytes], n: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Places of pairs whose parities allow the similarity, which join whatever of the sets such pairs connect."""
+    width = np.array([len(c) for c in cells])
+    rows = {w: np.frombuffer(b"".join(c for c in cells if len(c) == w), np.uint8).reshape(-1, w) for w in np.unique(width).tolist()}
+    place = np.zeros(len(cells), np.int64)
+    for w in rows:
+        place[width == w] = np.arange(len(rows[w]))
+    rest, members, sources = np.arange(len(cells)), [], []
+    while len(rest) > 1:
+        open_, rest = [int(rest[0])], rest[1:]
+        while open_ and len(rest):
+            at = open_.pop()
+            most = _most_apart(n[at], n[rest], similarity)
+            near = np.zeros(len(rest), bool)
+            for w, table in rows.items():
+                own = np.flatnonzero((width[rest] == w) & (n[rest] >= similarity * n[at] - 1e-9) & (n[at] >= similarity * n[rest] - 1e-9))
+                if len(own):
+                    mine, theirs = rows[width[at]][place[at] : place[at] + 1], table[place[rest[own]]]
+                    while mine.shape[1] > theirs.shape[1]:
+                        mine = _halved(mine)
+                    while theirs.shape[1] > mine.shape[1]:
+                        theirs = _halved(theirs)
+                    near[own] = np.bitwise_count(np.ascontiguousarray(mine ^ theirs).view(np.uint64)).sum(1, dtype=np.int64) <= most[own]
+            new, rest = rest[near].tolist(), rest[~near]
+            open_ += new
+            members += new
+            sources += [at] * len(new)
+    return members, sources
+
+
 def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
     """a, b, i, j, na, nb, common: nodes that share a shingle of their prefixes, a row for each such shingle.
 
@@ -403,17 +466,28 @@ def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
     return prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, schema)
 
 
+def _in_blocks(grouped: DataFrame, weight: Column, most: int) -> DataFrame:
+    """grouped (node, group) with x, y: every two nodes of a group meet in some pair of blocks; a block weighs about `most`."""
+    blocks = grouped.groupBy("group").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
+    # written, so that the join has an exchange of its own on each side, which Spark can split at a large group
+    dealt = grouped.join(stash(blocks, "similar-blocks"), "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block != other")
+    return dealt.select("node", "group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
 def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
     """a, b: doc_ids of pairs whose sets of shingles are similar (Jaccard), so many that they connect all groups of them.
 
     Texts with equal sets are one node. Similar sets share a shingle among the
     first of each in any one order (prefix filter), so every similar pair of
-    nodes meets there. Pairs that meet at rare shingles are compared one by one
-    from the whole texts, but for those that are too far apart by the number of
-    shingles met and left. Nodes that meet at common shingles make groups, in
-    which each is compared with each, block against block; blocks give a
-    spanning forest of their similar pairs. No similar pair is left unconnected,
-    but for collisions of 64-bit hashes, and all pairs returned are similar.
+    nodes meets there. Pairs that meet at rare shingles, but for those that are
+    too far apart by the number of shingles met and left, are compared by
+    their parities, and so are those of nodes that meet at common shingles, in
+    groups, block against block. What the parities allow makes families, and
+    within a family the whole sets are compared each with each, block against
+    block; blocks give a spanning forest of their similar pairs. No similar pair
+    is left unconnected, but for collisions of 64-bit hashes, and all pairs
+    returned are similar.
 
     A null doc_id is never in a pair. Rows that repeat a doc_id count as one
     document that has all their texts.
@@ -435,57 +509,67 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
         for batch in batches:
             sets = [_sorted_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
             first = pa.array([_prefix(s, frequent, similarity) for s, _ in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for _, k in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), first], ["doc_id", "node", "n", "prefix"])
+            cells = pa.array([parity(s) for s, _ in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for _, k in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), cells, first], ["doc_id", "node", "n", "cells", "prefix"])
 
-    rows = stash(texts.mapInArrow(prefixes, "doc_id long, node long, n int, prefix array<long>"), "similar")
-    nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n")), "similar-nodes")
+    rows = stash(texts.mapInArrow(prefixes, "doc_id long, node long, n int, cells binary, prefix array<long>"), "similar")
+    nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("cells").alias("cells")), "similar-nodes")
     again = rows.join(nodes, "node").where("doc_id != least_id").select(F.col("least_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     single = rows.join(nodes.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi")
     # a doc_id that repeats a text would be met with itself, which links nothing
     placed = single.select("node", "n", F.posexplode("prefix").alias("place", "shingle"))
     met = stash(_meetings(placed, similarity), "similar-met")
 
-    groups = connected_components(met.where("common and a != b").select("a", "b"))
-    groups = stash(groups.withColumnRenamed("root", "group"), "similar-groups")
+    # pairs that met at rare shingles
     total = F.col("na") + F.col("nb")
     least = F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
     pairs = met.where("not common and a != b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"))
-    pairs = pairs.where(F.col("shared") + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j")) >= least).select("a", "b")
-    known = pairs.join(groups.select(F.col("node").alias("a"), F.col("group").alias("a_group")), "a", "left")
-    known = known.join(groups.select(F.col("node").alias("b"), F.col("group").alias("b_group")), "b", "left")
-    pairs = stash(known.where("a_group is null or b_group is null or a_group != b_group").select("a", "b"), "similar-pairs")
+    pairs = pairs.where(F.col("shared") + F.least(F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j")) >= least).select("a", "b", "na", "nb")
+    for name in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(name), F.col("cells").alias(f"{name}_cells")), name)
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_sorted_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in sets], pa.int64()), pa.array([s for s, _ in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+            columns = (batch.column(c).to_pylist() for c in ("a_cells", "na", "b_cells", "nb"))
+            yield batch.select(["a", "b"]).filter(pa.array([_may_be_similar(*row, similarity) for row in zip(*columns)], pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
-    wanted = stash(nodes.join(wanted, "node", "left_semi"), "similar-wanted")
-    sets = texts.join(wanted.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole_sets, "node long, shingles array<long>")
-    sets = stash(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    possible = pairs.mapInArrow(allowed, "a long, b long")
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+    # groups of those that met at common shingles
+    def possible_in_blocks(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        members, sources = possible_forest(t.column("cells").to_pylist(), t.column("n").to_numpy(), similarity)
+        return pa.table({"a": pa.array(node[members], pa.int64()), "b": pa.array(node[sources], pa.int64())})
 
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set") - shared
-    between = pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= similarity * either).select("a", "b")
+    groups = connected_components(met.where("common and a != b").select("a", "b")).withColumnRenamed("root", "group")
+    dealt = _in_blocks(groups, F.lit(1), BLOCK_NODES).join(nodes.select("node", "n", "cells"), "node")
+    possible = possible.unionByName(dealt.groupBy("group", "x", "y").applyInArrow(possible_in_blocks, "a long, b long"))
 
-    # groups of common shingles: every pair of blocks meets once
-    sized = groups.join(nodes.select("node", "n"), "node")
-    blocks = sized.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = groups.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block != other")
-    dealt = dealt.select("node", "group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(sets, "node")
+    # families of those that may be similar
+    families = stash(connected_components(possible).withColumnRenamed("root", "group").join(nodes.select("node", "n", "least_id"), "node"), "similar-families")
 
-    def block_pair(t: pa.Table) -> pa.Table:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [zstandard.ZstdCompressor(level=3).compress(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_sorted_set(zstandard.ZstdDecompressor().decompress(t.as_py()), shingle_words) for t in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in sets], pa.int64()), pa.array([s for s, _ in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    bodies = texts.mapInArrow(packed, "doc_id long, body binary")
+    sets = bodies.join(families.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole_sets, "node long, shingles array<long>")
+    # a doc_id that repeats has other texts besides the node's
+    sets = stash(sets.join(families.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+
+    def similar_in_blocks(t: pa.Table) -> pa.Table:
         shingles, node = t.column("shingles").combine_chunks(), t.column("node").to_numpy()
         members, sources = similar_forest([s.values.to_numpy() for s in shingles], similarity)
         return pa.table({"a": pa.array(node[members], pa.int64()), "b": pa.array(node[sources], pa.int64())})
 
-    within = dealt.groupBy("group", "x", "y").applyInArrow(block_pair, "a long, b long")
-    linked = stash(between.unionByName(within), "similar-linked")
+    dealt = _in_blocks(families.select("node", "group", "n"), F.col("n"), BLOCK_SHINGLES).join(sets, "node")
+    linked = stash(dealt.groupBy("group", "x", "y").applyInArrow(similar_in_blocks, "a long, b long"), "similar-linked")
     named = linked.join(nodes.select(F.col("node").alias("a"), F.col("least_id").alias("a_id")), "a").join(nodes.select(F.col("node").alias("b"), F.col("least_id").alias("b_id")), "b")
     named = named.where("a_id != b_id").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     return named.unionByName(again)
