@@ -1,9 +1,10 @@
 """Main text of web pages, without the site's templates.
 
-A page's elements are hashed as subtrees. Spark counts, for each host, on how
-many different articles' pages a subtree stands; subtrees that recur on a
-large share of them are the site's template and go, with all elements that HTML or their class mark
-as something other than the article.
+All elements of a page are hashed as subtrees. Spark counts, for each host, on
+how many different articles' pages a subtree stands; those that recur are the
+site's template and are cut out of the page's tree. What counts cannot tell,
+as it stands on too few pages, is then left out by HTML's own roles and by
+class words.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 # fixed values: element names of HTML
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-_OTHER = frozenset("nav footer aside form button menu dialog head fieldset input".split())
+_NO_TEXT = frozenset("form button dialog head fieldset input".split())
+_OTHER = _NO_TEXT | frozenset("nav footer aside menu".split())
 #: An element of the first name ends an open one of the others.
 _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -110,12 +112,15 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_other(node: Node, in_article: bool, page: bool = False) -> bool:
+def is_other(node: Node, in_article: bool, page: bool = False, roles: bool = True) -> bool:
     """Whether HTML or the element's marks say that it is not the article's text.
 
     Inside an article only containers are asked, for their whole class tokens
-    and roles; on a page that has no article (page) every mark counts.
+    and roles; on a page that has no article (page) every mark counts. Without
+    roles only elements that hold no text to read are other.
     """
+    if not roles:
+        return node.name in _NO_TEXT
     if node.name in _OTHER:
         return True
     if node.name == "header" and not (in_article and any(isinstance(p, Node) and p.name in ("h1", "h2") for p in node.parts)):
@@ -136,8 +141,10 @@ def _outermost(root: Node, wanted) -> list[Node]:
     return out
 
 
-def main_roots(root: Node) -> list[Node]:
-    """The outermost articles that are not marked otherwise; else the main elements; else the page."""
+def main_roots(root: Node, roles: bool = True) -> list[Node]:
+    """The outermost articles that are not marked otherwise; else the main elements; else, and without roles, the page."""
+    if not roles:
+        return [root]
     return _outermost(root, lambda n: n.name == "article") or _outermost(root, lambda n: n.name == "main" or "main" in n.mark.split()) or [root]
 
 
@@ -160,7 +167,8 @@ def subtree_hashes(root: Node) -> dict[int, int]:
 #: Elements that can be template. Articles quote one another, so that a single block needs a larger share of the host's articles than a container.
 _CONTAINERS = frozenset("div section ul ol dl table figure details center".split())
 _BLOCKS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr blockquote pre address header".split())
-#: Words that a subtree must have to be counted; less, such as "Yes" or a heading "References", articles have in common by chance.
+_COUNTED = _CONTAINERS | _BLOCKS | _OTHER
+#: Words that a subtree of the article must have to be counted; less, such as "Yes" or a heading "References", articles have in common by chance.
 LEAST_WORDS = 3
 
 
@@ -176,26 +184,66 @@ def _word_counts(root: Node) -> dict[int, int]:
     return counts
 
 
-def templates(roots: list[Node]) -> tuple[list[Node], list[Node]]:
-    """The containers and the single blocks below the roots that are counted over the host's pages."""
-    words = {k: v for r in roots for k, v in _word_counts(r).items()}
-    page = roots[0].name == "#root"
-    containers, blocks, open_ = [], [], list(roots)
+def templates(root: Node, roles: bool = True) -> tuple[list[Node], list[Node], list[Node]]:
+    """The elements that are counted over the host's pages: those outside the article or marked as other, and the article's containers and single blocks."""
+    words, mains = _word_counts(root), main_roots(root, roles)
+    starts, page = {id(m) for m in mains}, mains[0] is root
+    outside, containers, blocks = [], [], []
+    open_ = [(root, page)]
     while open_:
-        node = open_.pop()
+        node, in_article = open_.pop()
         for part in node.parts:
-            if isinstance(part, Node) and not is_other(part, True, page):
-                if words[id(part)] >= LEAST_WORDS:
-                    if part.name in _CONTAINERS:
-                        containers.append(part)
-                    elif part.name in _BLOCKS:
-                        blocks.append(part)
-                open_.append(part)
-    return containers, blocks
-
-
-def block_texts(roots: list[Node], known: dict[int, int], dropped: frozenset[int] | set[int]) -> list[str]:
-    """The blocks below the roots in page order, references decoded and white space made single."""
+            if not isinstance(part, Node) or not words[id(part)] or part.name == "head":
+                continue
+            inside = id(part) in starts or in_article
+            if id(part) not in starts and part.name in _COUNTED:
+                if not inside or is_other(part, True, page, roles):
+                    outside.append(part)
+                    inside = False
+                elif words[id(part)] >= LEAST_WORDS:
+                    (blocks if part.name in _BLOCKS else containers).append(part)
+            open_.append((part, inside))
+    return outside, containers, blocks
+
+
+def keys(root: Node, roles: bool = True) -> list[dict[int, int]]:
+    """For each of the kinds of templates(), the hash by which an element is counted, by the element's identity; kinds are counted apart."""
+    known = subtree_hashes(root)
+    return [{id(n): known[id(n)] ^ kind for n in nodes} for kind, nodes in enumerate(templates(root, roles))]
+
+
+def without(root: Node, dropped: set[int], roles: bool = True) -> int:
+    """Cut the elements with the dropped keys out of the tree; the characters of text that go."""
+    cut = {node for kind in keys(root, roles) for node, key in kind.items() if key in dropped}
+    gone, stack = 0, [root] if cut else []
+    while stack:
+        node = stack.pop()
+        for k, part in enumerate(node.parts):
+            if isinstance(part, Node):
+                if id(part) in cut:
+                    gone += text_size(part)
+                    node.parts[k] = Node("#gap")
+                else:
+                    stack.append(part)
+    return gone
+
+
+def text_size(node: Node) -> int:
+    """The characters of the element's text, white space left out."""
+    size, stack = 0, [node]
+    while stack:
+        node = stack.pop()
+        for part in node.parts:
+            if isinstance(part, Node):
+                if part.name != "head":
+                    stack.append(part)
+            else:
+                size += sum(map(len, html.unescape(part).split()))
+    return size
+
+
+def block_texts(mains: list[Node], roles: bool = True) -> list[str]:
+    """The blocks below the main elements in page order, references decoded and white space made single."""
     blocks, run = [], []
 
     def flush() -> None:
@@ -204,15 +252,15 @@ def block_texts(roots: list[Node], known: dict[int, int], dropped: frozenset[int
         if text:
             blocks.append(text)
 
-    page = roots[0].name == "#root"
-    stack: list = list(reversed(roots))
+    page = mains[0].name == "#root"
+    stack: list = list(reversed(mains))
     while stack:
         part = stack.pop()
         if isinstance(part, str):
             run.append(part)
         elif part is None:
             flush()
-        elif is_other(part, True, page) and not any(part is r for r in roots) or known.get(id(part)) in dropped:
+        elif is_other(part, True, page, roles) and not any(part is m for m in mains):
             flush()
         else:
             if not part.inline():
@@ -228,43 +276,63 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, article, containers, blocks: for each page the subtrees that may be template."""
-    for batch in batches:
-        articles, found = [], ([], [])
-        for text in batch.column("html").to_pylist():
-            roots = main_roots(parse(text))
-            known = {k: v for r in roots for k, v in subtree_hashes(r).items()}
-            articles.append(xxhash.xxh64("".join(str(known[id(r)]) for r in roots)).intdigest() - 2**63)
-            for out, nodes in zip(found, templates(roots)):
-                out.append(list({known[id(n)] for n in nodes}))
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(articles, pa.int64()), *lists], ["host", "article", "containers", "blocks"])
+def _subtrees(roles: bool):
+    """host, article, outside, containers, blocks: for each page the subtrees that may be template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            articles, found = [], ([], [], [])
+            for text in batch.column("html").to_pylist():
+                root = parse(text)
+                known = subtree_hashes(root)
+                articles.append(xxhash.xxh64("".join(str(known[id(m)]) for m in main_roots(root, roles))).intdigest() - 2**63)
+                for kind, (out, nodes) in enumerate(zip(found, templates(root, roles))):
+                    out.append(list({known[id(n)] ^ kind for n in nodes}))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(articles, pa.int64()), *lists], ["host", "article", "outside", "containers", "blocks"])
+
+    return run
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, dropped in zip(batch.column("html").to_pylist(), batch.column("dropped").to_pylist()):
-            roots = main_roots(parse(text))
-            known = {k: v for r in roots for k, v in subtree_hashes(r).items()} if dropped else {}
-            out.append(" ".join(block_texts(roots, known, set(dropped or ()))))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+def _extract(roles: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counted, marked = [], [], []
+            for page, dropped in zip(batch.column("html").to_pylist(), batch.column("dropped").to_pylist()):
+                root = parse(page)
+                before = text_size(root)
+                counted.append(without(root, set(dropped), roles) if dropped else 0)
+                blocks = block_texts(main_roots(root, roles), roles)
+                marked.append(before - counted[-1] - sum(len(w) for b in blocks for w in b.split()))
+                texts.append(" ".join(blocks))
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counted, pa.int64()), pa.array(marked, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "cut_by_counts", "cut_by_roles"])
+
+    return run
 
 
 #: Keys over which a host's pages are dealt, as one host may have a large part of them.
 SALTS = 64
 
 
-def extract_text(pages: DataFrame, least_pages: int = 10, container_share: float = 0.3, block_share: float = 0.9) -> DataFrame:
-    """page_id, url, text (the main text, empty if none) for each row of pages.
+def extract_text(
+    pages: DataFrame, least_pages: int = 10, container_share: float = 0.3, block_share: float = 0.9, least_outside: int = 3, outside_share: float = 0.01, roles: bool = True
+) -> DataFrame:
+    """page_id, url, text (the main text, empty if none), cut_by_counts, cut_by_roles for each row of pages.
+
+    Of all elements of a page those are template whose subtree stands on pages
+    of many different articles of its host: outside the article, or where HTML
+    or a class marks an element as something else, of least_outside and a share
+    of outside_share; in the article of least_pages and a share of
+    container_share for a container, of block_share for a single block such as
+    a paragraph, as articles quote one another. Cells, inline elements and
+    subtrees of the article of under LEAST_WORDS words are not judged. Copies of
+    one article count once, so that a page that is repeated keeps its text. The
+    shares bound a host's templates by a number of pages' elements.
 
-    An element whose subtree stands on pages of least_pages different articles
-    of its host, and on a share of all of the host's articles, is template: on
-    container_share of them for a container, on block_share for a single block
-    such as a paragraph, as articles quote one another. Cells, inline elements
-    and subtrees of under LEAST_WORDS words are not judged. Copies of one
-    article count once, so that a page that is repeated keeps its text.
+    What is left outside the article, or marked, goes by its role; with roles
+    false it stays, and counts alone decide. The last two columns are the
+    characters of text, white space left out, that each of the two took.
 
     Null pages are empty. A null or strange URL has the empty host. Rows that
     repeat a page_id give a row each; extra columns are ignored; an empty table
@@ -273,14 +341,17 @@ def extract_text(pages: DataFrame, least_pages: int = 10, container_share: float
     small_batches(pages.sparkSession, 500)
     rows = pages.select("page_id", "url", text_or_empty("html").alias("html"))
     hosted = rows.select(F.xxhash64(host_of("url")).alias("host"), "html")
-    found = hosted.mapInArrow(_subtrees, "host long, article long, containers array<long>, blocks array<long>")
-    articles = stash(found.groupBy("host", "article").agg(F.first("containers").alias("containers"), F.first("blocks").alias("blocks")), "html-articles")
-    counted = articles.select("host", F.explode("containers").alias("subtree"), F.lit(container_share).alias("share"))
-    counted = counted.unionByName(articles.select("host", F.explode("blocks").alias("subtree"), F.lit(block_share).alias("share")))
-    often = counted.groupBy("host", "subtree", "share").count().where(F.col("count") >= least_pages)
-    recurring = often.join(articles.groupBy("host").agg(F.count("*").alias("of")), "host").where(F.col("count") >= F.col("share") * F.col("of"))
+    kinds = {"outside": (least_outside, outside_share), "containers": (least_pages, container_share), "blocks": (least_pages, block_share)}
+    found = hosted.mapInArrow(_subtrees(roles), "host long, article long, outside array<long>, containers array<long>, blocks array<long>")
+    articles = stash(found.groupBy("host", "article").agg(*[F.first(k).alias(k) for k in kinds]), "html-articles")
+    counted = [articles.select("host", F.explode(k).alias("subtree"), F.lit(least).alias("least"), F.lit(share).alias("share")) for k, (least, share) in kinds.items()]
+    counted = counted[0].unionByName(counted[1]).unionByName(counted[2])
+    often = counted.groupBy("host", "subtree", "least", "share").count().where("count >= least")
+    recurring = often.join(articles.groupBy("host").agg(F.count("*").alias("of")), "host").where("count >= share * of")
     dropped = recurring.groupBy("host").agg(F.collect_set("subtree").alias("dropped"))
     dropped = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # written, so that the join has an exchange of its own on each side, which Spark can split
+    dropped = stash(dropped, "html-templates")
     keys = [F.xxhash64(host_of("url")).alias("host"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("salt")]
     joined = rows.select("*", *keys).join(dropped, ["host", "salt"], "left").select("page_id", "url", "html", "dropped")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string")
+    return joined.mapInArrow(_extract(roles), "page_id long, url string, text string, cut_by_counts long, cut_by_roles long")

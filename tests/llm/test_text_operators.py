@@ -211,7 +211,7 @@ PAGE = (
 
 
 def test_page_text():
-    text = lambda page: " ".join(html_text.block_texts(html_text.main_roots(html_text.parse(page)), {}, set()))
+    text = lambda page: " ".join(html_text.block_texts(html_text.main_roots(html_text.parse(page))))
     assert text(PAGE.replace("{widget}", "")) == "Head & line One bold two <x> 3 < 4 Next a b"
     assert text("<main><div>x</div>y<!-- no --></main><p>out") == "x y"
     assert text("plain <b>text") == "plain text"
@@ -236,7 +236,7 @@ def test_templates_are_counted_by_host_and_article(spark):
 
 
 def test_anchors_in_articles_are_not_roles():
-    text = lambda page: " ".join(html_text.block_texts(html_text.main_roots(html_text.parse(page)), {}, set()))
+    text = lambda page: " ".join(html_text.block_texts(html_text.main_roots(html_text.parse(page))))
     kept = '<section id="related-work">a</section><h2 id="search">b</h2><h3 id="navigation">c</h3><p class="side-note">d</p><div id="alert-levels">e</div><h2 id="comments-on-the-method">f</h2>'
     gone = '<div class="wide related-posts">x</div><ul role="navigation"><li>x</ul><div id="comments">x</div>'
     assert text(f"<body><article>{kept}{gone}</article></body>") == "a b c d e f"
@@ -256,3 +256,39 @@ def test_templates_are_a_share_of_the_articles(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
     assert found == {k: f"own {k}" + (f" Yes row {k} see New York Shared by some articles" if k < 12 else "") for k in range(100)}
+
+
+def furnished(k, body):
+    """A page whose menu, banner and foot recur over a host, with no class or element name that tells them."""
+    return f"<body><div><ul><li>Home<li>About us</ul></div><div>Buy one, get {k % 5} free</div><div><h1>Title {k}</h1><p>{body}</p></div><div>All rights reserved</div></body>"
+
+
+def test_counts_alone_remove_a_template(spark):
+    rows = [(k, f"http://big.org/{k}", furnished(k, f"own {k}")) for k in range(60)] + [(100 + k, f"http://small{k}.org/", furnished(k, f"own {k}")) for k in range(3)]
+    rows += [(200 + k, f"http://roles.org/{k}", f"<nav>Menu {k // 4}</nav><article><p>Menu {k // 4}<p>own {k}</article><footer>once {k}</footer>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = {r["page_id"]: r for r in html_text.extract_text(pages, container_share=0.15, roles=False).collect()}
+    assert all(plain[k]["text"] == f"Title {k} own {k}" and plain[k]["cut_by_roles"] == 0 for k in range(60))
+    assert all(plain[100 + k]["text"].startswith("Home About us Buy one") for k in range(3))
+    marked = {r["page_id"]: r for r in html_text.extract_text(pages).collect()}
+    assert all(marked[200 + k]["text"] == f"Menu {k // 4} own {k}" for k in range(40))
+    assert all(marked[200 + k]["cut_by_counts"] == len(f"Menu{k // 4}") and marked[200 + k]["cut_by_roles"] == len(f"once{k}") for k in range(40))
+
+
+def test_counted_templates_equal_brute_force(spark):
+    rng = random.Random(6)
+    parts = [f"<div>part number {k} of many</div>" for k in range(12)] + [f"<p>line number {k} of many</p>" for k in range(6)] + [f'<div class="ad">offer {k}</div>' for k in range(8)]
+    rows = []
+    for k in range(150):
+        own = [p for i, p in enumerate(parts) if rng.random() < (i % 6 + 1) / 6.5]
+        rows.append((k, f"http://host{k % 2}.org/{k}", "<article>" + "".join(own) + (f"<p>own {k}</p>" if k % 3 else "") + "</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, block_share=0.5).collect()}
+    for host in range(2):
+        own = {r[2]: r[2].removeprefix("<article>").removesuffix("</article>").replace("><", ">\n<").split("\n") for r in rows if r[0] % 2 == host}
+        counts = {p: sum(p in page for page in own.values()) for p in parts}
+        gone = {p for p, n in counts.items() if n >= 10 and n >= len(own) * (0.5 if p.startswith("<p") else 0.3)}
+        for k, _, page in rows:
+            if k % 2 == host:
+                left = [p for p in own[page] if p not in gone and "class" not in p]
+                assert found[k] == " ".join(re.sub("<[^>]*>", "", p) for p in left).strip()
