@@ -2,9 +2,10 @@
 
 Long tokens are tested for what a random key in their encoding would show:
 uniform use of the alphabet (chi-squared), as many runs as chance gives, and no
-serial correlation. The combined result of a candidate is compared with that of
-the corpus's own natural words of like length, and candidates are accepted so
-that few of them are expected to be natural text.
+serial correlation. The combined result of a candidate is compared with that of the
+corpus's own text, joined and cut to pieces of like length in the candidate's
+alphabet, and candidates are accepted so that few of them are expected to be
+such text.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _ENCODINGS = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16), ("base32", re.compile(r"[A-Z2-7]+"), 32), ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), 64))
 _ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: Lengths share a stratum up to each of these, and results a bin of a quarter decade.
-BANDS, BINS = (19, 23, 31, 47, 79, 1 << 31), 32
+#: Lengths share a stratum from each of these on, and results a bin of a quarter decade.
+BANDS, BINS = (16, 20, 24, 32, 48, 80), 32
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,42 +60,49 @@ def inferred_encoding(token: str) -> str | None:
     return next(name for name, pattern, _ in _ENCODINGS if pattern.fullmatch(token))
 
 
-def is_natural(token: str) -> bool:
-    """A long word: letters only, small ones after the first."""
-    return token.isalpha() and token[1:].islower()
-
-
-_INDEX = {}
+_INDEX, _HELD = {}, {}
 for _name, _letters in _ALPHABETS.items():
-    _table = np.zeros(128, np.int64)
+    _table = np.full(256, -1, np.int64)
     for _k in range(128):
         _c = chr(_k).lower() if _name == "hex" else chr(_k).upper() if _name == "base32" else {"_": "/", "-": "+"}.get(chr(_k), chr(_k))
-        _table[_k] = _letters.find(_c) if _c in _letters else _k % len(_letters)
-    _INDEX[_name] = _table
+        if chr(_k).isalnum() or _name == "base64":
+            _table[_k] = _letters.find(_c)
+    _INDEX[_name], _HELD[_name] = np.maximum(_table, 0), _table >= 0
+_ALNUM = np.array([chr(k).isalnum() and k < 128 for k in range(256)])
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    """The complementary error function of x >= 0, by the rational Chebyshev fit of relative error 1.2e-7."""
+    # fixed values: coefficients of the fit, constant first
+    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    t = 1 / (1 + x / 2)
+    return t * np.exp(-x * x + np.polynomial.polynomial.polyval(t, fit))
 
 
 def _tail(z: np.ndarray) -> np.ndarray:
     """P(|Z| >= z) of a normal variable."""
-    return np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z])
+    return _erfc(np.abs(z) / math.sqrt(2))
 
 
 def battery(tokens: list[str], encoding: str) -> np.ndarray:
-    """Combined p-value of each token under the hypothesis that it is random in the encoding.
+    """Combined p-value of each token under the hypothesis that it is random in the encoding."""
+    raw = np.frombuffer("".join(tokens).encode("ascii"), np.uint8)
+    return _battery(_INDEX[encoding][raw], np.fromiter(map(len, tokens), np.int64, len(tokens)), len(_ALPHABETS[encoding]))
+
+
+def _battery(x: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+    """battery() of pieces of n letters each, x their numbers in an alphabet of m.
 
     Three tests, combined by Fisher's method: chi-squared over four equal parts
     of the alphabet, the number of runs above and below its middle, and the
     correlation of neighbours.
     """
-    m = len(_ALPHABETS[encoding])
-    raw = np.frombuffer("".join(tokens).encode("ascii"), np.uint8)
-    x = _INDEX[encoding][raw]
-    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
     first = np.cumsum(n) - n
     total = lambda v: np.add.reduceat(v, first)
 
     parts = np.stack([total((x * 4 // m == k).astype(np.float64)) for k in range(4)])
     chi = ((parts - n / 4) ** 2 / (n / 4)).sum(0)
-    uniform = np.array([math.erfc(math.sqrt(c / 2)) + math.sqrt(2 * c / math.pi) * math.exp(-c / 2) for c in chi])
+    uniform = _erfc(np.sqrt(chi / 2)) + np.sqrt(2 * chi / math.pi) * np.exp(-chi / 2)
 
     high = (x * 2 >= m).astype(np.float64)
     turns = np.append(high[1:] != high[:-1], False).astype(np.float64)
@@ -115,36 +123,59 @@ def battery(tokens: list[str], encoding: str) -> np.ndarray:
     return np.exp(-half) * (1 + half + half**2 / 2)
 
 
+def natural_pieces(texts: list[str], encoding: str) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' letters and digits that the encoding holds, as numbers, and the lengths of the pieces that each text is cut into.
+
+    A text's letters are joined and cut to pieces as long as each band's
+    shortest token in turn, over and over; its last, shorter piece goes.
+    """
+    raw = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+    held = np.flatnonzero(_HELD[encoding][raw] & _ALNUM[raw])
+    sizes = np.diff(np.searchsorted(held, bounds))
+    ends_of = np.cumsum(BANDS)  # of the pieces of a turn
+    whole, rest = np.divmod(sizes, int(ends_of[-1]))
+    more = np.searchsorted(ends_of, rest, "right")
+    pieces = whole * len(BANDS) + more
+    used = whole * int(ends_of[-1]) + np.concatenate(([0], ends_of))[more]
+    order = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    place = np.arange(len(held)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return _INDEX[encoding][raw[held[place < np.repeat(used, sizes)]]], np.array(BANDS)[order % len(BANDS)]
+
+
 def _bins(p: np.ndarray) -> np.ndarray:
     return np.minimum(BINS - 1, np.floor(-4 * np.log10(np.maximum(p, 1e-12)))).astype(int)
 
 
-def _band(n: int) -> int:
-    return next(k for k, most in enumerate(BANDS) if n <= most)
+def _band(n):
+    return np.searchsorted(BANDS, n, "right") - 1
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its base spans and candidates; per batch, with its first row, the results of natural words."""
+    """Per document its base spans and candidates; per batch, with its first row, the results of the text around them."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        spans, found, natural = [base_spans(t) for t in texts], [], Counter()
+        spans, rest = [base_spans(t) for t in texts], []
         by_encoding: dict[str, list[tuple[int, int, str]]] = {}
         for k, text in enumerate(texts):
+            at, around = 0, []
             for m in _TOKEN.finditer(text):
-                token = m[0]
-                if is_natural(token):
-                    natural[token] += 1
-                elif encoding := inferred_encoding(token):
-                    by_encoding.setdefault(encoding, []).append((k, m.start(), token))
+                if encoding := inferred_encoding(m[0]):
+                    by_encoding.setdefault(encoding, []).append((k, m.start(), m[0]))
+                    around.append(text[at : m.start()])
+                    at = m.end()
+            rest.append("".join([*around, text[at:]]))
         rows: list[list[dict]] = [[] for _ in texts]
         for encoding, items in by_encoding.items():
             for (k, start, token), b in zip(items, _bins(battery([t for _, _, t in items], encoding))):
-                rows[k].append({"start": start, "end": start + len(token), "encoding": encoding, "band": _band(len(token)), "bin": int(b)})
+                rows[k].append({"start": start, "end": start + len(token), "encoding": encoding, "band": int(_band(len(token))), "bin": int(b)})
         counts: Counter = Counter()
-        words = list(natural)
-        for encoding in _ALPHABETS if words else ():
-            for word, b in zip(words, _bins(battery(words, encoding))):
-                counts[encoding, _band(len(word)), int(b)] += natural[word]
+        for encoding, letters in _ALPHABETS.items():
+            x, n = natural_pieces(rest, encoding)
+            if len(n):
+                cells, times = np.unique(_band(n) * BINS + _bins(_battery(x, n, len(letters))), return_counts=True)
+                for cell, n_pieces in zip(cells.tolist(), times.tolist()):
+                    counts[encoding, cell // BINS, cell % BINS] += n_pieces
         found = [[] for _ in texts]
         if texts:
             found[0] = [{"encoding": e, "band": d, "bin": b, "n": n} for (e, d, b), n in counts.items()]
@@ -161,22 +192,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def accepted(candidates: list[Row], natural: list[Row], rate: float = 0.05, few: int = 100) -> list[tuple[str, int, int]]:
-    """The (encoding, band, bin) cells to accept at a false-discovery rate, from counts of candidates and of natural words.
+    """The (encoding, band, bin) cells to accept at a false-discovery rate, from counts of candidates and of pieces of text.
 
-    A cell's p-value is the share of natural words that look at least as random
-    in its stratum (encoding and length band), or in its encoding where the
-    stratum has under `few` words. p-values are weighted by length, as longer
-    tokens tell more, with mean weight one, and go through the step-up
-    procedure of Benjamini and Hochberg.
+    A cell's p-value is the share of pieces that look at least as random in its
+    stratum (encoding and length band). Where the stratum has under `few`
+    pieces, shorter ones count too, which look random more easily. p-values are
+    weighted by length, as longer tokens tell more, with mean weight one, and go
+    through the step-up procedure of Benjamini and Hochberg.
     """
     words: Counter = Counter()
     for r in natural:
         words[r["encoding"], r["band"], r["bin"]] += r["n"]
 
     def p_value(encoding: str, band: int, b: int) -> float:
-        own = {k: n for k, n in words.items() if k[0] == encoding and k[1] == band}
-        if sum(own.values()) < few:
-            own = {k: n for k, n in words.items() if k[0] == encoding}
+        for least in range(band, -1, -1):
+            own = {k: n for k, n in words.items() if k[0] == encoding and least <= k[1] <= band}
+            if sum(own.values()) >= few:
+                break
         return (1 + sum(n for k, n in own.items() if k[2] <= b)) / (1 + sum(own.values()))
 
     cells = [(r["encoding"], r["band"], r["bin"], r["n"]) for r in candidates]
@@ -204,7 +236,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
     Null and empty texts have no spans; rows that repeat a doc_id give a row
     each and count each; a null doc_id stays null; extra columns are ignored; an
-    empty table gives an empty one, and one without natural words accepts none.
+    empty table gives an empty one, and one without other text accepts none.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
