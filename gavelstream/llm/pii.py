@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and a character-level BiLSTM-CRF trained in numpy.
 
 The tagger learns from labelled spans, which are the fixed patterns' finds in a
-bounded sample and written variants that the patterns miss. Texts are read in
-overlapping windows; each character takes its label from the window in whose
-middle it lies, and the spans of all windows of a document are put together and
-reconciled with the fixed ones, which all stay.
+bounded sample of windows and written variants that the patterns miss. Texts
+are read in overlapping windows around what every kind must hold; each
+character takes its label from the window in whose middle it lies, and the
+spans of all windows of a document are put together and reconciled with the
+fixed ones, which all stay.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelstream.llm.common import small_batches, stash, text_or_empty
@@ -269,7 +271,7 @@ def written_variants(n: int, seed: int = 9) -> list[tuple[str, list[tuple[int, i
         return one_of(f"+{number(2)} {number(3)} {number(3)} {number(4)}", f"+1 ({number(3)}) {number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"00{number(2)} {number(3)} {number(6)}", f"+{number(11)}")
 
     def other() -> str:
-        return one_of(number(int(rng.integers(1, 7))), f"{number(1)}.{number(2)}", f"20{number(2)}-0{rng.integers(1, 10)}-1{number(1)}", f"v{number(1)}.{number(1)}.{number(2)}", f"{number(2)}:{number(2)}", f"{word()}{number(2)}", f"({number(1)})", "@" + word(), f"{number(3)}-{number(2)}", f"${number(2)}.{number(2)}", f"+{number(1)}")
+        return one_of(number(int(rng.integers(1, 7))), f"{number(1)}.{number(2)}", f"20{number(2)}-0{rng.integers(1, 10)}-1{number(1)}", f"v{number(1)}.{number(1)}.{number(2)}", f"{number(2)}:{number(2)}", f"20{number(2)}-0{rng.integers(1, 10)}-1{number(1)} 1{number(1)}:{number(2)}:{number(2)}", number(int(rng.integers(8, 15))), f"{number(3)} {number(3)} {number(3)}", f"{word()} at {word()} {word()}", f"{word()}{number(2)}", f"({number(1)})", "@" + word(), f"{number(3)}-{number(2)}", f"${number(2)}.{number(2)}", f"+{number(1)}")
 
     out = []
     for k in range(n):
@@ -316,17 +318,40 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def labelled_windows(scanned: DataFrame, max_rows: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Windows of at most max_rows documents with regions, least hash first, labelled by their fixed spans."""
-    rows = scanned.where("size(regions) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = rows.select("base", F.slice("regions", 1, 8).alias("regions")).collect()
-    out = []
-    for row in rows:
-        for region in row["regions"]:
-            text, at = region["text"][:WINDOW], region["start"]
-            spans = [(b["kind"], b["start"] - at, b["end"] - at) for b in row["base"] if b["start"] < at + len(text) and b["end"] > at]
-            out.append((text, spans))
-    return out
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of which all characters are labelled, with the fixed spans in them and a pseudorandom place.
+
+    What the fixed patterns do not find may still be personal data: windows
+    that hold enough for that beside the fixed spans have no certain label.
+    """
+    for batch in batches:
+        out = []
+        for doc_id, base, regions in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "regions"))):
+            for region in regions:
+                for at, text in windows_of(region["start"], region["text"]):
+                    spans = [{"kind": b["kind"], "start": b["start"] - at, "end": b["end"] - at} for b in base if b["start"] < at + len(text) and b["end"] > at]
+                    if not _may_hold_more(text, spans):
+                        out.append({"place": xxhash.xxh64_intdigest(f"{doc_id} {at}") >> 1, "text": text, "spans": spans})
+        yield pa.RecordBatch.from_pylist(out, _WINDOWS)
+
+
+def _may_hold_more(text: str, spans: list[dict]) -> bool:
+    rest = list(text)
+    for span in spans:
+        rest[max(0, span["start"]) : span["end"]] = " " * (min(len(text), span["end"]) - max(0, span["start"]))
+    rest = "".join(rest)
+    return len(_DIGIT.findall(rest)) >= 8 or bool(_AT.search(rest)) or len(_DOTTED.findall(rest)) >= 3
+
+
+_SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+_WINDOWS = pa.schema([("place", pa.int64()), ("text", pa.string()), ("spans", pa.list_(_SPAN))])
+
+
+def labelled_windows(scanned: DataFrame, max_windows: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """At most max_windows windows of all documents, by a hash of their place, labelled by the fixed spans."""
+    rows = scanned.mapInArrow(_windows, "place long, text string, spans array<struct<kind:int,start:int,end:int>>")
+    rows = rows.orderBy("place", "text").limit(max_windows).collect()
+    return [(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in rows]
 
 
 def windows_of(start: int, text: str) -> list[tuple[int, str]]:
@@ -348,13 +373,26 @@ def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
     return [tuple(s) for s in out]
 
 
-#: What a span of the tagger must hold to count: least characters, least digits, and its shape.
-_LEAST = {
-    "email": (7, 0, re.compile(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]|(?<= )at(?= )) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]|(?<= )dot(?= )) ?[\w-]+)+")),
-    "ip": (7, 4, re.compile(r"\d+(?: ?\. ?\d+){3}")),
-    "card": (16, 13, re.compile(r"[\d .-]+")),
-    "phone": (8, 8, re.compile(r"[\d ().+-]+")),
-}
+_AT, _NUMBERS, _DOTTED = re.compile(r"@|\bat\b", re.ASCII), re.compile(r"[0-9]+"), re.compile(r"[0-9] ?\.(?= ?[0-9])")
+
+
+def _is_kind(kind: str, span: str) -> bool:
+    """Whether a span of the tagger can be what it is called: an address has an at and a dot, an IP four parts, a card and a phone number as many digits as theirs have."""
+    numbers = _NUMBERS.findall(span)
+    digits = "".join(numbers)
+    if kind == "email":
+        return len(span) >= 7 and bool(_AT.search(span)) and ("." in span or "dot" in span)
+    if kind == "ip":
+        return len(numbers) == 4 and all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in numbers)
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and _luhn(digits)
+    return 8 <= len(digits) <= 15
+
+
+#: The words of an address: one before its at, one after it, and those that dots join on.
+_ADDRESS = re.compile(r"\S+(?: ?@ ?| ?[\[(]at[\])] ?| at )\S+(?: ?[\[(]dot[\])] ?\S+| dot \S+)*")
+#: What people put around a datum, which is no part of it.
+_AROUND = " \t\n,;:/"
 
 
 def tag_document(tagger: Tagger, regions: list[tuple[int, str]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -379,11 +417,13 @@ def _reconciled(paths: np.ndarray, windows: list[tuple[int, str]], start: int, t
         depth[k : k + n][better] = inside[better]
     out = []
     for kind, s, e in spans_of(labels):
-        chars, digits, shape = _LEAST[KINDS[kind]]
-        span = text[s:e]
-        if e - s >= chars and sum(map(str.isdigit, span)) >= digits and shape.fullmatch(span) and (kind != 2 or _luhn(re.sub("[^0-9]", "", span))):
-            if not any(b < start + e and start + s < f for _, b, f in base):
-                out.append((kind, start + s, start + e))
+        span = text[s:e].rstrip(_AROUND)
+        e, span = s + len(span), span.lstrip(_AROUND)
+        s = e - len(span)
+        if KINDS[kind] == "email" and (core := _ADDRESS.search(span)):
+            s, e, span = s + core.start(), s + core.end(), core[0]
+        if _is_kind(KINDS[kind], span) and not any(b < start + e and start + s < f for _, b, f in base):
+            out.append((kind, start + s, start + e))
     return out
 
 
@@ -413,20 +453,23 @@ def _tagging(tagger: Tagger, block: int = 512):
     return run
 
 
-def find_personal_data(docs: DataFrame, max_rows: int = 300, variants: int = 1600) -> DataFrame:
+def find_personal_data(docs: DataFrame, max_windows: int = 1500, variants: int = 1600) -> DataFrame:
     """doc_id, spans (array of kind, start, end, learned; code points, end exclusive) for each row of docs.
 
     learned tells the tagger's spans from the fixed patterns'. Spans are ordered
-    by kind as in KINDS, then start. The tagger is trained on windows of at most
-    max_rows documents and on `variants` written ones, which bound what reaches
-    the driver; finding covers every row.
+    by kind as in KINDS, then start. The tagger is trained on at most max_windows
+    windows, taken from all documents by a hash of their place, and on `variants`
+    written ones, which bound what reaches the driver; finding covers every row.
 
     Null and empty texts have no spans; rows that repeat a doc_id give a row
     each; a null doc_id stays null; extra columns are ignored; an empty table
     gives an empty one.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     scanned = stash(texts.mapInArrow(_scan, "doc_id long, base array<struct<kind:int,start:int,end:int>>, regions array<struct<start:int,text:string>>"), "pii")
-    tagger = train(labelled_windows(scanned, max_rows) + written_variants(variants))
-    return scanned.mapInArrow(_tagging(tagger), "doc_id long, spans array<struct<kind:string,start:int,end:int,learned:boolean>>")
+    tagger = train(labelled_windows(scanned, max_windows) + written_variants(variants))
+    # a region is short, but takes long to read: its file's few splits are dealt out again
+    dealt = scanned.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(_tagging(tagger), "doc_id long, spans array<struct<kind:string,start:int,end:int,learned:boolean>>")

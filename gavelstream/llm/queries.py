@@ -34,7 +34,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "random")
     kinds = [_count(k) for k in secrets.KINDS]
-    return found.select("doc_id", *kinds, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *kinds, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), _count("random"))
 
 
 def _count_base(kind: str) -> Column:
@@ -45,8 +45,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s["learned"])
     counts = [_count_base(k) for k in pii.KINDS]
-    learned = F.size(F.filter("spans", lambda s: s["learned"])).alias("n_learned")
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), learned)
+    learned = F.size(F.filter("spans", lambda s: s["learned"])).cast("long").alias("n_learned")
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), learned, F.size("spans").cast("long").alias("n_found"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract_text(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "cut_by_counts", "cut_by_roles")
 
 
 QUERIES = {

@@ -1,6 +1,8 @@
 """BPE, secrets, personal data, toxicity and page text: round trips, brute force, held-out accuracy, awkward rows."""
 
 import base64
+import itertools
+import math
 import random
 import re
 import zlib
@@ -73,6 +75,48 @@ def test_secrets_of_a_corpus(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_erfc():
+    x = np.linspace(0, 6, 200)
+    assert np.allclose(secrets._erfc(x), [math.erfc(v) for v in x], rtol=1e-6, atol=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdefgz0189 -é漢/", max_size=700), max_size=4), st.sampled_from(sorted(secrets._ALPHABETS)))
+def test_natural_pieces_equal_brute_force(texts, encoding):
+    alphabet = secrets._ALPHABETS[encoding]
+    letters, sizes = [], []
+    for text in texts:
+        own = [c.upper() if encoding == "base32" else c for c in text if c.isascii() and c.isalnum()]
+        own, band = [alphabet.index(c) for c in own if c in alphabet], 0
+        while len(own) >= secrets.BANDS[band % 6]:
+            n = secrets.BANDS[band % 6]
+            letters, sizes, own, band = letters + own[:n], sizes + [n], own[n:], band + 1
+    x, n = secrets.natural_pieces(texts, encoding)
+    assert x.tolist() == letters and n.tolist() == sizes
+
+
+def test_planted_keys_that_no_pattern_names(spark):
+    """Keys of three encodings in the given documents, against identifiers, paths and names of like length."""
+    rng = random.Random(11)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    make = {"hex": lambda: "".join(rng.choices("0123456789ABCDEF", k=40)), "base32": lambda: "".join(rng.choices(secrets._ALPHABETS["base32"], k=32)), "base64": lambda: "".join(rng.choices(secrets._ALPHABETS["base64"], k=44))}
+    decoys = ["/usr/share/doc/python3/examples", "getElementsByTagNameAndClass2", "a1b2c3d4a1b2c3d4a1b2c3d4", "user_account_settings_page_v2", "AAAABBBBCCCCDDDD22223333", "2024-01-01T00-00-00Z-backup"]
+    rows, keys, false = [], 0, 0
+    for k, text in enumerate(texts):
+        kind = ("hex", "base32", "base64")[k % 3]
+        rows.append((k, f"{text} {make[kind]() if k % 2 else decoys[k % 6]} end"))
+    found = secrets.find_secrets(docs(spark, rows)).collect()
+    for r in found:
+        i, text = rows[r["doc_id"]]
+        spans = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"]
+        last = [s for s in spans if s[1] == len(text) - 4]
+        keys += bool(last) and i % 2
+        false += len(spans) - (len(last) if i % 2 else 0)
+    n = sum(k % 2 for k in range(len(texts)))
+    print("keys found", keys, "of", n, "false", false)
+    assert keys >= 0.85 * n and false <= 0.08 * max(1, keys)
+
+
 def test_without_candidates_none_is_accepted():
     assert secrets.accepted([], []) == []
     assert secrets.accepted([{"encoding": "hex", "band": 0, "bin": 0, "n": 3}], []) == []
@@ -125,6 +169,45 @@ def test_tagger_on_unseen_windows(tagger):
     assert right / (right + missed) > 0.9 and right / (right + wrong) > 0.9
 
 
+def test_decoding_equals_brute_force():
+    rng = np.random.default_rng(3)
+    tagger = pii.train([])
+    for name, value in tagger.p.items():
+        tagger.p[name] = rng.normal(0, 0.7, value.shape).astype(np.float32)
+    x = rng.integers(0, pii.CLASSES, (5, 4))
+    scores, move = tagger.emissions(x), tagger.p["move"]
+    for row, path in zip(scores, tagger.decode(x)):
+        total = lambda p: sum(row[t, k] for t, k in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:]))
+        best = max(itertools.product(range(pii.TAGS), repeat=4), key=total)
+        assert total(path) == pytest.approx(total(best), abs=1e-4)
+
+
+def test_windows_of_a_long_text_cover_it():
+    for n in (0, 1, 63, 64, 65, 96, 97, 1000):
+        covered = np.zeros(n, int)
+        for at, text in pii.windows_of(10, "x" * n):
+            covered[at - 10 : at - 10 + len(text)] += 1
+        assert covered.all()
+
+
+def test_planted_data_that_no_pattern_names(spark):
+    """Variants of another seed in the given documents: what the tagger adds, right and wrong."""
+    rng = random.Random(12)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    planted = [text[s:e] for text, spans in pii.written_variants(1200, seed=501) for _, s, e in spans if e < pii.WINDOW and not slow_pii(text)]
+    rows, want = [], set()
+    for k, text in enumerate(texts):
+        words = text.split(" ")
+        at = rng.randrange(len(words) + 1)
+        before = " ".join(words[:at])
+        datum = planted[k % len(planted)]
+        rows.append((k, f"{before} {datum} {' '.join(words[at:])}"))
+        want.add((k, len(before) + 1, len(before) + 1 + len(datum)))
+    found = {(r["doc_id"], s["start"], s["end"]) for r in pii.find_personal_data(docs(spark, rows)).collect() for s in r["spans"] if s["learned"]}
+    print("recall", len(found & want) / len(want), "precision", len(found & want) / len(found), sorted(rows[i][1][s:e] for i, s, e in found - want)[:20], sorted(rows[i][1][s:e] for i, s, e in want - found)[:20])
+    assert len(found & want) >= 0.8 * len(want) and len(found & want) >= 0.8 * len(found)
+
+
 def test_windows_overlap_and_reconcile(tagger):
     text = "word " * 20 + "mail jane.roe (at) example dot org today " + "word " * 20
     regions = [(s, text[s:e]) for s, e in pii._regions(text)]
