@@ -64,6 +64,16 @@ def fixed_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
+def from_files(df: DataFrame) -> DataFrame:
+    """df, written first if it does not come from files.
+
+    Files give the same rows in the same order each time; rows of other origin
+    need not. A DataFrame that joins, groups or deals out what it reads from
+    files need not either, and is the caller's to write.
+    """
+    return df if df.inputFiles() else stash(df, "rows")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

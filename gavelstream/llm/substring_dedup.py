@@ -1,11 +1,14 @@
 """Duplicate passages by relative Lempel-Ziv parsing against the earlier documents.
 
-The reference is every document; its index is a table of word windows, dealt by
-hash into reference blocks. Documents are factored against every block at once:
-their windows are looked up, and the greedy factors are the longest runs of hits
-in one earlier document. Where a factor ends, the windows across the boundary
-have been looked up on their own, so a passage that goes on in another document
-is not lost.
+The reference is every document; its index is a table of word windows, each
+with the earliest place that holds it, dealt by hash into blocks. A document
+asks every block about its windows and is then factored from left to right: at
+the first window that an earlier document holds, the factor is the longest match
+with that document's own text, as far as it was sent along. The next factor may
+start up to a window's length less one before the end of the last, as windows
+across the boundary have been looked up too, so that a passage that goes on in
+another document is not lost. The factors, all verified word by word, are what
+is removed.
 
 Only windows that can repeat are indexed: each window has one anchor, its least
 hashed five-word seed, so equal windows have equal anchors, and an anchor that
@@ -14,7 +17,7 @@ one document alone holds leads to no duplicate.
 Documents travel in batches of about half a megabyte. A batch asks each index block
 about its distinct hashes in one packed row, and gets one packed row back, so a
 passage that a third of all documents hold costs a number per batch, not per
-document.
+document; so does the text of a source that many batches ask for.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import fixed_splits, small_batches, text_or_empty
+from gavelstream.llm.common import fixed_splits, from_files, small_batches, text_or_empty
 
 #: Bytes of text hashed at once, and in a batch.
 BLOCK_BYTES, BATCH_BYTES = 1 << 17, 1 << 19
+#: Bytes of text for each index block, at least, where the session has too few shuffle partitions.
+INDEX_BYTES = 1 << 26
+#: Batches that ask one source batch in a row.
+ASKERS = 1000
 SEED_WORDS = 5
 
 _RANDOM = np.random.default_rng(4711)
@@ -159,13 +166,19 @@ def _slices(texts: list[bytes], size: int) -> Iterator[tuple[int, Windows]]:
             start, held = k + 1, 0
 
 
-def _asked(number: int, n_blocks: int, hashes: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    """A batch's rows to the index blocks: its hashes in rising order, with what goes with each."""
-    block = (hashes >> np.uint64(33)) % np.uint64(n_blocks)
+def _by_block_of(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, ...]:
+    """The block of each hash, and their order by block and hash with the start and end of each block in it."""
+    block = hashes % np.uint64(n_blocks)
     order = np.lexsort((hashes, block))
-    block, hashes, more = block[order], hashes[order], [x[order] for x in more]
+    block = block[order]
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(block)).astype(np.int64)
+    return block, order, starts, np.append(starts[1:], len(block)).astype(np.int64)
+
+
+def _asked(number: int, n_blocks: int, hashes: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """A batch's rows to the index blocks: its hashes in rising order, with what goes with each."""
+    block, order, starts, ends = _by_block_of(hashes, n_blocks)
+    hashes, more = hashes[order], [x[order] for x in more]
     packed = [_zip(_delta(hashes[s:e]), *[x[s:e] for x in more]) for s, e in zip(starts, ends)]
     return _rows(block[starts].astype(np.int32), [number] * len(packed), packed)
 
@@ -175,6 +188,8 @@ def _rows(blocks, batches, packed: list[bytes]) -> pa.RecordBatch:
 
 
 _ROWS = "block int, batch long, packed binary"
+#: Bits left out of an anchor on its way; equal anchors stay equal, and few others become so.
+_SHORT = np.uint64(16)
 
 
 def _ask_anchors(size: int, n_blocks: int):
@@ -185,7 +200,7 @@ def _ask_anchors(size: int, n_blocks: int):
             anchors, owners = [], []
             for before, w in _slices(texts, size):
                 at, first = np.unique(w.anchor_at, return_index=True)
-                anchors.append(w.anchors[first])
+                anchors.append(w.anchors[first] >> _SHORT)
                 owners.append(ids[w.owner[first] + before])
             anchor, least, most = _extremes(np.concatenate(anchors), np.concatenate(owners))
             yield _asked(number, n_blocks, anchor, (least != most).astype(np.uint8))
@@ -259,21 +274,38 @@ def _unpacked(index: bytes, body: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, [raw[s:e] for s, e in zip((ends - lengths).tolist(), ends.tolist())]
 
 
+def _windows_asked(ids: np.ndarray, texts: list[bytes], anchors: list[bytes], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All windows over repeated anchors (hash, row, word position), and each distinct one with its earliest document and place.
+
+    Of a distinct window: hash, in rising order, least doc_id, place (row and
+    position), and whether another of the batch's doc_ids holds it.
+    """
+    wanted = np.sort(np.concatenate([np.cumsum(_unzip(a)[0], dtype=np.uint64) for a in anchors]))
+    hashes, rows, positions = [], [], []
+    for before, w in _slices(texts, size):
+        chosen = np.flatnonzero(_among(w.anchors >> _SHORT, wanted))
+        owner = w.owner[chosen]
+        hashes.append(w.hashes(chosen))
+        rows.append(owner + before)
+        positions.append(w.at[chosen] - w.first[owner])
+    hashes, rows, positions = map(np.concatenate, (hashes, rows, positions))
+    place = rows.astype(np.int64) << 32 | positions
+    order = np.lexsort((place, ids[rows], hashes))
+    new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1 if len(first) else first
+    least, most = order[first], order[last]
+    return [hashes, rows, positions], [hashes[least], ids[rows[least]], place[least], (ids[rows[least]] != ids[rows[most]]).astype(np.uint8)]
+
+
 def _ask_windows(size: int, n_blocks: int):
-    """Each batch's distinct windows over repeated anchors, with the least and greatest of its documents that hold one."""
+    """Each batch's distinct windows over repeated anchors, with the earliest of its documents that hold one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, index, body, answers in zip(*(batch.column(c).to_pylist() for c in ("batch", "index", "body", "answers"))):
-                ids, texts = _unpacked(index, body)
-                wanted = np.sort(np.concatenate([np.cumsum(_unzip(a)[0], dtype=np.uint64) for a in answers]))
-                hashes, owners = [], []
-                for before, w in _slices(texts, size):
-                    chosen = np.flatnonzero(_among(w.anchors, wanted))
-                    hashes.append(w.hashes(chosen))
-                    owners.append(ids[w.owner[chosen] + before])
-                window, least, most = _extremes(np.concatenate(hashes), np.concatenate(owners))
-                yield _asked(number, n_blocks, window, least, (least != most).astype(np.uint8))
+            for number, index, body, anchors in zip(*(batch.column(c).to_pylist() for c in ("batch", "index", "body", "anchors"))):
+                _, distinct = _windows_asked(*_unpacked(index, body), anchors, size)
+                yield _asked(number, n_blocks, *distinct)
 
     return run
 
@@ -286,50 +318,182 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that a smaller doc_id than some of the batch's holds, with the smallest."""
+    """Which windows a smaller doc_id than some of the batch's holds, with the earliest document, its batch and its place there."""
 
     def answer(block: int, numbers: list[int], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [_unzip(p) for p in packed]
-        hashes, least, shared = (np.concatenate(x) for x in zip(*[(np.cumsum(h, dtype=np.uint64), i, f) for h, i, f in parts]))
-        order = np.argsort(hashes, kind="stable")
+        sizes = [len(h) for h, *_ in parts]
+        hashes, least, place, shared = (np.concatenate(x) for x in zip(*[(np.cumsum(h, dtype=np.uint64), i, p, f) for h, i, p, f in parts]))
+        at = np.repeat(np.array(numbers, np.int64), sizes)
+        order = np.lexsort((place, at, least, hashes))
         new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.empty(0, bool)
-        smallest = np.minimum.reduceat(least[order], np.flatnonzero(new)) if len(order) else least
-        source = np.empty_like(least)
-        source[order] = smallest[np.cumsum(new) - 1]
-        hit = (source < least) | (shared > 0)
-        yield from _answered(block, numbers, [len(h) for h, *_ in parts], hit, [hashes, source])
+        source = np.empty(len(order), np.int64)
+        source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+        hit = (least[source] < least) | (shared > 0)
+        blocks, to, found = [], [], []
+        for number, s, e in zip(numbers, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+            own = source[s:e][hit[s:e]]
+            if len(own):
+                blocks.append(block)
+                to.append(number)
+                found.append(_zip(np.packbits(hit[s:e]), least[own], at[own], place[own]))
+        if found:
+            yield _rows(blocks, to, found)
 
     yield from _by_block(batches, answer)
 
 
-def factors(positions: np.ndarray, sources: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, source) in words, from hits in rising order: longest runs in one source."""
-    if not len(positions):
-        return []
-    new = np.ones(len(positions), bool)
-    new[1:] = (np.diff(positions) != 1) | (sources[1:] != sources[:-1])
-    starts = np.flatnonzero(new)
-    counts = np.diff(np.append(starts, len(positions)))
-    return [(int(positions[s]), int(n) + size - 1, int(sources[s])) for s, n in zip(starts, counts)]
+#: A run is a stretch of hits whose earliest places go on in one document.
+_RUN = ("row", "start", "windows", "source", "at", "place")
+
+
+def _located(size: int, n_blocks: int):
+    """Each batch's runs, and for each batch of sources the stretches of text to ask it for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, found, asked = [], [], []
+            for number, index, body, anchors, answers in zip(*(batch.column(c).to_pylist() for c in ("batch", "index", "body", "anchors", "answers"))):
+                ids, texts = _unpacked(index, body)
+                runs = runs_of(ids, *_windows_asked(ids, texts, anchors, size), answers, n_blocks)
+                numbers.append(number)
+                found.append(_zip(*runs))
+                asked.append([{"to": int(to), "stretches": _zip(*stretches)} for to, stretches in _stretches(runs, size)])
+            kind = pa.list_(pa.struct([("to", pa.int64()), ("stretches", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.binary()), pa.array(asked, kind)], ["batch", "runs", "asked"])
+
+    return run
+
+
+def runs_of(ids: np.ndarray, all_windows: list[np.ndarray], distinct: list[np.ndarray], answers: list[dict], n_blocks: int) -> list[np.ndarray]:
+    """Arrays of _RUN, by row and start."""
+    hashes, rows, positions = all_windows
+    block, order, starts, ends = _by_block_of(distinct[0], n_blocks)
+    known = {int(block[s]): order[s:e] for s, e in zip(starts, ends)}
+    hit = np.zeros(len(order), bool)
+    values = np.zeros((3, len(order)), np.int64)
+    for answer in answers:
+        asked = known[answer["block"]]
+        bits, *columns = _unzip(answer["packed"])
+        own = asked[np.unpackbits(bits, count=len(asked)).astype(bool)]
+        hit[own] = True
+        values[:, own] = columns
+    entry = np.searchsorted(distinct[0], hashes)
+    chosen = np.flatnonzero(hit[entry])
+    chosen = chosen[values[0, entry[chosen]] < ids[rows[chosen]]]
+    chosen = chosen[np.lexsort((positions[chosen], rows[chosen]))]
+    row, start, (source, at, place) = rows[chosen], positions[chosen], values[:, entry[chosen]]
+    goes_on = (np.diff(row) == 0) & (np.diff(start) == 1) & (np.diff(at) == 0) & (np.diff(place) == 1)
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on))) if len(chosen) else np.empty(0, np.int64)
+    return [row[first].astype(np.int64), start[first].astype(np.int64), np.diff(np.append(first, len(chosen))), source[first], at[first], place[first]]
+
+
+def _reach(windows: np.ndarray, size: int):
+    """How many words of its source a run can become a factor of: those of its windows, and as many again."""
+    return 2 * (windows + size - 1)
+
+
+def _stretches(runs: list[np.ndarray], size: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """By batch of sources: place and words of the stretches that the runs need, joined where they overlap."""
+    _, _, windows, _, at, place = runs
+    order = np.lexsort((place, at))
+    at, start, end = at[order], place[order], place[order] + _reach(windows[order], size)
+    for to in np.unique(at):
+        s, e = start[at == to], np.maximum.accumulate(end[at == to])
+        first = np.flatnonzero(np.concatenate(([True], (s[1:] > e[:-1]) | (s[1:] >> 32 != s[:-1] >> 32))))
+        # the running end may come from the document before, whose last stretch is cut at its text's end anyway
+        ends = np.maximum.reduceat(end[at == to], first)
+        yield to, (s[first], ends - s[first])
+
+
+def _send_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of text that other batches asked a batch for."""
+    for batch in batches:
+        for number, index, body, askers in zip(*(batch.column(c).to_pylist() for c in ("to", "index", "body", "askers"))):
+            _, texts = _unpacked(index, body)
+            words: dict[int, list[bytes]] = {}
+            numbers, packed = [], []
+            for asker in askers:
+                places, counts = _unzip(asker["stretches"])
+                parts = []
+                for place, n in zip(places.tolist(), counts.tolist()):
+                    row, start = place >> 32, place & 0xFFFFFFFF
+                    if row not in words:
+                        words[row] = texts[row].split()
+                    parts.append(b" ".join(words[row][start : start + n]))
+                numbers.append(asker["batch"])
+                packed.append(_zip(places, np.frombuffer(b"\n".join(parts), np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([number] * len(numbers), pa.int64()), pa.array(packed, pa.binary())], ["batch", "to", "stretches"])
+
+
+class Sources:
+    """The stretches of source text that a batch was sent."""
+
+    def __init__(self, sent: list[dict]):
+        self.places, self.words = {}, {}
+        for part in sent:
+            places, text = _unzip(part["stretches"])
+            self.places[part["to"]] = places
+            self.words[part["to"]] = [s.split() for s in text.tobytes().split(b"\n")]
+
+    def text(self, at: int, place: int) -> tuple[list[bytes], int]:
+        """The stretch that holds a place, and where in it."""
+        k = int(np.searchsorted(self.places[at], place, "right")) - 1
+        return self.words[at][k], place - int(self.places[at][k])
+
+
+def parse(words: list[bytes], runs: list[tuple[int, int, int, int, int]], sources: Sources, size: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, source, source_start) of a document's words, in words.
+
+    runs are (start, windows, source, at, place) by start. A factor starts at
+    the first looked-up window from which it can, and is the longest match with
+    the source's text, up to the run's reach. The next one starts where the
+    windows begin that its end cuts, or later.
+    """
+    out, least = [], 0
+    for start, windows, source, at, place in runs:
+        p = max(start, least)
+        while p < start + windows:
+            own, k = sources.text(at, place + p - start)
+            n = matching(words, p, own, k, _reach(start + windows - p, size))
+            if n >= size:
+                out.append((p, n, source, (place & 0xFFFFFFFF) + p - start))
+                least = p + n - size + 1
+            p = max(p + 1, least)
+    return out
+
+
+def matching(a: list[bytes], i: int, b: list[bytes], j: int, most: int) -> int:
+    """How many words agree from a[i] and b[j] on, at most `most`."""
+    n, step = 0, 16
+    most = min(most, len(a) - i, len(b) - j)
+    while n < most:
+        if a[i + n : i + min(n + step, most)] == b[j + n : j + min(n + step, most)]:
+            n = min(n + step, most)
+            step *= 2
+        elif step > 1:
+            step = max(1, step // 4)
+        else:
+            break
+    return n
 
 
-_FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())]))
-_CUT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,length:int,source:long>>"
+_FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
+_CUT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,length:int,source:long,source_start:int>>"
 
 
-def _cut_rows(ids, texts: list[bytes], parses: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+def _cut_rows(ids, texts: list[list[bytes]], factors: list[list[tuple[int, int, int, int]]]) -> pa.RecordBatch:
     counts, removed, kept = [], [], []
-    for text, parse in zip(texts, parses):
-        words = text.split()
+    for words, own in zip(texts, factors):
         counts.append(len(words))
-        if parse:
+        if own:
             stay = bytearray(b"\1" * len(words))
-            for start, length, _ in parse:
+            for start, length, *_ in own:
                 stay[start : start + length] = bytes(length)
             words = [w for w, s in zip(words, stay) if s]
         removed.append(counts[-1] - len(words))
         kept.append(b" ".join(words))
-    found = [[{"start": s, "length": n, "source": d} for s, n, d in parse] for parse in parses]
+    found = [[{"start": s, "length": n, "source": d, "source_start": o} for s, n, d, o in own] for own in factors]
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(found, _FACTORS)],
         ["doc_id", "n_words", "n_removed", "kept", "factors"],
@@ -339,31 +503,26 @@ def _cut_rows(ids, texts: list[bytes], parses: list[list[tuple[int, int, int]]])
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for index, body, answers in zip(*(batch.column(c).to_pylist() for c in ("index", "body", "answers"))):
+            for index, body, runs, sent in zip(*(batch.column(c).to_pylist() for c in ("index", "body", "runs", "sent"))):
                 ids, texts = _unpacked(index, body)
-                parses: list = [[] for _ in texts]
-                if answers:
-                    known, sources = (np.concatenate(x) for x in zip(*[(np.cumsum(h, dtype=np.uint64), s) for h, s in map(_unzip, answers)]))
-                    order = np.argsort(known)
-                    known, sources = known[order], sources[order]
-                    for before, w in _slices(texts, size):
-                        hashes = w.hashes(np.arange(len(w.at)))
-                        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                        hit = np.flatnonzero((known[place] == hashes) & (sources[place] < ids[w.owner + before]))
-                        owner, source = w.owner[hit], sources[place[hit]]
-                        position = w.at[hit] - w.first[owner]
-                        bounds = np.searchsorted(owner, np.arange(len(w.first) + 1))
-                        for k in np.unique(owner).tolist():
-                            own = slice(bounds[k], bounds[k + 1])
-                            parses[before + k] = factors(position[own], source[own], size)
-                yield _cut_rows(ids, texts, parses)
+                words = [t.split() for t in texts]
+                factors: list = [[] for _ in texts]
+                if sent:
+                    sources, columns = Sources(sent), [x.tolist() for x in _unzip(runs)]
+                    by_row: dict[int, list[tuple]] = {}
+                    for row, *rest in zip(*columns):
+                        by_row.setdefault(row, []).append(tuple(rest))
+                    for row, own in by_row.items():
+                        factors[row] = parse(words[row], own, sources, size)
+                yield _cut_rows(ids, words, factors)
 
     return run
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _cut_rows(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), [[]] * batch.num_rows)
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        yield _cut_rows(batch.column("doc_id").to_pylist(), [t.split() for t in texts], [[]] * batch.num_rows)
 
 
 def remove_repeated_passages(docs: DataFrame, window_words: int = 13, n_blocks: int | None = None) -> DataFrame:
@@ -372,37 +531,57 @@ def remove_repeated_passages(docs: DataFrame, window_words: int = 13, n_blocks:
     Words are runs of what is not white space. Every word that a window of
     window_words consecutive words covers goes if the window's words also start
     in a document with a smaller doc_id; kept joins the others by one space.
-    factors are the repeated passages: start and length in words, and the
-    doc_id of the earliest document that holds them. Windows are judged on the
-    input, not on what is left.
+    factors are the repeated passages: start and length in words, and the doc_id
+    and word position of the earlier document that holds them in one piece, which
+    is the earliest that holds the factor's first window. Windows are judged on
+    the input, not on what is left.
 
     Null and empty texts have no words. A row with a null doc_id is kept whole
     and takes nothing from others, as it is neither earlier nor later. Rows that
     repeat a doc_id don't remove each other's words. Extra columns are ignored;
-    an empty table gives an empty one. Windows are compared by 64-bit hashes:
-    among n repeated windows the chance of a wrong match anywhere is about
-    n**2 / 2**65.
-
-    docs is read three times and must give the same rows in the same order each
-    time, as files do; write a computed DataFrame first. n_blocks is the number
-    of index blocks, unset that of shuffle partitions; it should grow with the
-    input, as a task holds a block's hashes.
+    an empty table gives an empty one. Windows are looked up by 64-bit hashes
+    and then compared word by word: nothing goes that is not repeated, and a
+    repeat is overlooked only where another window of an earlier document has
+    its hash.
+
+    docs is read more than once and must give the same rows in the same order
+    each time, as files do; what comes from elsewhere is written first, and what
+    joins or groups rows of files is the caller's to write.
+    n_blocks is the number of index blocks, unset that of shuffle partitions or
+    one for each INDEX_BYTES of text, as a task holds a block's hashes.
     """
     spark = docs.sparkSession
     small_batches(spark, size="8m")
     fixed_splits(spark)
-    n_blocks = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    named = texts.where("doc_id is not null").withColumn("at", F.spark_partition_id())
+    docs = from_files(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    if n_blocks is None:
+        total = docs.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
+        n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // INDEX_BYTES))
+    named = docs.where("doc_id is not null").withColumn("at", F.spark_partition_id())
 
-    def through_index(asked: DataFrame, answer) -> DataFrame:
+    def through_index(asked: DataFrame, answer, answers: Column) -> DataFrame:
         dealt = asked.repartition(n_blocks, "block").sortWithinPartitions("block")
-        return dealt.mapInArrow(answer, _ROWS).groupBy("batch").agg(F.collect_list("packed").alias("answers"))
+        return dealt.mapInArrow(answer, _ROWS).groupBy("batch").agg(F.collect_list(answers).alias("answers"))
 
-    repeated = through_index(named.mapInArrow(_ask_anchors(window_words, n_blocks), _ROWS), _answer_anchors)
-    # the texts cross the shuffle once, compressed; Spark reuses that exchange for the second join
+    repeated = through_index(named.mapInArrow(_ask_anchors(window_words, n_blocks), _ROWS), _answer_anchors, F.col("packed"))
+    repeated = repeated.withColumnRenamed("answers", "anchors").hint("merge")
+    # the texts cross the shuffle once, compressed; Spark reuses that exchange for the other joins
     packed = named.mapInArrow(_pack_texts, "batch long, index binary, body binary")
-    asked = packed.join(repeated.hint("merge"), "batch").select("batch", "index", "body", "answers").mapInArrow(_ask_windows(window_words, n_blocks), _ROWS)
-    hits = through_index(asked, _answer_windows)
-    cut = packed.join(hits.hint("merge"), "batch", "left").select("batch", "index", "body", "answers").mapInArrow(_cut(window_words), _CUT)
-    return cut.unionByName(texts.where("doc_id is null").mapInArrow(_whole, _CUT))
+    asking = packed.join(repeated, "batch")
+    asked = asking.select("batch", "index", "body", "anchors").mapInArrow(_ask_windows(window_words, n_blocks), _ROWS)
+    hits = through_index(asked, _answer_windows, F.struct("block", "packed"))
+    located = asking.join(hits.hint("merge"), "batch").select("batch", "index", "body", "anchors", "answers")
+    located = located.mapInArrow(_located(window_words, n_blocks), "batch long, runs binary, asked array<struct<to:long,stretches:binary>>")
+    located = located.repartition("batch")
+
+    # a source that very many batches ask for answers them some at a time
+    asked = located.select("batch", F.inline("asked"))
+    turns = asked.groupBy("to").agg(F.ceil(F.count("*") / ASKERS).alias("turns"))
+    asked = asked.join(turns.hint("merge"), "to").withColumn("turn", F.pmod(F.xxhash64("batch"), "turns"))
+    asked = asked.groupBy("to", "turn").agg(F.collect_list(F.struct("batch", "stretches")).alias("askers"))
+    sent = packed.withColumnRenamed("batch", "to").join(asked.hint("merge"), "to").select("to", "index", "body", "askers")
+    sent = sent.mapInArrow(_send_text, "batch long, to long, stretches binary").groupBy("batch").agg(F.collect_list(F.struct("to", "stretches")).alias("sent"))
+
+    runs = located.select("batch", "runs").join(sent.hint("merge"), "batch")
+    cut = packed.join(runs.hint("merge"), "batch", "left").select("index", "body", "runs", "sent").mapInArrow(_cut(window_words), _CUT)
+    return cut.unionByName(docs.where("doc_id is null").mapInArrow(_whole, _CUT))

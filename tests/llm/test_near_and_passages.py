@@ -15,6 +15,33 @@ from gavelstream.llm.components import connected_components
 WORDS = [f"word{k}" for k in range(300)]
 
 
+def slow_factors(rows, size=13):
+    """The greedy parse by definition, from the whole texts."""
+    first = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        words = (t or "").split()
+        for s in range(len(words) - size + 1):
+            first.setdefault(tuple(words[s : s + size]), (i, s))
+    texts = {i: (t or "").split() for i, t in rows}
+    out = {}
+    for i, words in texts.items():
+        hit = [first[tuple(words[s : s + size])] for s in range(len(words) - size + 1)]
+        parse, p = [], 0
+        while p < len(hit):
+            source, o = hit[p]
+            if source >= i:
+                p += 1
+                continue
+            k = next((n for n in range(1, len(hit) - p) if hit[p + n] != (source, o + n)), len(hit) - p)
+            n = 0
+            while n < 2 * (k + size - 1) and p + n < len(words) and o + n < len(texts[source]) and words[p + n] == texts[source][o + n]:
+                n += 1
+            parse.append((p, n, source, o))
+            p += n - size + 1
+        out[i] = parse
+    return out
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, 1, b"x") for i, t in rows], "doc_id long, text string, fp int, packed binary")
 
@@ -200,8 +227,7 @@ def test_repeated_passages_equal_brute_force(spark, seed):
     found = substring_dedup.remove_repeated_passages(docs(spark, rows)).collect()
     want = slow_removal(rows)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found} == want
-    for r in found:
-        assert all(f["length"] >= 13 and f["source"] < r["doc_id"] for f in r["factors"])
+    assert {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in found} == slow_factors(rows)
 
 
 def test_passages_of_rows_without_id(spark):
@@ -211,9 +237,19 @@ def test_passages_of_rows_without_id(spark):
     assert substring_dedup.remove_repeated_passages(docs(spark, [])).count() == 0
 
 
-def test_factors_stop_where_the_source_changes():
-    found = substring_dedup.factors(np.array([0, 1, 2, 3, 9]), np.array([7, 7, 8, 8, 8]), 13)
-    assert found == [(0, 14, 7), (2, 14, 8), (9, 13, 8)]
+def test_factors_are_verified_and_pass_on(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    sources = substring_dedup.Sources([])
+    sources.places, sources.words = {7: np.array([5 << 32 | 3])}, {7: [[w.encode() for w in words]]}
+    own = [w.encode() for w in ["x", *words[:40], "y", *words[50:]]]
+    runs = [(1, 3, 4, 7, 5 << 32 | 3), (20, 9, 4, 7, 5 << 32 | 22), (44, 1, 4, 7, 5 << 32 | 20)]
+    # the first run reaches 30 words; from the cut window on the second one goes on; the third is no match
+    assert substring_dedup.parse(own, runs, sources, 13) == [(1, 30, 4, 3), (20, 21, 4, 22)]
+    # with a hash that tells nothing, texts decide
+    monkeypatch.setattr(substring_dedup, "ASKERS", 2)
+    rows = [(k, " ".join([f"own{k}"] * 3 + words[k : k + 30])) for k in range(12)]
+    found = substring_dedup.remove_repeated_passages(docs(spark, rows).repartition(6)).collect()
+    assert {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in found} == slow_factors(rows)
 
 
 def test_fingerprints_add_and_subtract():
