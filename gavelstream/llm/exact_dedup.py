@@ -34,21 +34,20 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 256, hash_all: bool =
     A group's rows meet only in aggregates that combine before the shuffle and
     in equi-joins against one row per group, which Spark splits when skewed.
     """
+    digest = F.sha2("body", 256)
     rows = docs.select("doc_id", normalised().alias("body"))
-    signed = rows.select("doc_id", "body", F.length("body").alias("len"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head"))
+    # with hash_all the texts stay where they are read, as their hashes go instead
+    content = digest.alias("full_hash") if hash_all else F.col("body")
+    signed = rows.select("doc_id", content, F.length("body").alias("len"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("head"))
 
     # counted per pair first, so that a hot length or pair is a few partial counts from each task
     heads = stash(signed.groupBy("len", "head").agg(F.count("*").alias("n")), "dedup-heads")
     lengths = heads.groupBy("len").agg(F.sum("n").alias("rows")).where("rows > 1").select("len")
     pairs = heads.where("n > 1").join(lengths, "len", "left_semi").select("len", "head", F.lit(True).alias("open"))
 
-    joined = signed.join(pairs, ["len", "head"], "left")
-    digest = F.sha2("body", 256)
-    hashed = joined.select(
-        "doc_id",
-        F.col("open").isNotNull().alias("open"),
-        (digest if hash_all else F.when(F.col("open").isNotNull(), digest)).alias("full_hash"),
-    )
+    is_open = F.col("open").isNotNull()
+    hashed = signed.join(pairs, ["len", "head"], "left")
+    hashed = hashed.select("doc_id", is_open.alias("open"), F.col("full_hash") if hash_all else F.when(is_open, digest).alias("full_hash"))
     hashed = stash(hashed, "dedup-hashes")
 
     # written, so that the join below has an exchange of its own on each side, which Spark can split
@@ -60,6 +59,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 256, hash_all: bool =
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that exact_duplicates keeps, with all their columns; of rows that share a doc_id each by its own text."""
+    gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("full_hash").alias("_gone_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.sha2(normalised(), 256) == gone["_gone_hash"])
+    return docs.join(gone, same, "left_anti")
