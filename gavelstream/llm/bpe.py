@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import fixed_splits, small_batches, text_or_empty
+from gavelstream.llm.common import fixed_splits, from_files, small_batches, text_or_empty
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
 CHUNK_CHARS = 6_000_000
@@ -76,6 +76,14 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class _Codes(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 def _chunks(pattern: str, n_buckets: int, doc_rows: bool):
     """Per chunk either its documents (positions) or its words by bucket.
 
@@ -88,7 +96,7 @@ def _chunks(pattern: str, n_buckets: int, doc_rows: bool):
 
         pieces = regex.compile(pattern).findall
         at, made = 0, 0
-        words: dict[str, int] = {}
+        words = _Codes()
         ids, codes, chars = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -116,18 +124,18 @@ def _chunks(pattern: str, n_buckets: int, doc_rows: bool):
                     [pa.array([chunk] * len(keys), pa.int64()), pa.array(keys, pa.int32()), pa.nulls(len(keys), pa.int64()), pa.array(packed, pa.binary())],
                     ["chunk", "bucket", "doc_id", "packed"],
                 )
-            words, ids, codes, chars, made = {}, [], [], 0, made + 1
+            words, ids, codes, chars, made = _Codes(), [], [], 0, made + 1
 
         for batch in batches:
             at = batch.column("at")[0].as_py() if batch.num_rows else at
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if chars and chars + len(text) > CHUNK_CHARS:
                     yield from flush()
-                found = [words.setdefault(w, len(words)) for w in pieces(text)]
+                found = np.fromiter(map(words.__getitem__, pieces(text)), np.uint32)
                 chars += len(text)
                 ids.append(doc_id)
                 if doc_rows:
-                    codes.append(_zip(_planes(np.array(found, np.uint32))))
+                    codes.append(_zip(_planes(found)))
         if ids:
             yield from flush()
 
@@ -219,14 +227,15 @@ def encode(docs: DataFrame, path: str, pattern: str, n_buckets: int | None = Non
     empty one. A word that is frequent everywhere crosses the shuffle once per
     chunk, not once per use. A chunk holds a bounded number of characters, or
     one document. docs is read twice and must give the same rows in the same
-    order each time, as files do; write a computed DataFrame first.
+    order each time, as files do; what comes from elsewhere is written first, and
+    what joins or groups rows of files is the caller's to write.
     """
     spark = docs.sparkSession
     small_batches(spark)
     fixed_splits(spark)
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "chunk long, bucket int, doc_id long, packed binary"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.spark_partition_id().alias("at"))
+    texts = from_files(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).withColumn("at", F.spark_partition_id())
     words = texts.mapInArrow(_chunks(pattern, n_buckets, False), schema)
     positions = texts.mapInArrow(_chunks(pattern, n_buckets, True), schema)
     known = words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(path), schema)
@@ -247,17 +256,23 @@ def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with its bytes: doc_id, ids, body binary.
 
-    Ids join the token-byte table by id. The table has one row per id of the
-    vocabulary, so its size is fixed, and each task reads it once. Null ids
-    decode to no bytes; an id outside the vocabulary is an error.
+    The token-byte table has one row per id of the vocabulary, so its size is
+    fixed: each task reads it once, and ids join it by a lookup where they are.
+    A null array decodes to no bytes; an id that the vocabulary does not have,
+    or a null in an array, is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, lengths, flat = _byte_table(path)
         for batch in batches:
             bodies = []
-            for ids in batch.column("ids"):
+            for doc_id, ids in zip(batch.column("doc_id"), batch.column("ids")):
+                if ids.is_valid and ids.values.null_count:
+                    raise ValueError(f"null among the ids of document {doc_id}")
                 numbers = ids.values.to_numpy() if ids.is_valid else np.empty(0, np.int32)
+                known = (numbers >= 0) & (numbers < len(lengths))
+                if not known.all() or not lengths[numbers].all():
+                    raise ValueError(f"document {doc_id} has ids that the vocabulary does not have")
                 blocks = (numbers[k : k + BLOCK] for k in range(0, len(numbers), BLOCK))
                 bodies.append(b"".join(flat[_spread(starts[x], lengths[x])].tobytes() for x in blocks))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(bodies, pa.binary())], ["doc_id", "ids", "body"])
