@@ -1,11 +1,13 @@
 """Homomorphic multiset hash of a text's paragraphs.
 
-Every piece of a paragraph hashes to a wide vector, and a text's fingerprint is
-the sum of its pieces' vectors modulo powers of two: two lanes of full hashes
-modulo 2**64, which tell multisets apart, and 128 lanes of plus or minus one
-modulo 2**16, whose distances also tell how alike two multisets are. The order
-of the pieces does not matter, and pieces are added or taken out by adding or
-subtracting their fingerprints.
+A paragraph is a line that is not empty. Every piece of a paragraph, with the
+piece before it in the paragraph, hashes to a wide vector, and a text's
+fingerprint is the sum of its pieces' vectors modulo powers of two: two lanes of
+full hashes modulo 2**64, which tell multisets of paragraphs apart, and 128
+lanes of plus or minus one modulo 2**32, whose distances also tell how alike
+two multisets are. The order of the paragraphs does not matter, nor do empty
+ones; paragraphs are added or taken out by adding or subtracting their
+fingerprints.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelstream.llm.common import LAST_ID, small_batches, text_or_empty
 
-#: Lanes modulo 2**16, and the bytes of a fingerprint.
+#: Lanes modulo 2**32, and the bytes of a fingerprint.
 LANES = 128
-WIDTH = 16 + 2 * LANES
+WIDTH = 16 + 4 * LANES
 #: Bytes of text hashed at once, and pieces summed at once.
 BLOCK_BYTES, BLOCK_PIECES = 1 << 16, 1 << 14
 
@@ -70,20 +72,31 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[full], ends[full]
 
 
+def _begins(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each piece is the first of its paragraph: at the text's start or after a line end, however much white space is cut away between."""
+    lines = np.concatenate(([0], np.cumsum(data == 0x0A)))[starts]
+    follows = (lines[1:] == lines[:-1]) & (first[1:] == first[:-1])
+    return np.concatenate(([True], ~follows))
+
+
 def _sum_blocks(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), WIDTH), np.uint8)
-    strong, wide = out[:, :16].view(np.uint64), out[:, 16:].view(np.uint16)
+    strong, wide = out[:, :16].view(np.uint64), out[:, 16:].view(np.uint32)
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts, ends = _pieces(data, bounds)
     if not len(starts):
         return out
     owner = np.searchsorted(bounds, starts, "right") - 1
+    begins = _begins(data, starts, bounds[owner])
     hashes = np.empty((len(starts), 2), np.uint64)
     for k, base in enumerate(_BASES):
         power, inverse = _powers(base, len(data))
         sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[k][data] * power[:-1], dtype=np.uint64)))
-        hashes[:, k] = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        alone = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        # a piece within a paragraph is told by the one before it and the white space between; pieces lie side by side
+        before = np.concatenate(([np.uint64(0)], alone[:-1])) + _BYTES[k][data[np.maximum(starts - 1, 0)]]
+        hashes[:, k] = np.where(begins, alone, _mix(alone * base + before))
     for k in range(0, len(starts), BLOCK_PIECES):
         h, o = hashes[k : k + BLOCK_PIECES], owner[k : k + BLOCK_PIECES]
         first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
@@ -91,7 +104,7 @@ def _sum_blocks(texts: list[bytes]) -> np.ndarray:
         strong[o[first]] += np.add.reduceat(h, first, axis=0)
         bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 16), axis=1)
         ones = np.add.reduceat(bits, first, axis=0, dtype=np.uint16)
-        wide[o[first]] += 2 * ones - counts.astype(np.uint16)[:, None]
+        wide[o[first]] += 2 * ones.astype(np.uint32) - counts.astype(np.uint32)[:, None]
     return out
 
 
@@ -110,15 +123,18 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 def combined(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     """Fingerprints of a's multisets with b's put in (sign 1) or taken out (sign -1)."""
     out = np.empty_like(a)
-    for part, kind in ((slice(0, 16), np.uint64), (slice(16, WIDTH), np.uint16)):
+    for part, kind in ((slice(0, 16), np.uint64), (slice(16, WIDTH), np.uint32)):
         x, y = (np.ascontiguousarray(f[:, part]).view(kind) for f in (a, b))
         out[:, part] = (x + y if sign > 0 else x - y).view(np.uint8)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How alike the multisets are, 0 to 1: one less the squared distance over the sum of squares, from the wide lanes."""
-    x, y, d = (np.ascontiguousarray(f[:, 16:]).view(np.int16).astype(np.float64) for f in (a, b, combined(a, b, -1)))
+    """How alike the multisets are, 0 to 1: one less the squared distance over the sum of squares, from the wide lanes.
+
+    Right for up to 2**31 pieces a text, as lanes are read with a sign.
+    """
+    x, y, d = (np.ascontiguousarray(f[:, 16:]).view(np.int32).astype(np.float64) for f in (a, b, combined(a, b, -1)))
     total = (x * x).sum(1) + (y * y).sum(1)
     alike = 1 - (d * d).sum(1) / np.where(total > 0, total, 1)
     return np.where((a == b).all(1), 1.0, np.clip(alike, 0, 1))
@@ -136,6 +152,19 @@ def multiset_hashes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
 
 
+def _range_of(column: str, cuts: list[int]) -> Column:
+    """How many of the rising cuts are at most the column's value, found in two steps of about the square root of their number."""
+    side = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[k : k + side] for k in range(0, len(cuts), side)]
+    if not parts:
+        return F.lit(0)
+    heads = F.array(*[F.lit(p[0]) for p in parts])
+    own = F.array(*[F.array(*[F.lit(c) for c in p]) for p in parts])
+    part = F.size(F.filter(heads, lambda c: c <= F.col(column)))
+    within = F.size(F.filter(F.get(own, part - 1), lambda c: c <= F.col(column)))
+    return F.when(part == 0, 0).otherwise((part - 1) * side + within)
+
+
 def with_next(docs: DataFrame, visit, schema: str, ranges_per_partition: int = 4) -> DataFrame:
     """Run visit(rows, following) over all rows in doc_id order; following[i] is the row after rows[i].
 
@@ -151,8 +180,7 @@ def with_next(docs: DataFrame, visit, schema: str, ranges_per_partition: int = 4
     rows = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("rank"), F.xxhash64("text").alias("tie"), "doc_id", "text")
     n = ranges_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.approxQuantile("rank", [k / n for k in range(1, n)], 0.2 / n)))
-    cuts = F.array(*[F.lit(min(int(c), LAST_ID)) for c in cuts]) if cuts else F.array().cast("array<long>")
-    rows = rows.withColumn("range", F.size(F.filter(cuts, lambda c: c <= F.col("rank"))))
+    rows = rows.withColumn("range", _range_of("rank", [min(int(c), LAST_ID) for c in cuts]))
 
     # at most one row for each range
     firsts = rows.groupBy("range").agg(F.min(F.struct("rank", "tie")).alias("first"))
