@@ -74,6 +74,14 @@ def from_files(df: DataFrame) -> DataFrame:
     return df if df.inputFiles() else stash(df, "rows")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as make it a new one (Spark compares names without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

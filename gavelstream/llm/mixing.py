@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import WHITE, stash, text_or_empty
+from gavelstream.llm.common import WHITE, stash, text_or_empty, unused
 
 
 def word_count(column: str = "text") -> Column:
@@ -168,12 +168,14 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     pieces, so ids should be unique.
     """
     pieces = mix(docs, **parameters).pieces.where("draws > 0")
-    taken = pieces.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "draws"))).alias("_pieces"), F.max("draws").alias("_most"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_pieces", "_most")
-    keys = docs["doc_id"].eqNullSafe(taken["_id"]) & (word_count() == taken["_size"])
-    joined = docs.join(taken.hint("merge"), keys).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
+    taken = pieces.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "draws"))).alias("pieces"), F.max("draws").alias("most"))
+    # all that is worked with goes into two columns of new names, so that no column of docs clashes
+    mine, row = unused("mine", docs.columns), unused("row", docs.columns)
+    taken = taken.select(F.struct("doc_id", "size", "pieces", "most").alias(mine))
+    keys = docs["doc_id"].eqNullSafe(taken[mine]["doc_id"]) & (word_count() == taken[mine]["size"])
+    joined = docs.join(taken.hint("merge"), keys).withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mine)["most"])))
     words = F.split(F.trim(F.regexp_replace("text", WHITE + "+", " ")), " ", -1)
-    chosen = F.filter("_pieces", lambda p: p["draws"] >= F.col("_turn"))
+    chosen = F.filter(F.col(mine)["pieces"], lambda p: p["draws"] >= F.col(row))
 
     def cut(w: Column) -> Column:
         return F.array_join(F.transform(chosen, lambda p: F.array_join(F.slice(w, (p["offset"] + 1).cast("int"), p["words"].cast("int")), " ")), " ")
@@ -188,7 +190,9 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 def _drawn_slots(shares: DataFrame, shard_slots: int, seed: int, cells: int = 1024) -> DataFrame:
     """shard, slot, rank, source, n_blocks, turn: who fills each slot, and how manyth of its source it is."""
     shards = shares.select("n_slots").distinct().where("n_slots > 0")
-    shards = shards.select("n_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / shard_slots))).alias("shard")).repartition("shard")
+    shards = shards.select("n_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / shard_slots))).alias("shard"))
+    # a number, as Spark would put these few short rows, which many slots come from, into one task
+    shards = shards.repartition(int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     last = F.least(F.col("n_slots"), (F.col("shard") + 1) * shard_slots) - 1
     slots = shards.select("n_slots", "shard", F.explode(F.sequence(F.col("shard") * shard_slots, last)).alias("slot"))
     slots = slots.withColumn("point", F.pmod(F.xxhash64(F.lit(seed), "slot"), F.col("n_slots")))
