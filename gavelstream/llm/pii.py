@@ -382,6 +382,8 @@ def _is_kind(kind: str, span: str) -> bool:
     digits = "".join(numbers)
     if kind == "email":
         return len(span) >= 7 and bool(_AT.search(span)) and ("." in span or "dot" in span)
+    if any(map(str.isalpha, span)):
+        return False
     if kind == "ip":
         return len(numbers) == 4 and all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in numbers)
     if kind == "card":
@@ -422,7 +424,8 @@ def _reconciled(paths: np.ndarray, windows: list[tuple[int, str]], start: int, t
         s = e - len(span)
         if KINDS[kind] == "email" and (core := _ADDRESS.search(span)):
             s, e, span = s + core.start(), s + core.end(), core[0]
-        if _is_kind(KINDS[kind], span) and not any(b < start + e and start + s < f for _, b, f in base):
+        part_of_word = s > 0 and text[s - 1].isalnum() or e < len(text) and text[e].isalnum()
+        if _is_kind(KINDS[kind], span) and not part_of_word and not any(b < start + e and start + s < f for _, b, f in base):
             out.append((kind, start + s, start + e))
     return out
 

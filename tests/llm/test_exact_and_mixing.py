@@ -47,6 +47,12 @@ def test_drop_keeps_columns_and_first_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 2, 3, 4, 7, 11, 13, 14]
 
 
+def test_rows_that_share_an_id_go_by_their_own_texts(spark):
+    rows = [(1, "first", "x"), (2, "second", "x"), (2, "first", "x"), (2, "first", "y"), (3, "second", "x"), (None, "second", "x"), (None, "alone", "x")]
+    kept = exact_dedup.drop_exact_duplicates(table(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, "first"), (2, "second"), (None, "alone")]))
+
+
 def test_unhashed_rows_are_alone(spark):
     found = exact_dedup.exact_duplicates(table(spark, AWKWARD)).where("full_hash IS NULL").collect()
     assert all(r["group_size"] == 1 and r["kept"] for r in found)
@@ -122,8 +128,10 @@ def test_slots_follow_the_shares(spark):
 def test_mixed_documents_hold_the_taken_words(spark):
     docs = table(spark, [r for r in mixed_rows() if r[0] is not None])
     mixture = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=8, shard_slots=64).documents.collect()}
+    for name in ("_id", "_size", "mine", "ROW", "pieces"):
+        docs = docs.withColumn(name, F.lit("kept"))
     mixed = mixing.mixed_documents(docs, block_words=8, shard_slots=64)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == docs.columns and mixed.where("_id != 'kept' or mine != 'kept' or row != 'kept'").isEmpty()
     words, texts = {}, {i: t for i, t, _ in mixed_rows()}
     for r in mixed.collect():
         own = r["text"].split()

@@ -267,6 +267,59 @@ def test_fingerprint_is_the_same_in_any_company():
     assert (together == alone).all() and (together[3] == together[6]).all()
 
 
+def test_long_repetition_does_not_wrap():
+    ones = fingerprint.fingerprints([b"one line of words\n" * n for n in (2, 4, 20_000, 40_000, 65_536)])
+    for a, b, n in ((0, 1, 2), (2, 3, 2), (3, 4, 65_536 / 40_000)):
+        assert fingerprint.likeness(ones[a : a + 1], ones[b : b + 1])[0] == pytest.approx(1 - (n - 1) ** 2 / (1 + n * n), abs=1e-6)
+
+
+def test_only_paragraphs_are_a_multiset():
+    words = b"abc de fg hi jk lm no pq rs tu vw xy za bc de fg".split()
+    rng = random.Random(4)
+    line = b" ".join(words)
+    same, other = fingerprint.fingerprints([line + b"\n\nabc", b"abc\n" + line]), [b"\n".join(words), b"\t".join(words), b" ".join(words[::-1]), b" ".join(rng.sample(words, len(words))), line[:24] + b"\n" + line[25:]]
+    assert (same[0] == same[1]).all()
+    assert len({f.tobytes() for f in fingerprint.fingerprints([line, *other])}) == 1 + len(other)
+
+
+def slow_pieces(text):
+    """A text's pieces by definition: within each line, words and what precedes them, cut where the rule says."""
+    from collections import Counter
+
+    found = Counter()
+    for line in text.split(b"\n"):
+        cuts = [k for k, c in enumerate(line) if c in b" \t\x0b\x0c\r" and k >= 2 and (line[k - 1] * 7 + line[k - 2]) % 3 == 0]
+        before = None
+        for s, e in zip([0, *(k + 1 for k in cuts)], [*cuts, len(line)]):
+            if s < e:
+                found[line[s:e], before] += 1
+                before = line[s:e], line[s - 1 : s]
+    return found
+
+
+def test_likeness_follows_the_pieces():
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        lines = [" ".join(rng.choices(WORDS, k=rng.randint(1, 30))) for _ in range(rng.randint(1, 30))]
+        texts += ["\n".join(lines).encode(), "\n".join(rng.sample(lines, max(1, len(lines) * 3 // 4))).encode()]
+    found = fingerprint.fingerprints(texts)
+    errors = []
+    for a in range(0, 24, 2):
+        for b in (a + 1, (a + 2) % 24):
+            x, y = slow_pieces(texts[a]), slow_pieces(texts[b])
+            exact = 1 - sum((x[p] - y[p]) ** 2 for p in x | y) / sum(n * n for n in (*x.values(), *y.values()))
+            errors.append(fingerprint.likeness(found[a : a + 1], found[b : b + 1])[0] - exact)
+    assert max(map(abs, errors)) < 0.3 and abs(np.mean(errors)) < 0.05
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_ranges_equal_a_plain_search(spark, n):
+    cuts = sorted(random.Random(n).sample(range(300), n))
+    found = spark.range(300).select("id", fingerprint._range_of("id", cuts).alias("r")).collect()
+    assert all(r["r"] == np.searchsorted(cuts, r["id"], "right") for r in found)
+
+
 def test_edited_texts_follow_the_ids(spark):
     rows = [(30, "abcdefgh"), (10, "wxyz"), (20, None), (40, "x"), (None, "last one"), (25, "q" * 30000)]
     found = {r["doc_id"]: r for r in fingerprint.edit_likeness(docs(spark, rows).repartition(3)).collect()}

@@ -36,6 +36,9 @@ def test_bpe_equals_the_library_and_comes_back(spark):
     want = sorted((str(i), ENCODING.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["ids"], bytes(r["body"])) for r in decoded) == want
     assert bpe.encode(docs(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+    for wrong in ([-1], [len(RANKS) + 1000], [5, None]):
+        with pytest.raises(Exception, match="ids"):
+            bpe.decode(spark.createDataFrame([(1, wrong)], "doc_id long, ids array<int>"), PATH).collect()
     null = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bytes(bpe.decode(null, PATH).first()["body"]) == b""
 
