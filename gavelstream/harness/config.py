@@ -14,21 +14,17 @@ class BenchmarkError(Exception):
 
 @dataclass(frozen=True)
 class RunConfig:
-    """How a run is sized. cpu_quota is the cores in scheduler microseconds."""
+    """How a run is sized. With paced, streams get event_rate events a second instead of all there are."""
 
     cpu_cores: float = 2.0
-    cpu_period: int = 100_000
     memory_limit: str = "4g"
     data_size: int = 10_000_000
     event_rate: int = 300_000
+    paced: bool = False
     generators: int = 3
     stats_interval: float = 1.0
     shuffle_partitions: int | None = None
 
-    @property
-    def cpu_quota(self) -> int:
-        return int(self.cpu_cores * self.cpu_period)
-
     def spark_conf(self) -> dict[str, str]:
         cores = max(1, int(self.cpu_cores))
         return {

@@ -72,6 +72,7 @@ def generate(spark: SparkSession, events: int, generators: int = 3) -> Market:
     return split_events(spark.range(0, events, 1, generators).toDF("n"))
 
 
-def paced(spark: SparkSession, events_per_second: int) -> DataFrame:
-    """Numbers n as a stream at a rate, for split_events."""
-    return spark.readStream.format("rate").option("rowsPerSecond", events_per_second).load().select(F.col("value").alias("n"))
+def paced(spark: SparkSession, events: int, events_per_second: int, generators: int = 3) -> DataFrame:
+    """Numbers n as a stream for split_events, a second's worth in each micro-batch; a trigger of one second keeps the pace."""
+    rows = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", events_per_second).option("numPartitions", generators).load()
+    return rows.select(F.col("value").alias("n")).where(F.col("n") < events)

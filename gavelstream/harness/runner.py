@@ -16,15 +16,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from gavelstream.harness.config import BenchmarkError, CaseResult, RunConfig, load_config
-from gavelstream.harness.generator import generate
+from gavelstream.harness.generator import generate, paced, split_events
 from gavelstream.harness.sampler import Sampler
 from gavelstream.plans import catalogue
 from gavelstream.sources.auction_tables import Market, read_market
 from gavelstream.streaming import queries as streams
-from gavelstream.streaming.market import stream_market, write_market
-from gavelstream.streaming.sinks import KeyedTable, start, start_merging
+from gavelstream.streaming.market import stream_market, watermarked, with_instants, write_market
+from gavelstream.streaming.sinks import KeyedTable, merging
 from gavelstream.streaming.state import use_rocksdb
 
 MODES = ("batch", "stream")
@@ -67,14 +68,30 @@ def run_batch(spark: SparkSession, case: str, config: RunConfig, sf_dir: str | N
     return make_rows(query(market))
 
 
+def _paced_market(spark: SparkSession, config: RunConfig) -> Market:
+    generated = split_events(paced(spark, config.data_size, config.event_rate, config.generators))
+    return Market(*[watermarked(with_instants(getattr(generated, kind))) for kind in ("person", "auction", "bid")])
+
+
+def _run_to_the_end(writer: DataStreamWriter, config: RunConfig, is_paced: bool) -> None:
+    """Until the input has ended: with a second for each batch if it is paced."""
+    if not is_paced:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query, last = writer.trigger(processingTime="1 second").start(), -(-config.data_size // config.event_rate)
+    while not query.awaitTermination(0.2):
+        if (query.lastProgress or {"batchId": -1})["batchId"] >= last:  # the first batch has no rows yet
+            query.stop()
+
+
 def run_stream(spark: SparkSession, case: str, config: RunConfig, sf_dir: str | None) -> int:
-    """Rows that a case's stream emits, or of the table it ends with, over the data as it comes in files."""
+    """Rows that a case's stream emits, or of the table it ends with, over the data as it comes in files or at a rate."""
     if case not in streams.DIRECT and case not in streams.MERGED:
         raise BenchmarkError(f"{case} does not run as a stream")
     use_rocksdb(spark)
+    is_paced = config.paced and not sf_dir
     with tempfile.TemporaryDirectory(prefix="gavelstream-") as folder:
-        places = write_market(_market(spark, config, sf_dir), f"{folder}/in")
-        market = stream_market(spark, **places)
+        market = _paced_market(spark, config) if is_paced else stream_market(spark, **write_market(_market(spark, config, sf_dir), f"{folder}/in"))
         if case in streams.DIRECT:
             query, mode = streams.DIRECT[case]
             rows = 0
@@ -83,12 +100,12 @@ def run_stream(spark: SparkSession, case: str, config: RunConfig, sf_dir: str |
                 nonlocal rows
                 rows += make_rows(batch)
 
-            running = query(market).writeStream.outputMode(mode).foreachBatch(count)
-            running.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            _run_to_the_end(query(market).writeStream.outputMode(mode).foreachBatch(count).option("checkpointLocation", f"{folder}/checkpoint"), config, is_paced)
             return rows
         merged, last = streams.MERGED[case], []
         table = KeyedTable(f"{folder}/table", merged.keys, merged.merge())
-        start_merging(merged.changes(market), table, merged.partial, f"{folder}/checkpoint", lambda _, n: last.append(n)).awaitTermination()
+        writer = merging(merged.changes(market), table, merged.partial, lambda _, n: last.append(n)).option("checkpointLocation", f"{folder}/checkpoint")
+        _run_to_the_end(writer, config, is_paced)
         return make_rows(merged.result(table.version(spark, last[-1]))) if last else 0
 
 
@@ -125,29 +142,40 @@ def summary(results: list[CaseResult]) -> str:
     return "\n".join(lines)
 
 
+def chosen_cases(cases: str, modes: list[str], skipped: list[str]) -> list[tuple[str, str]]:
+    """The cases with their modes, in order; "suite" stands for every case of a mode but those skipped."""
+    known = {"batch": list(catalogue.MARKET_QUERIES), "stream": [*streams.DIRECT, *streams.MERGED]}
+    if cases.strip() == "suite":
+        return [(case, mode) for mode in modes for case in known[mode] if case not in skipped]
+    return [(case.strip(), mode) for case in cases.split(",") for mode in modes]
+
+
 def main(arguments: list[str] | None = None) -> int:
     """Exit code 1 if any case failed."""
     parser = argparse.ArgumentParser(description="Run benchmark cases and write reports.")
-    parser.add_argument("--cases", default="base", help="cases, comma-separated")
+    parser.add_argument("--cases", default="base", help="cases, comma-separated; suite: all that a mode can run")
+    parser.add_argument("--skip", default="", help="cases to leave out of a suite, comma-separated")
     parser.add_argument("--platforms", default="batch", help="modes, comma-separated: batch, stream")
     parser.add_argument("--data-size", type=int, help="events to generate")
-    parser.add_argument("--event-rate", type=int, help="events a second, for streams that are paced")
+    parser.add_argument("--event-rate", type=int, help="events a second: streams of generated events come at this rate")
     parser.add_argument("--config-file", help="settings in JSON")
     parser.add_argument("--cpu-cores", type=float)
     parser.add_argument("--memory-limit")
     parser.add_argument("--tables", help="folder of tables to run over instead of generated events")
     parser.add_argument("--output", default=".", help="folder for the reports")
     given = parser.parse_args(arguments)
-    signal.signal(signal.SIGTERM, lambda *_: sys.exit(1))
+    for kind in (signal.SIGTERM, signal.SIGINT):  # the running case's session ends on the way out
+        signal.signal(kind, lambda *_: sys.exit(1))
     try:
-        config = load_config(given.config_file, vars(given))
+        config = load_config(given.config_file, vars(given) | {"paced": True if given.event_rate else None})
         modes = [m.strip() for m in given.platforms.split(",")]
         if unknown := set(modes) - set(MODES):
             raise BenchmarkError(f"unknown modes: {', '.join(sorted(unknown))}")
     except BenchmarkError as error:
         print(error, file=sys.stderr)
         return 1
-    results = [run_case(case.strip(), mode, config, given.tables) for case in given.cases.split(",") for mode in modes]
+    skipped = [c.strip() for c in given.skip.split(",")]
+    results = [run_case(case, mode, config, given.tables) for case, mode in chosen_cases(given.cases, modes, skipped)]
     save_results(results, given.output, datetime.now().strftime("%Y%m%d%H%M%S"))
     print(summary(results))
     return int(any(r.error for r in results))

@@ -55,8 +55,7 @@ def not_in(rows: DataFrame, column: str, listed: DataFrame, listed_column: str)
     only makes a shuffle; the list's nulls are one counted row.
     """
     key = F.col(listed_column)
-    n_all = listed.agg(F.count("*").alias("n")).scalar()
-    n_null = listed.agg(F.count_if(key.isNull()).alias("n")).scalar()
+    counts = listed.agg(F.struct(F.count("*").alias("n"), F.count_if(key.isNull()).alias("nulls")).alias("counts")).scalar()
     keys = listed.select(key.alias("_key")).where("_key IS NOT NULL").distinct()
     left = rows.join(keys, F.col(column) == F.col("_key"), "left_anti")
-    return left.where(((n_null == 0) & F.col(column).isNotNull()) | (n_all == 0))
+    return left.where(((counts["nulls"] == 0) & F.col(column).isNotNull()) | (counts["n"] == 0))

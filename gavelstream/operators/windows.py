@@ -26,9 +26,12 @@ def hop_counts_by_pane(df: DataFrame, keys: list[str], time: str, slide_seconds:
 
     Rows are counted per slide (pane) first; each pane's count then goes to the
     `slides` windows that hold it, so that not every row is copied that often.
+    Rows are dealt out by the keys alone, once: panes, their copies and the sums
+    per window all stay in the task that counted them.
     """
-    panes = df.groupBy(*keys, F.window(time, f"{slide_seconds} seconds").alias("w")).agg(F.count("*").alias("n"))
-    starts = panes.select(*keys, F.col("w.start").alias("pane"), "n", F.explode(F.sequence(F.lit(0), F.lit(slides - 1))).alias("k"))
+    dealt = df.select(*keys, time).repartition(*keys)
+    panes = dealt.groupBy(*keys, F.window(time, f"{slide_seconds} seconds").getField("start").alias("pane")).agg(F.count("*").alias("n"))
+    starts = panes.select(*keys, "pane", "n", F.explode(F.sequence(F.lit(0), F.lit(slides - 1))).alias("k"))
     step = F.make_dt_interval(secs=F.col("k") * slide_seconds)
     placed = starts.withColumn("starttime", F.col("pane") - step)
     summed = placed.groupBy(*keys, "starttime").agg(F.sum("n").alias(name))

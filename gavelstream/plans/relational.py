@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelstream.functions.aggregates import count_when, latest, top_k
@@ -72,7 +72,11 @@ def q9_session(market: Market, longest_seconds: int = 7200) -> DataFrame:
     A session opens with a bid before the auction's end and closes with one at
     it, or with two hours of silence.
     """
-    bids = valid_bids(market.auction, market.bid)
+    return bidding_sessions(valid_bids(market.auction, market.bid), longest_seconds)
+
+
+def bidding_sessions(bids: DataFrame, longest_seconds: int = 7200) -> DataFrame:
+    """q9_session from the valid bids with their auctions."""
     running, over = F.col("bid_dateTime") < F.col("expires"), F.col("bid_dateTime") >= F.col("expires")
     sessions = predicate_sessions(bids, ["id"], "bid_dateTime", running, over, longest_seconds, ["price", "bidder"])
     entry = F.struct("price", "id", "itemName", "seller")
@@ -81,23 +85,27 @@ def q9_session(market: Market, longest_seconds: int = 7200) -> DataFrame:
     return grouped.select(F.col("session_start").alias("ws"), "we", "wb")
 
 
+def _date() -> Column:
+    """The day as a date, which groups faster than its text."""
+    return F.to_date("date_time")
+
+
 def q15(market: Market) -> DataFrame:
     """Bids, bidders and auctions per day, in all and by price rank."""
-    keyed = market.bid.withColumn("day", day(F.col("date_time")))
-    return ranked_counts(keyed, ["day"], {"bidders": "bidder", "auctions": "auction"}, price_ranks(), "bids")
+    found = ranked_counts(market.bid.withColumn("day", _date()), ["day"], {"bidders": "bidder", "auctions": "auction"}, price_ranks(), "bids")
+    return found.withColumn("day", day(F.col("day")))
 
 
 def q16(market: Market) -> DataFrame:
     """As q15 per channel and day, with the last minute of a bid."""
-    keyed = market.bid.withColumn("day", day(F.col("date_time")))
-    return ranked_counts(keyed, ["channel", "day"], {"bidders": "bidder", "auctions": "auction"}, price_ranks(), "bids", {"minute": minute(F.col("date_time"))})
+    found = ranked_counts(market.bid.withColumn("day", _date()), ["channel", "day"], {"bidders": "bidder", "auctions": "auction"}, price_ranks(), "bids", {"minute": F.col("date_time")})
+    return found.withColumns({"day": day(F.col("day")), "minute": minute(F.col("minute"))})
 
 
 def q17(market: Market) -> DataFrame:
     """Bids per auction and day by price rank, with least, greatest, average (whole) and total price."""
-    keyed = market.bid.withColumn("day", day(F.col("date_time")))
     price = F.col("price")
-    return keyed.groupBy("auction", "day").agg(
+    found = market.bid.withColumn("day", _date()).groupBy("auction", "day").agg(
         F.count("*").alias("total_bids"),
         *[count_when(c).alias(f"{r}_bids") for r, c in price_ranks().items()],
         F.min(price).alias("min_price"),
@@ -105,6 +113,7 @@ def q17(market: Market) -> DataFrame:
         F.expr("sum(price) div count(price)").alias("avg_price"),
         F.sum(price).alias("sum_price"),
     )
+    return found.withColumn("day", day(F.col("day")))
 
 
 def q18(market: Market) -> DataFrame:
@@ -149,8 +158,8 @@ def _bid_counts(market: Market) -> DataFrame:
 
 def q102(market: Market) -> DataFrame:
     """Auctions with at least the average number of bids per auction that has any."""
-    average = market.bid.agg((F.count("*") / F.count_distinct("auction")).alias("n")).scalar()
-    many = _bid_counts(market).where(F.col("bid_count") >= average)
+    counts = _bid_counts(market)
+    many = counts.where(F.col("bid_count") >= counts.agg(F.avg("bid_count").alias("n")).scalar())
     return market.auction.join(many, market.auction["id"] == many["auction"]).select("id", "itemName", "bid_count")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelstream.operators.joins import asof_join
@@ -12,10 +12,9 @@ from gavelstream.sources.auction_tables import Market
 
 
 def _hottest(counts: DataFrame) -> DataFrame:
-    """Of the counts, those that no other of their window exceeds."""
-    most = counts.groupBy("starttime", "endtime").agg(F.max("num").alias("maxn"))
-    joined = counts.join(most, ["starttime", "endtime"]).where("num >= maxn")
-    return joined.select("auction", "num", "starttime", "endtime")
+    """Of the counts, those that no other of their window exceeds; each task ranks its own before the shuffle."""
+    order = Window.partitionBy("starttime", "endtime").orderBy(F.col("num").desc())
+    return counts.withColumn("place", F.rank().over(order)).where("place = 1").select("auction", "num", "starttime", "endtime")
 
 
 def q5(market: Market, size: str = "10 seconds", slide: str = "2 seconds") -> DataFrame:
@@ -36,7 +35,10 @@ def q5_rewrite(market: Market, size: str = "10 seconds", slide: str = "2 seconds
 
 def q5_asof(market: Market, size: str = "10 seconds", slide: str = "2 seconds") -> DataFrame:
     """q5 by an as-of join: counts meet the greatest maximum of their window that they reach."""
-    counts = hop_counts(market.bid, ["auction"], "date_time", size, slide)
+    return hottest_asof(hop_counts(market.bid, ["auction"], "date_time", size, slide))
+
+
+def hottest_asof(counts: DataFrame) -> DataFrame:
     most = counts.groupBy("starttime").agg(F.max("num").alias("maxn"))
     return asof_join(counts, most, ["starttime"], "num", "maxn", ["maxn"]).select("auction", "num", "starttime", "endtime")
 

@@ -55,6 +55,15 @@ def decode_json(messages: DataFrame, schema: T.StructType) -> DataFrame:
     return messages.select(parsed.alias("_")).select("_.*")
 
 
+def decode_keyed(messages: DataFrame, key_schema: T.StructType, schema: T.StructType) -> DataFrame:
+    """Keyed messages (key, value, timestamp) as changes: the key's columns, those of the value, message_time, and deleted where a key comes without a value."""
+    key = F.from_json(F.col("key").cast("string"), key_schema)
+    value = F.from_json(F.col("value").cast("string"), schema, {"timestampFormat": TIME_FORMAT})
+    rows = messages.select(key.alias("_key"), value.alias("_value"), F.col("timestamp").alias("message_time"), F.col("value").isNull().alias("deleted"))
+    others = [F.col(f"_value.{f.name}").alias(f.name) for f in schema if f.name not in key_schema.names]
+    return rows.select("_key.*", *others, "message_time", "deleted")
+
+
 def from_raw(raw: DataFrame, schema: T.StructType, column: str = "raw") -> DataFrame:
     """A stream of JSON text with its fields taken out as schema says; a field that is missing is null."""
     parsed = F.from_json(F.col(column), schema, {"timestampFormat": TIME_FORMAT})
@@ -77,6 +86,11 @@ def latest_by_key(changes: DataFrame, key: str, order: Column) -> DataFrame:
     return changes.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def table_of_changes(changes: DataFrame, key: str) -> DataFrame:
+    """decode_keyed's changes as a table: the last value of each key, without keys that were last deleted."""
+    return latest_by_key(changes, key, F.col("message_time")).where("not deleted").drop("message_time", "deleted")
+
+
 def literal_rows(spark: SparkSession) -> DataFrame:
     """The one row that shows that a source and a sink are connected."""
     return spark.createDataFrame([(1, "Hello streaming!")], "id int, message string")

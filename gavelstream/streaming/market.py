@@ -33,13 +33,18 @@ def stream_union(spark: SparkSession, source: Source, lateness: str = LATENESS)
     return split_union(events)
 
 
+def with_instants(table: DataFrame) -> DataFrame:
+    """Event times as TIMESTAMP, read as UTC, as watermarks need them."""
+    times = [c for c in ("date_time", "expires") if c in table.columns]
+    return table.withColumns({c: F.to_timestamp(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")) for c in times})
+
+
 def write_market(market: Market, folder: str, files: int = 4, kind: str = "parquet") -> dict[str, Source]:
     """Batch tables as folders that streams can read: event times as TIMESTAMP (UTC), in order of time over the files."""
     places = {}
     for name in ("person", "auction", "bid"):
         table = getattr(market, name)
-        times = [c for c in ("date_time", "expires") if c in table.columns]
-        table = table.withColumns({c: F.to_timestamp(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")) for c in times})
+        table = with_instants(table)
         table.repartitionByRange(files, "date_time").sortWithinPartitions("date_time").write.mode("overwrite").format(kind).save(f"{folder}/{name}")
         places[name] = Source(kind, f"{folder}/{name}", {"maxFilesPerTrigger": "1"})
     return places

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gavelstream.functions.scalars import day, minute
@@ -75,12 +75,10 @@ def q18(market: Market) -> DataFrame:
     return market.bid.groupBy("bidder", "auction").agg(F.max_by(F.struct("date_time", rest.alias("r")), F.struct("date_time", "price")).alias("b")).select("bidder", "auction", "b.date_time", "b.r.*")
 
 
-def q9(market: Market) -> DataFrame:
-    """A change log of each auction's winning bid."""
-    # what follows the join has one event time, the bid's; the auction's becomes a plain column
-    bids = valid_bid_stream(market)
-    bids = bids.withColumns({c: F.timestamp_micros(F.unix_micros(c)) for c in ("date_time", "expires")})
-    return top_rows_stream(bids, "id", ["price", "bid_dateTime", "bidder"], [False, True, True], 1, "append")
+def q8_any_window(market: Market, size: str = "10 seconds") -> DataFrame:
+    persons = market.person.groupBy("id", "name", tumble("date_time", size).alias("w")).agg(F.count("*").alias("n"))
+    sellers = market.auction.groupBy("seller", tumble("date_time", size).alias("sw")).agg(F.count("*").alias("m"))
+    return persons.join(sellers, F.col("id") == F.col("seller")).select("id", "name", F.col("w.start").alias("starttime"), F.col("sw.start").alias("auction_starttime"))
 
 
 def q19(market: Market) -> DataFrame:
@@ -104,9 +102,43 @@ def _final(result: Callable[[DataFrame], DataFrame]) -> Merged:
     return Merged(valid_bid_stream, keys, lambda b: b.groupBy(*keys).agg(F.max("price").alias("final")), lambda: (F.max("final").alias("final"),), result)
 
 
+def _best(columns: Column, *order: Column) -> tuple[Column, Column]:
+    """The row that comes first, from a batch's rows and from the rows found so far."""
+    first = F.struct(*order)
+    return F.max_by(columns, first).alias("best"), F.max(first).alias("first")
+
+
+def _first_rows(changes: Callable[[Market], DataFrame], keys: tuple[str, ...], order: Callable[[], tuple[Column, ...]], prepare: Callable[[DataFrame], DataFrame] = lambda b: b, columns: tuple[str, ...] = ("*",)) -> Merged:
+    """The first row of each key in the falling order."""
+    return Merged(
+        changes,
+        keys,
+        lambda b: prepare(b).groupBy(*keys).agg(*_best(F.struct(*columns), *order())),
+        lambda: (F.max_by("best", "first").alias("best"), F.max("first").alias("first")),
+        lambda t: t.select("best.*"),
+    )
+
+
+def _auctions_and_bids(market: Market) -> DataFrame:
+    """One change for each auction and each bid, by auction."""
+    opened = market.auction.select(F.col("id").alias("auction"), "itemName", F.lit(None).cast("long").alias("price"), F.lit(0).cast("long").alias("bids"))
+    return opened.unionByName(market.bid.select("auction", F.lit(None).cast("string").alias("itemName"), "price", F.lit(1).cast("long").alias("bids")))
+
+
 def _counted(result: Callable[[DataFrame], DataFrame]) -> Merged:
-    reduced = lambda b: b.groupBy("auction").agg(F.count("*").alias("bid_count"), F.max("price").alias("max_price"))
-    return Merged(lambda m: m.bid, ("auction",), reduced, lambda: (F.sum("bid_count").alias("bid_count"), F.max("max_price").alias("max_price")), result)
+    """A query over id, itemName (null while the auction is unknown), bid_count and max_price of each auction (q101 to q105)."""
+    names = {"itemName": (F.max, "itemName"), "bid_count": (F.sum, "bids"), "max_price": (F.max, "price")}
+    partial = lambda b: b.groupBy("auction").agg(*[f(c).alias(n) for n, (f, c) in names.items()])
+    return Merged(_auctions_and_bids, ("auction",), partial, lambda: tuple(f(n).alias(n) for n, (f, _) in names.items()), lambda t: result(t.withColumnRenamed("auction", "id")))
+
+
+def _opened(table: DataFrame) -> DataFrame:
+    return table.where("itemName IS NOT NULL")
+
+
+def _average(table: DataFrame) -> Column:
+    """Bids of an auction that has any, on average."""
+    return table.where("bid_count > 0").agg(F.avg("bid_count").alias("n")).scalar()
 
 
 def _distinct(keys: tuple[str, ...], with_minute: bool) -> Merged:
@@ -134,14 +166,38 @@ def _distinct(keys: tuple[str, ...], with_minute: bool) -> Merged:
     return Merged(lambda m: m.bid, (*keys, "kind", "id"), partial, merge, result)
 
 
-def _q6(table: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+def _last_prices(keys: tuple[str, ...], result: Callable[[DataFrame], DataFrame]) -> Merged:
+    """A query over the highest valid bids by some keys."""
+    return Merged(valid_bid_stream, keys, lambda b: b.groupBy(*keys).agg(F.max("price").alias("final")), lambda: (F.max("final").alias("final"),), result)
+
 
-    order = Window.partitionBy("seller").orderBy("bid_dateTime", "id").rowsBetween(-9, 0)
-    return table.select("seller", (F.sum("final").over(order) / F.lit(10.0)).alias("avg_sell_price"))
+def _last_ten(table: DataFrame, by: str) -> WindowSpec:
+    return Window.partitionBy("seller").orderBy(by, "id").rowsBetween(-9, 0)
 
 
-_Q6_KEYS = ("id", "seller", "bid_dateTime")
+def _window_counts(result: Callable[[DataFrame], DataFrame]) -> Merged:
+    """A query over the bids of each auction in each hopping window."""
+
+    def partial(batch: DataFrame) -> DataFrame:
+        counts = batch.groupBy("auction", hop("date_time", "10 seconds", "2 seconds").alias("w")).agg(F.count("*").alias("num"))
+        return counts.select("auction", F.col("w.start").alias("starttime"), F.col("w.end").alias("endtime"), "num")
+
+    return Merged(lambda m: m.bid, ("auction", "starttime", "endtime"), partial, lambda: (F.sum("num").alias("num"),), result)
+
+
+_BID = ("id", "itemName", "seller", "expires", "bidder", "price", "bid_dateTime")
+
+
+def _top_prices(n: int = 10) -> Merged:
+    """Each auction's highest prices; a key's state is at most n numbers a run."""
+    highest = lambda prices: F.slice(F.sort_array(prices, asc=False), 1, n).alias("prices")
+
+    def partial(batch: DataFrame) -> DataFrame:
+        kept = relational.top_rows(batch.select("auction", "price"), ["auction"], [F.col("price").desc()], n)
+        return kept.groupBy("auction").agg(highest(F.collect_list("price")))
+
+    return Merged(lambda m: m.bid, ("auction",), partial, lambda: (highest(F.flatten(F.collect_list("prices"))),), lambda t: t)
+
 
 #: Queries that stream as they are: name -> (function of the market, output mode).
 DIRECT: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
@@ -152,12 +208,13 @@ DIRECT: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "q5_many_windows": (q5_many_windows, "append"),
     "q7": (q7, "append"),
     "q8": (q8, "append"),
-    "q9": (q9, "append"),
+    "q8_any_window": (q8_any_window, "append"),
     "q11": (q11, "append"),
     "q12": (windowed.q12, "update"),
     "q13": (q13, "append"),
     "q17": (relational.q17, "update"),
     "q18": (q18, "update"),
+    "q18_latest": (relational.q18_latest, "update"),
     "q19": (q19, "update"),
     "q20": (relational.q20, "append"),
 }
@@ -166,36 +223,25 @@ DIRECT: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
 MERGED: dict[str, Merged] = {
     "q4": _final(lambda t: t.groupBy("category").agg(F.avg("final").alias("avg_price"))),
     "q106": _final(lambda t: t.agg(F.min("final").alias("min_final"))),
-    "q6": Merged(valid_bid_stream, _Q6_KEYS, lambda b: b.groupBy(*_Q6_KEYS).agg(F.max("price").alias("final")), lambda: (F.max("final").alias("final"),), _q6),
+    "q6": _last_prices(("id", "seller", "bid_dateTime"), lambda t: t.select("seller", (F.sum("final").over(_last_ten(t, "bid_dateTime")) / F.lit(10.0)).alias("avg_sell_price"))),
+    "q6_winning": _last_prices(("id", "seller", "expires"), lambda t: t.select("id", "seller", F.avg("final").over(_last_ten(t, "expires")).alias("avg_sell_price"))),
+    "q9": _first_rows(valid_bid_stream, ("id",), lambda: (F.col("price"), -F.unix_micros("bid_dateTime"), -F.col("bidder"))),
+    "q9_session": Merged(valid_bid_stream, _BID, lambda b: b.groupBy(*_BID).agg(F.count("*").alias("n")), lambda: (F.sum("n").alias("n"),), relational.bidding_sessions),
     "q15": _distinct(("day",), False),
     "q16": _distinct(("channel", "day"), True),
-    "q103": _counted(lambda t: t.where("bid_count >= 20")),
-    "q104": _counted(lambda t: t.where("bid_count < 20")),
-    "q105": _counted(lambda t: t.orderBy(F.desc("bid_count"), "auction").limit(1000)),
-    "q101": _counted(lambda t: t.select("auction", "max_price")),
-    "q102": _counted(lambda t: t.where(F.col("bid_count") >= t.agg(F.avg("bid_count").alias("n")).scalar()).select("auction", "bid_count")),
-    "q5_rewrite": Merged(
-        lambda m: m.bid,
-        ("auction", "starttime", "endtime"),
-        lambda b: b.groupBy("auction", hop("date_time", "10 seconds", "2 seconds").alias("w")).agg(F.count("*").alias("num")).select("auction", "w.start", "w.end", "num").toDF("auction", "starttime", "endtime", "num"),
-        lambda: (F.sum("num").alias("num"),),
-        lambda t: relational.top_rows(t, ["starttime", "endtime"], [F.col("num").desc(), F.col("auction").asc()], 1).select("auction", "num", "starttime", "endtime"),
-    ),
-    "q7_rewrite": Merged(
+    "q19_topk": _top_prices(),
+    "q101": _counted(lambda t: _opened(t).select("id", "itemName", "max_price")),
+    "q102": _counted(lambda t: _opened(t).where("bid_count > 0").where(F.col("bid_count") >= _average(t)).select("id", "itemName", "bid_count")),
+    "q103": _counted(lambda t: _opened(t).where("bid_count >= 20").select("id", "itemName")),
+    "q104": _counted(lambda t: _opened(t).where("bid_count = 0 OR bid_count >= 20").select("id", "itemName")),
+    "q105": _counted(lambda t: _opened(t).where("bid_count > 0").select("id", "itemName", "bid_count").orderBy(F.desc("bid_count"), "id").limit(1000)),
+    "q5_rewrite": _window_counts(lambda t: relational.top_rows(t, ["starttime", "endtime"], [F.col("num").desc(), F.col("auction").asc()], 1).select("auction", "num", "starttime", "endtime")),
+    "q5_asof": _window_counts(windowed.hottest_asof),
+    "q7_rewrite": _first_rows(
         lambda m: m.bid,
         ("endtime",),
-        lambda b: b.groupBy(tumble("date_time", "10 minutes").getField("end").alias("endtime")).agg(_best()),
-        lambda: (F.max_by("best", F.struct("best.price", -F.unix_micros("best.date_time"), -F.col("best.auction"), -F.col("best.bidder"))).alias("best"),),
-        lambda t: t.select("best.*").select("auction", "price", "bidder", "date_time", "extra"),
+        lambda: (F.col("price"), -F.unix_micros("date_time"), -F.col("auction"), -F.col("bidder")),
+        lambda b: b.withColumn("endtime", tumble("date_time", "10 minutes").getField("end")),
+        ("auction", "price", "bidder", "date_time", "extra"),
     ),
 }
-
-
-def _best() -> Column:
-    order = F.struct("price", -F.unix_micros("date_time"), -F.col("auction"), -F.col("bidder"))
-    return F.max_by(F.struct("auction", "price", "bidder", "date_time", "extra"), order).alias("best")
-
-
-def with_auctions(result: DataFrame, auctions: DataFrame, how: str = "inner") -> DataFrame:
-    """A result by auction with the auctions' columns, from their table as of now (q101 to q105)."""
-    return auctions.join(result, auctions["id"] == result["auction"], how)

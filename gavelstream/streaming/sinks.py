@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def start(result: DataFrame, checkpoint: str, mode: str = "append", kind: str = "noop", path: str | None = None, name: str | None = None, partitions: tuple[str, ...] = (), once: bool = True, **options: str) -> StreamingQuery:
@@ -37,39 +37,62 @@ def upsert_messages(result: DataFrame, keys: list[str]) -> DataFrame:
     return result.select(F.to_json(F.struct(*keys)).alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def _runs(number: int) -> list[int]:
+    """The runs that make up a table after batch `number` (counted from 1): each ends there and covers as many batches as its lowest bit says."""
+    found = []
+    while number > 0:
+        found.append(number)
+        number -= number & -number
+    return found
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """A table of one row per key that micro-batches are merged into.
 
-    Each batch writes a new version beside the old one, named by the batch's
-    number. A batch that is run again after a failure starts from the version
-    before and writes its own anew, so it counts once. Old versions may be
-    cleared at any time but for the last.
+    A batch writes one run: its own rows, merged with the runs that it ends, as
+    a binary counter carries. A row is so written again about as often as the
+    number of batches has bits, and never with all that came before; the table
+    is the merge of at most that many runs. A batch that is run again after a
+    failure starts from runs before it and writes its own anew, so it counts
+    once. Runs that no later table reads may be cleared at any time.
     """
 
     folder: str
     keys: tuple[str, ...]
     merge: tuple[Column, ...]
 
-    def version(self, spark: SparkSession, number: int, schema=None) -> DataFrame:
+    def _merged(self, spark: SparkSession, runs: list[int], schema, *more: DataFrame) -> DataFrame:
         reader = spark.read.schema(schema) if schema is not None else spark.read
-        return reader.parquet(f"{self.folder}/v{number}")
+        parts = [*more, *([reader.parquet(*[f"{self.folder}/run{r}" for r in runs])] if runs else [])]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows.groupBy(*self.keys).agg(*self.merge)
+
+    def version(self, spark: SparkSession, number: int, schema=None) -> DataFrame:
+        """The table after the batch of this number (counted from 0)."""
+        return self._merged(spark, _runs(number + 1), schema)
 
     def upsert(self, rows: DataFrame, number: int) -> DataFrame:
-        """Merge rows, which hold the keys and the merged columns, as the batch of this number."""
-        spark = rows.sparkSession
-        both = rows if number == 0 else self.version(spark, number - 1, rows.schema).unionByName(rows)
-        merged = both.groupBy(*self.keys).agg(*self.merge)
-        merged.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-        return self.version(spark, number)
+        """Merge rows, which hold the keys and the merged columns, as the batch of this number; the table then."""
+        spark, last = rows.sparkSession, number + 1
+        ended = [r for r in _runs(number) if r > last - (last & -last)]
+        self._merged(spark, ended, rows.schema, rows).write.mode("overwrite").parquet(f"{self.folder}/run{last}")
+        return self.version(spark, number, rows.schema)
 
 
-def start_merging(changes: DataFrame, table: KeyedTable, partial: Callable[[DataFrame], DataFrame], checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Merge a stream's micro-batches, reduced by `partial`, into a keyed table; then gets the table after each."""
+def merging(changes: DataFrame, table: KeyedTable, partial: Callable[[DataFrame], DataFrame], then: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """A writer that merges a stream's micro-batches, reduced by `partial`, into a keyed table; then gets the table after each."""
 
     def one(batch: DataFrame, number: int) -> None:
         merged = table.upsert(partial(batch), number)
         if then:
             then(merged, number)
 
-    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(one)
+
+
+def start_merging(changes: DataFrame, table: KeyedTable, partial: Callable[[DataFrame], DataFrame], checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Merge what there is, and end."""
+    return merging(changes, table, partial, then).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

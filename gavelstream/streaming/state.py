@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,14 @@ class TopRows(StatefulProcessor):
         self._kept = handle.getListState("kept", self._schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = pd.DataFrame(list(self._kept.get()), columns=self._columns) if self._kept.exists() else None
-        parts = ([before] if before is not None else []) + [r[self._columns] for r in rows]
-        best = pd.concat(parts, ignore_index=True).sort_values(self._order, ascending=self._ascending, kind="stable").head(self._n).reset_index(drop=True)
-        if before is None or not best.equals(before.astype(best.dtypes.to_dict())):
-            self._kept.put([tuple(r) for r in best.itertuples(index=False)])
-            yield best.assign(rank_number=range(1, len(best) + 1))
+        before = [tuple(r) for r in self._kept.get()] if self._kept.exists() else []
+        best = before + [tuple(r) for part in rows for r in part[self._columns].itertuples(index=False)]
+        for name, ascending in reversed(list(zip(self._order, self._ascending))):  # stable sorts, the last column first
+            best.sort(key=itemgetter(self._columns.index(name)), reverse=not ascending)
+        best = best[: self._n]
+        if best != before:
+            self._kept.put(best)
+            yield pd.DataFrame(best, columns=self._columns).assign(rank_number=range(1, len(best) + 1))
 
     def close(self) -> None:
         pass

@@ -3,18 +3,21 @@
 import json
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavelstream import schemas
 from gavelstream.harness.config import BenchmarkError, CaseResult, RunConfig, load_config
 from gavelstream.harness.generator import generate
-from gavelstream.harness.runner import make_rows, run_batch, run_stream, save_results, summary
+from gavelstream.harness.runner import chosen_cases, make_rows, run_batch, run_stream, save_results, summary
 from gavelstream.harness.sampler import Sampler
 from gavelstream.reports import dashboard
 from gavelstream.reports.loader import latest_report, load_report
-from gavelstream.sources.readers import Source, decode_json, from_raw, with_declared_names
+from gavelstream.sources.readers import Source, decode_json, decode_keyed, from_raw, table_of_changes, with_declared_names
 
 REPO = Path(__file__).parents[1]
 
@@ -23,7 +26,7 @@ def test_settings_precedence(tmp_path):
     file = tmp_path / "settings.json"
     file.write_text(json.dumps({"cpu_cores": 4, "data_size": 5, "unknown": 1}))
     config = load_config(str(file), {"cpu_cores": 1.5, "data_size": None})
-    assert (config.cpu_cores, config.data_size, config.cpu_quota) == (1.5, 5, 150_000)
+    assert (config.cpu_cores, config.data_size, config.paced) == (1.5, 5, False)
     assert RunConfig().spark_conf()["spark.master"] == "local[2]"
     with pytest.raises(BenchmarkError):
         load_config(str(tmp_path / "none.json"), {})
@@ -44,11 +47,25 @@ def test_generated_cases(spark, case):
 def test_streamed_case(spark):
     assert run_stream(spark, "q2", RunConfig(data_size=2000), "/root/testdata/sf0.001") == 37
     with pytest.raises(BenchmarkError):
-        run_stream(spark, "q18_latest", RunConfig(), None)
+        run_stream(spark, "asof_join", RunConfig(), None)
     with pytest.raises(BenchmarkError):
         run_batch(spark, "q999", RunConfig(), None)
 
 
+@pytest.mark.parametrize("case", ["q2", "q106"])
+def test_paced_streams_keep_their_rate(spark, case):
+    began = time.time()
+    config = RunConfig(data_size=2000, event_rate=700, paced=True)
+    assert run_stream(spark, case, config, None) == run_batch(spark, case, config, None)
+    assert time.time() - began > 2
+
+
+def test_a_suite_leaves_out_what_it_is_told_to():
+    chosen = chosen_cases("suite", ["batch", "stream"], ["q6", "q13"])
+    assert ("q4", "batch") in chosen and ("q4", "stream") in chosen and not {"q6", "q13"} & {case for case, _ in chosen}
+    assert chosen_cases("q1, q2", ["batch"], []) == [("q1", "batch"), ("q2", "batch")]
+
+
 def test_all_columns_are_made(spark):
     failing = spark.range(3).selectExpr("id", "if(id = 1, raise_error('made'), 'x') AS body")
     assert failing.count() == 3
@@ -86,6 +103,17 @@ def test_other_producers_json(spark, tmp_path):
     assert tuple(Source("csv", str(tmp_path / "side")).read(spark, schemas.SIDE_INPUT).first()) == (5, "v5")
 
 
+def test_recorded_messages(spark):
+    """Frames as a broker gives them: values, a broken one, a missing one, a deletion."""
+    frames = [(b'{"key": 1}', b'{"key": 1, "value": "a"}', 1), (b'{"key": 2}', b'{"key": 2, "value": "b"}', 2), (b'{"key": 1}', b'{"key": 1, "value": "c"}', 3), (b'{"key": 2}', None, 4), (b'{"key": 3}', b"{broken", 5)]
+    messages = spark.createDataFrame([(bytearray(k), bytearray(v) if v else None, t) for k, v, t in frames], "key binary, value binary, at long").withColumn("timestamp", F.timestamp_seconds("at"))
+    plain = [tuple(r) for r in decode_json(messages.orderBy("at"), schemas.SIDE_INPUT).collect()]
+    assert plain == [(1, "a"), (2, "b"), (1, "c"), (None, None), (None, None)]
+    changes = decode_keyed(messages, T.StructType(schemas.SIDE_INPUT.fields[:1]), schemas.SIDE_INPUT)
+    assert [r["deleted"] for r in changes.orderBy("message_time").collect()] == [False, False, False, True, False]
+    assert sorted(map(tuple, table_of_changes(changes, "key").collect())) == [(1, "c"), (3, None)]
+
+
 def test_entry_without_the_corpus_parts():
     code = (
         "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['gavelstream.llm'] = None\n"
