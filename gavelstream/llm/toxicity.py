@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
-Words get log-odds of toxic against clean documents, with a Dirichlet prior;
-other words cost a little. A linear scan finds every maximal segment of a
-text's words. The best segment of a clean text of n words has an extreme-value
+Words whose use tells toxic from clean documents get log-odds of either sign,
+with a Dirichlet prior; every other word costs what the words between the
+marked ones of a toxic passage tell against one. A linear scan finds every
+maximal segment of a text's words. The best segment of a clean text of n words has an extreme-value
 distribution, P(S >= x) = 1 - exp(-K n exp(-lambda x)); a segment whose expected
 number of chance occurrences is small is a toxic passage, and a document's
 score is calibrated from that evidence.
@@ -12,8 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Word log-odds, the cost of other words, the extreme-value parameters and the calibration."""
+    """Word log-odds of either sign, the cost of other words, the extreme-value parameters and the calibration."""
 
     odds: dict[str, float]
     cost: float
@@ -81,12 +83,13 @@ def maximal_segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[i
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """doc_id, text, toxic of at most max_rows labelled rows that are not held out, least hash first; equal texts once."""
+    """doc_id, text, toxic of at most max_rows labelled rows that are not held out, least hash first; equal texts once, with the label of the smallest doc_id."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     # max_rows bounds the side that is broadcast
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("doc_id", "text", "toxic")
+    first = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", F.col("toxic").cast("int").alias("toxic"))).alias("first"))
+    return first.select("first.doc_id", "text", "first.toxic")
 
 
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,17 +102,20 @@ def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, max_words: int = 5000, prior: float = 100.0, least_z: float = 6.0, cost: float = 0.2) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, prior: float = 100.0, least_z: float = 6.0, cost: float = 0.2) -> Model:
     """Fit the model on at most max_rows labelled rows that are not held out.
 
     A word's odds come from the documents that hold it, with a Dirichlet prior
-    of `prior` documents spread as the sample's. It is kept if it stands least_z
-    standard deviations from its expected share, and the max_words strongest are;
-    the rows and words bound the model and what the driver sees. Without rows
-    of both kinds the model scores every text alike, by the known share.
+    of `prior` documents spread as the sample's. It keeps them if it stands
+    least_z standard deviations from its expected share, on either side; at so
+    many, only words of several documents can. The other words' cost is fitted:
+    passages are found at a first cost, and the share of toxic words in them,
+    against that in clean documents, says what a word without mark is worth.
+    max_rows bounds the model and what the driver sees. Without rows of both
+    kinds the model scores every text alike, by the known share.
     """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, max_rows).withColumn("toxic", F.col("toxic").cast("int")).persist()
+    sample = labelled_sample(docs, labels, max_rows).persist()
     try:
         n_all, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         n_clean = n_all - n_toxic
@@ -124,43 +130,76 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, max_words:
         weight = F.col("n") / n_all * prior
         clean = F.col("n") - F.col("t")
         odds = F.log((F.col("t") + weight) / (n_toxic + prior - F.col("t"))) - F.log((clean + weight) / (n_clean + prior - clean))
-        kept = counts.withColumn("z", z).where(F.col("z") >= least_z).withColumn("odds", odds).where("odds > 0")
-        table = {r["word"]: float(r["odds"]) for r in kept.orderBy(F.desc("z"), "word").limit(max_words).select("word", "odds").collect()}
-        if not table:
+        kept = counts.withColumn("z", z).where(F.abs("z") >= least_z).select("word", odds.alias("odds"))
+        table = {r["word"]: float(r["odds"]) for r in kept.collect()}
+        if not any(x > 0 for x in table.values()):
             return flat
 
         draft = Model(table, cost, 1.0, 0.0, (0.0, 0.0, 0.0))
-        rows = sample.select("text", "toxic").mapInArrow(_draft_rows(draft), "toxic int, n_words long, best double, scores array<double>, hits array<double>").collect()
+        draft = replace(draft, cost=_fitted_cost(draft, sample))
+        rows = sample.select("text", "toxic").mapInArrow(_draft_rows(draft), "toxic int, n_words long, best double, scores array<double>").collect()
+        hits = sample.where("toxic = 0").select("text").mapInArrow(_hits(draft), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     finally:
         sample.unpersist()
-    return _calibrated(draft, rows)
+    by_score: Counter = Counter()
+    for r in hits:
+        by_score[table[r["word"]]] += r["n"]
+    return _calibrated(draft, rows, by_score)
+
+
+def _fitted_cost(draft: Model, sample: DataFrame) -> float:
+    """Minus the log-odds of a word without toxic mark, inside the best passages of toxic rows against clean rows; half a word of each kind is assumed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, marked = [], []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = _WORDS(text.lower())
+                if toxic:
+                    start, end, _ = max(draft.passages(words), key=lambda p: p[2], default=(0, 0, 0.0))
+                    words = words[start:end]
+                seen.append(len(words))
+                marked.append(sum(draft.odds.get(w, 0.0) > 0 for w in words))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(seen, pa.int64()), pa.array(marked, pa.int64())], ["toxic", "seen", "marked"])
+
+    found = sample.select("text", "toxic").mapInArrow(run, "toxic int, seen long, marked long").groupBy("toxic").agg(F.sum("seen").alias("seen"), F.sum("marked").alias("marked")).collect()
+    plain = {r["toxic"]: (r["seen"] - r["marked"] + 0.5) / (r["seen"] + 1) for r in found}
+    return min(5.0, max(0.05, math.log(plain.get(0, 1.0) / plain.get(1, 0.5))))
 
 
 def _draft_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, best, scores, hits = [], [], [], []
+            sizes, best, scores = [], [], []
             for text in batch.column("text").to_pylist():
                 words = _WORDS(text.lower())
                 found = [s for _, _, s in model.passages(words)]
                 sizes.append(len(words))
                 best.append(max(found, default=0.0))
                 scores.append(found)
-                hits.append([model.odds[w] for w in words if w in model.odds])
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(best, pa.float64()), pa.array(scores, kind), pa.array(hits, kind)], ["toxic", "n_words", "best", "scores", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n_words", "best", "scores"])
+
+    return run
+
+
+def _hits(model: Model):
+    """How often each word with odds stands in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter(w for text in batch.column("text").to_pylist() for w in _WORDS(text.lower()) if w in model.odds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     return run
 
 
-def _calibrated(draft: Model, rows: list) -> Model:
-    """Extreme-value parameters from the clean rows, then a logistic fit of the labels on the evidence."""
+def _calibrated(draft: Model, rows: list, hits: dict[float, int]) -> Model:
+    """Extreme-value parameters from the clean rows, whose words with odds are hits (score: number), then a logistic fit of the labels on the evidence."""
     clean = [r for r in rows if not r["toxic"]]
     n_clean = sum(r["n_words"] for r in clean)
-    hits = [s for r in clean for s in r["hits"]]
-    # a clean word's score: the hits seen, half a hit at the mean score, else the cost
-    mean = float(np.mean(list(draft.odds.values())))
-    scores, shares = np.array([*hits, mean]), np.array([*[1.0] * len(hits), 0.5]) / (n_clean + 1)
+    # a clean word's score: the hits seen, half a hit at the mean score of toxic words, else the cost
+    mean = float(np.mean([x for x in draft.odds.values() if x > 0]))
+    scores, shares = np.array([*hits, mean]), np.array([*hits.values(), 0.5]) / (n_clean + 1)
     rest = max(0.0, 1 - shares.sum())
 
     def excess(x: float) -> float:
