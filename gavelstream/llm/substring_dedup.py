@@ -35,8 +35,6 @@ from gavelstream.llm.common import fixed_splits, from_files, small_batches, text
 
 #: Bytes of text hashed at once, and in a batch.
 BLOCK_BYTES, BATCH_BYTES = 1 << 17, 1 << 19
-#: Bytes of text for each index block, at least, where the session has too few shuffle partitions.
-INDEX_BYTES = 1 << 26
 #: Batches that ask one source batch in a row.
 ASKERS = 1000
 SEED_WORDS = 5
@@ -348,23 +346,32 @@ _RUN = ("row", "start", "windows", "source", "at", "place")
 
 
 def _located(size: int, n_blocks: int):
-    """Each batch's runs, and for each batch of sources the stretches of text to ask it for."""
+    """Each batch's runs, and the stretches of text to ask other batches for, in one packed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, found, asked = [], [], []
+            numbers, found = [], []
             for number, index, body, anchors, answers in zip(*(batch.column(c).to_pylist() for c in ("batch", "index", "body", "anchors", "answers"))):
                 ids, texts = _unpacked(index, body)
                 runs = runs_of(ids, *_windows_asked(ids, texts, anchors, size), answers, n_blocks)
                 numbers.append(number)
-                found.append(_zip(*runs))
-                asked.append([{"to": int(to), "stretches": _zip(*stretches)} for to, stretches in _stretches(runs, size)])
-            kind = pa.list_(pa.struct([("to", pa.int64()), ("stretches", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.binary()), pa.array(asked, kind)], ["batch", "runs", "asked"])
+                found.append(_zip(*runs, *_stretches(runs, size)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], ["batch", "found"])
 
     return run
 
 
+def _asked_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each batch that a batch asks for text."""
+    for batch in batches:
+        for number, found in zip(batch.column("batch").to_pylist(), batch.column("found").to_pylist()):
+            at, place, words = _unzip(found)[len(_RUN) :]
+            to, first = np.unique(at, return_index=True)
+            ends = np.append(first[1:], len(at))
+            packed = [_zip(place[s:e], words[s:e]) for s, e in zip(first, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(to), pa.int64()), pa.array(to, pa.int64()), pa.array(packed, pa.binary())], ["batch", "to", "stretches"])
+
+
 def runs_of(ids: np.ndarray, all_windows: list[np.ndarray], distinct: list[np.ndarray], answers: list[dict], n_blocks: int) -> list[np.ndarray]:
     """Arrays of _RUN, by row and start."""
     hashes, rows, positions = all_windows
@@ -393,17 +400,19 @@ def _reach(windows: np.ndarray, size: int):
     return 2 * (windows + size - 1)
 
 
-def _stretches(runs: list[np.ndarray], size: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """By batch of sources: place and words of the stretches that the runs need, joined where they overlap."""
+def _stretches(runs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Batch of sources, place and words of the stretches that the runs need, by batch and place, joined where they overlap."""
     _, _, windows, _, at, place = runs
     order = np.lexsort((place, at))
     at, start, end = at[order], place[order], place[order] + _reach(windows[order], size)
-    for to in np.unique(at):
-        s, e = start[at == to], np.maximum.accumulate(end[at == to])
-        first = np.flatnonzero(np.concatenate(([True], (s[1:] > e[:-1]) | (s[1:] >> 32 != s[:-1] >> 32))))
-        # the running end may come from the document before, whose last stretch is cut at its text's end anyway
-        ends = np.maximum.reduceat(end[at == to], first)
-        yield to, (s[first], ends - s[first])
+    first = []
+    for s, e in zip((bounds := np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)]))), bounds[1:]):
+        furthest = np.maximum.accumulate(end[s:e])
+        own = start[s:e]
+        # places of different documents lie far apart
+        first.append(s + np.flatnonzero(np.concatenate(([True], (own[1:] > furthest[:-1]) | (own[1:] >> 32 != own[:-1] >> 32)))[: e - s]))
+    first = np.concatenate(first) if len(at) else np.empty(0, np.int64)
+    return at[first], start[first], np.maximum.reduceat(end, first) - start[first] if len(at) else end
 
 
 def _send_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,12 +512,12 @@ def _cut_rows(ids, texts: list[list[bytes]], factors: list[list[tuple[int, int,
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for index, body, runs, sent in zip(*(batch.column(c).to_pylist() for c in ("index", "body", "runs", "sent"))):
+            for index, body, found, sent in zip(*(batch.column(c).to_pylist() for c in ("index", "body", "found", "sent"))):
                 ids, texts = _unpacked(index, body)
                 words = [t.split() for t in texts]
                 factors: list = [[] for _ in texts]
                 if sent:
-                    sources, columns = Sources(sent), [x.tolist() for x in _unzip(runs)]
+                    sources, columns = Sources(sent), [x.tolist() for x in _unzip(found)[: len(_RUN)]]
                     by_row: dict[int, list[tuple]] = {}
                     for row, *rest in zip(*columns):
                         by_row.setdefault(row, []).append(tuple(rest))
@@ -548,15 +557,13 @@ def remove_repeated_passages(docs: DataFrame, window_words: int = 13, n_blocks:
     each time, as files do; what comes from elsewhere is written first, and what
     joins or groups rows of files is the caller's to write.
     n_blocks is the number of index blocks, unset that of shuffle partitions or
-    one for each INDEX_BYTES of text, as a task holds a block's hashes.
+    two for each split of the input, as a task holds a block's hashes.
     """
     spark = docs.sparkSession
     small_batches(spark, size="8m")
     fixed_splits(spark)
     docs = from_files(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
-    if n_blocks is None:
-        total = docs.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
-        n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // INDEX_BYTES))
+    n_blocks = n_blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     named = docs.where("doc_id is not null").withColumn("at", F.spark_partition_id())
 
     def through_index(asked: DataFrame, answer, answers: Column) -> DataFrame:
@@ -566,22 +573,23 @@ def remove_repeated_passages(docs: DataFrame, window_words: int = 13, n_blocks:
     repeated = through_index(named.mapInArrow(_ask_anchors(window_words, n_blocks), _ROWS), _answer_anchors, F.col("packed"))
     repeated = repeated.withColumnRenamed("answers", "anchors").hint("merge")
     # the texts cross the shuffle once, compressed; Spark reuses that exchange for the other joins
-    packed = named.mapInArrow(_pack_texts, "batch long, index binary, body binary")
+    # (the filter is what inner joins would add, and an exchange without it would be another one)
+    packed = named.mapInArrow(_pack_texts, "batch long, index binary, body binary").where("batch IS NOT NULL")
     asking = packed.join(repeated, "batch")
     asked = asking.select("batch", "index", "body", "anchors").mapInArrow(_ask_windows(window_words, n_blocks), _ROWS)
     hits = through_index(asked, _answer_windows, F.struct("block", "packed"))
     located = asking.join(hits.hint("merge"), "batch").select("batch", "index", "body", "anchors", "answers")
-    located = located.mapInArrow(_located(window_words, n_blocks), "batch long, runs binary, asked array<struct<to:long,stretches:binary>>")
-    located = located.repartition("batch")
+    located = located.mapInArrow(_located(window_words, n_blocks), "batch long, found binary").repartition("batch")
 
     # a source that very many batches ask for answers them some at a time
-    asked = located.select("batch", F.inline("asked"))
+    asked = located.mapInArrow(_asked_text, "batch long, to long, stretches binary")
     turns = asked.groupBy("to").agg(F.ceil(F.count("*") / ASKERS).alias("turns"))
     asked = asked.join(turns.hint("merge"), "to").withColumn("turn", F.pmod(F.xxhash64("batch"), "turns"))
     asked = asked.groupBy("to", "turn").agg(F.collect_list(F.struct("batch", "stretches")).alias("askers"))
-    sent = packed.withColumnRenamed("batch", "to").join(asked.hint("merge"), "to").select("to", "index", "body", "askers")
+    # by the batch's own name, as a new one would be a new exchange
+    sent = packed.join(asked.hint("merge"), packed["batch"] == asked["to"]).select("to", "index", "body", "askers")
     sent = sent.mapInArrow(_send_text, "batch long, to long, stretches binary").groupBy("batch").agg(F.collect_list(F.struct("to", "stretches")).alias("sent"))
 
-    runs = located.select("batch", "runs").join(sent.hint("merge"), "batch")
-    cut = packed.join(runs.hint("merge"), "batch", "left").select("index", "body", "runs", "sent").mapInArrow(_cut(window_words), _CUT)
+    runs = located.join(sent.hint("merge"), "batch")
+    cut = packed.join(runs.hint("merge"), "batch", "left").select("index", "body", "found", "sent").mapInArrow(_cut(window_words), _CUT)
     return cut.unionByName(docs.where("doc_id is null").mapInArrow(_whole, _CUT))

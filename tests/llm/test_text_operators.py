@@ -239,7 +239,7 @@ def slow_segments(scores):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([0.0, 0.0, 0.0, 1.17, 2.31, 0.53]), max_size=14))
+@given(st.lists(st.sampled_from([0.0, 0.0, 0.0, 1.17, 2.31, 0.53, -0.91]), max_size=14))
 def test_maximal_segments(scores):
     found = toxicity.maximal_segments([(k, s) for k, s in enumerate(scores) if s], 0.37)
     assert [(s, e) for s, e, _ in found] == slow_segments([s or -0.37 for s in scores])
@@ -276,6 +276,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in found if r["score"] < 0.7}
 
 
+def test_words_of_clean_documents_count_against(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = rng.choices([f"plain{k}" for k in range(300)], k=60) + (["vile", "awful"] * 2 if toxic else ["kindly", "regards"])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {w for w, x in model.odds.items() if x > 0} == {"vile", "awful"} and {w for w, x in model.odds.items() if x < 0} == {"kindly", "regards"}
+    alone, beside = (model.passages(f"vile {w} {w} awful".split()) for w in ("plain1", "regards"))
+    assert len(alone) == 1 and len(beside) == 2
+
+
+def test_equal_texts_take_the_label_of_the_smallest_id(spark):
+    rows = [(k, f"text {k % 4}") for k in range(40)]
+    labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    found = {r["text"]: (r["doc_id"], r["toxic"]) for r in toxicity.labelled_sample(docs(spark, rows), labels, 100).collect()}
+    seen = {}
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 3 != 1:
+            seen.setdefault(text, (k, int(k % 8 == 0)))
+    assert found == seen
+
+
 def test_toxicity_of_awkward_rows(spark):
     rows = [(1, None), (2, ""), (2, "vile " * 20000), (None, "vile awful nasty"), (4, "!!!")]
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
