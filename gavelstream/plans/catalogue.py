@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelstream.functions.aggregates import top_k
 from gavelstream.functions.scalars import array_average, json_path
 from gavelstream.operators.joins import asof_join, interval_join, not_in
 from gavelstream.operators.ranking import last_row, top_overall
@@ -87,6 +88,26 @@ def _average_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("auction", array_average(F.array(F.col("low").cast("double"), F.col("high").cast("double"))).alias("middle"))
 
 
+def _joined_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays put together from literals and from other arrays."""
+    bid = read_market(spark, sf_dir).bid
+    ends = bid.groupBy("auction").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    both = F.concat(F.array("low"), F.array(F.col("high"), F.lit(0).cast("long")))
+    return ends.select("auction", F.size(both).alias("n"), F.element_at(both, 2).alias("second"), F.element_at(both, -1).alias("last"))
+
+
+def _max_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each auction's three highest bids with who made them and when, from an array of structs."""
+    top = top_k(read_market(spark, sf_dir).bid, ["auction"], "price", 3, ["date_time", "bidder"])
+    return top.select("auction", F.posexplode("top").alias("place", "bid")).select("auction", "place", "bid.*")
+
+
+def _bids_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bid = read_market(spark, sf_dir).bid.select(F.to_date("date_time").alias("day"), F.date_trunc("MINUTE", "date_time").alias("minute"))
+    counted = bid.groupBy("day", "minute").agg(F.count("*").alias("n"))
+    return counted.select(F.col("day").cast("string").alias("day"), F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "n")
+
+
 def _url_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", F.get(F.split("url", "/"), 2).alias("host"), F.get(F.split("url", "/"), 3).alias("dir1"))
@@ -152,6 +173,9 @@ QUERIES: dict[str, Query] = {
     "filtered_distinct": _filtered_distinct,
     "latest_by_key": _latest,
     "array_average": _average_array,
+    "array_concat": _joined_arrays,
+    "max_k_bids": _max_k,
+    "bids_by_minute": _bids_by_minute,
     "url_segments": _url_segments,
     "tumble_events": _table("events", _hourly),
     "hop_events": _table("events", _hops),
