@@ -157,8 +157,8 @@ ORACLE_SQL: dict[str, str] = {
     "latest_by_key": f"""{_MARKET} SELECT auction, bidder, price, date_time FROM bid
         QUALIFY row_number() OVER (PARTITION BY auction ORDER BY date_time DESC, price DESC, bidder DESC) = 1""",
     "array_average": f"{_MARKET} SELECT auction, (min(price)::DOUBLE + max(price)::DOUBLE) / 2 AS middle FROM bid GROUP BY auction",
-    "array_concat": f"""{_MARKET} SELECT auction, len(both)::INTEGER AS n, both[2] AS second, both[-1] AS last
-        FROM (SELECT auction, list_concat([min(price)], [max(price), 0]) AS both FROM bid GROUP BY auction)""",
+    "array_concat": f"""{_MARKET} SELECT auction, len(joined)::INTEGER AS n, joined[2] AS second, joined[-1] AS last
+        FROM (SELECT auction, list_concat([min(price)], [max(price), 0]) AS joined FROM bid GROUP BY auction)""",
     "max_k_bids": f"""{_MARKET} SELECT auction, (k - 1)::INTEGER AS place, price, date_time, bidder
         FROM (SELECT *, row_number() OVER (PARTITION BY auction ORDER BY price DESC, date_time, bidder) AS k FROM bid) WHERE k <= 3""",
     "bids_by_minute": f"""{_MARKET} SELECT date_time::DATE::VARCHAR AS day, strftime(date_trunc('minute', date_time), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS n FROM bid GROUP BY ALL""",
