@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gavelstream.operators.joins import asof_join
 from gavelstream.operators.ranking import top_rows
-from gavelstream.operators.windows import hop_counts, hop_counts_by_pane, session_counts, tumble, tumbles_touched
+from gavelstream.operators.windows import hop_counts_by_pane, session_counts, tumble, tumbles_touched
 from gavelstream.sources.auction_tables import Market
 
 
@@ -17,25 +17,29 @@ def _hottest(counts: DataFrame) -> DataFrame:
     return counts.withColumn("place", F.rank().over(order)).where("place = 1").select("auction", "num", "starttime", "endtime")
 
 
-def q5(market: Market, size: str = "10 seconds", slide: str = "2 seconds") -> DataFrame:
-    """The auctions with the most bids in each hopping window; ties all stay."""
-    return _hottest(hop_counts(market.bid, ["auction"], "date_time", size, slide))
+def q5(market: Market, slide_seconds: int = 2, slides: int = 5) -> DataFrame:
+    """The auctions with the most bids in each window of ten seconds, every two seconds; ties all stay."""
+    return _hottest(_bid_counts(market, slide_seconds, slides))
+
+
+def _bid_counts(market: Market, slide_seconds: int = 2, slides: int = 5) -> DataFrame:
+    """auction, starttime, endtime, num: bids in each hopping window, counted by pane."""
+    return hop_counts_by_pane(market.bid, ["auction"], "date_time", slide_seconds, slides)
 
 
 def q5_many_windows(market: Market, slide_seconds: int = 5, slides: int = 60) -> DataFrame:
-    """q5 for windows of five minutes every five seconds, counted by pane."""
-    return _hottest(hop_counts_by_pane(market.bid, ["auction"], "date_time", slide_seconds, slides))
+    """q5 for windows of five minutes every five seconds."""
+    return q5(market, slide_seconds, slides)
 
 
-def q5_rewrite(market: Market, size: str = "10 seconds", slide: str = "2 seconds") -> DataFrame:
+def q5_rewrite(market: Market) -> DataFrame:
     """One of the auctions with the most bids in each window, the smallest id."""
-    counts = hop_counts(market.bid, ["auction"], "date_time", size, slide)
-    return top_rows(counts, ["starttime", "endtime"], [F.col("num").desc(), F.col("auction").asc()], 1).select("auction", "num", "starttime", "endtime")
+    return top_rows(_bid_counts(market), ["starttime", "endtime"], [F.col("num").desc(), F.col("auction").asc()], 1).select("auction", "num", "starttime", "endtime")
 
 
-def q5_asof(market: Market, size: str = "10 seconds", slide: str = "2 seconds") -> DataFrame:
+def q5_asof(market: Market) -> DataFrame:
     """q5 by an as-of join: counts meet the greatest maximum of their window that they reach."""
-    return hottest_asof(hop_counts(market.bid, ["auction"], "date_time", size, slide))
+    return hottest_asof(_bid_counts(market))
 
 
 def hottest_asof(counts: DataFrame) -> DataFrame:
