@@ -220,7 +220,8 @@ def encode(docs: DataFrame, path: str, pattern: str, n_buckets: int | None = Non
     path names the token-rank file, which executors must see under that path;
     pattern splits a text into pre-tokens, and each is encoded by itself, as
     tiktoken's encode_ordinary does. n_buckets spreads the distinct words;
-    unset, it is the session's number of shuffle partitions.
+    unset, it is the session's number of shuffle partitions, or two for each
+    split of the input.
 
     Null and empty texts have no ids. Rows that repeat a doc_id give a row each,
     a null doc_id stays null, extra columns are ignored, an empty table gives an
@@ -233,9 +234,9 @@ def encode(docs: DataFrame, path: str, pattern: str, n_buckets: int | None = Non
     spark = docs.sparkSession
     small_batches(spark)
     fixed_splits(spark)
-    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "chunk long, bucket int, doc_id long, packed binary"
     texts = from_files(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).withColumn("at", F.spark_partition_id())
+    n_buckets = n_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * texts.rdd.getNumPartitions())
     words = texts.mapInArrow(_chunks(pattern, n_buckets, False), schema)
     positions = texts.mapInArrow(_chunks(pattern, n_buckets, True), schema)
     known = words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(path), schema)
