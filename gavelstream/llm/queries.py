@@ -34,7 +34,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "random")
     kinds = [_count(k) for k in secrets.KINDS]
-    return found.select("doc_id", *kinds, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), _count("random"))
+    return found.select("doc_id", *kinds, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_found"))
 
 
 def _count_base(kind: str) -> Column:
