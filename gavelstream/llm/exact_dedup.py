@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import WHITE, stash, text_or_empty
+from gavelstream.llm.common import WHITE, stash, text_or_empty, unused
 
 
 def normalised(column: str = "text") -> Column:
@@ -61,5 +61,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = 256, hash_all: bool =
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with all their columns; of rows that share a doc_id each by its own text."""
     gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("full_hash").alias("_gone_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.sha2(normalised(), 256) == gone["_gone_hash"])
-    return docs.join(gone, same, "left_anti")
+    own = unused("hash", docs.columns)  # a column, as a join computes a key that is not one several times
+    hashed = docs.withColumn(own, F.sha2(normalised(), 256))
+    same = hashed["doc_id"].eqNullSafe(gone["_gone_id"]) & (hashed[own] == gone["_gone_hash"])
+    return hashed.join(gone, same, "left_anti").select(docs.columns)
