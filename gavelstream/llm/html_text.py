@@ -352,7 +352,7 @@ def extract_text(
     dropped = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # written, so that the join has an exchange of its own on each side, which Spark can split
     dropped = stash(dropped, "html-templates")
-    keys = [F.xxhash64(host_of("url")).alias("host"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("salt")]
+    dealt = [F.xxhash64(host_of("url")).alias("host"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("salt")]
     # not broadcast, as hosts grow with the pages
-    joined = rows.select("*", *keys).join(dropped.hint("merge"), ["host", "salt"], "left").select("page_id", "url", "html", "dropped")
+    joined = rows.select("*", *dealt).join(dropped.hint("merge"), ["host", "salt"], "left").select("page_id", "url", "html", "dropped")
     return joined.mapInArrow(_extract(roles), "page_id long, url string, text string, cut_by_counts long, cut_by_roles long")

@@ -89,6 +89,15 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_large_star(spark):
+    """A centre with very many leaves, and leaves that are linked to each other."""
+    links = spark.range(1, 30_000).selectExpr("if(id % 2 = 0, id, 30000) AS a", "if(id % 2 = 0, 30000, id) AS b")
+    links = links.unionByName(spark.range(40_000, 40_500).selectExpr("id AS a", "id + 1 AS b")).unionByName(links.limit(50))
+    found = connected_components(links)
+    assert found.count() == 30_000 + 501
+    assert found.groupBy("root").count().orderBy("root").collect() == [(1, 30_000), (40_000, 501)]
+
+
 @pytest.mark.parametrize("limit", [20000, 4])
 def test_links_connect_what_is_near(spark, limit):
     rng = random.Random(7)
