@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gavelstream import schemas
+from gavelstream.plans import stateless
 from gavelstream.plans.catalogue import MARKET_QUERIES, QUERIES
-from gavelstream.sources.auction_tables import read_market, union_events
+from gavelstream.sources.auction_tables import read_market, side_input, union_events
 from gavelstream.sources.readers import Source
 from gavelstream.streaming import queries as streams
 from gavelstream.streaming.market import stream_market, stream_union, write_market
@@ -35,6 +37,14 @@ def test_unwindowed_streams_equal_batch(spark, places, tmp_path, name):
     assert rows(streamed(spark, places, tmp_path, name)) == rows(QUERIES[name](spark, SF_DIR))
 
 
+def test_bids_meet_a_bounded_csv_side(spark, places, tmp_path):
+    side_input(spark).write.csv(str(tmp_path / "side"))
+    side = Source("csv", str(tmp_path / "side")).read(spark, schemas.SIDE_INPUT)
+    enriched = stateless.q13(stream_market(spark, **places), side)
+    start(enriched, str(tmp_path / "checkpoint"), "append", "memory", name="out_csv_side").awaitTermination()
+    assert rows(spark.table("out_csv_side")) == rows(QUERIES["q13"](spark, SF_DIR))
+
+
 @pytest.mark.parametrize("name,least", [("q5", 150), ("q7", 16), ("q8", 55), ("q8_any_window", 60), ("q11", 15)])
 def test_windowed_streams_emit_the_closed_windows(spark, places, tmp_path, name, least):
     got, want = rows(streamed(spark, places, tmp_path, name)), rows(QUERIES[name](spark, SF_DIR))
