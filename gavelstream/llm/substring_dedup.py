@@ -22,6 +22,7 @@ document; so does the text of a source that many batches ask for.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,22 +111,32 @@ class Windows:
         return _mix(total)
 
 
+_KINDS = [np.dtype(k) for k in ("<u8", "<i8", "u1")]
+_HEAD = struct.Struct("<BI")
+#: Bytes from which a row is worth compressing; with very many index blocks rows are a few numbers long.
+_SMALL = 128
+
+
 def _zip(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers, each by byte plane, which compresses better than whole ones."""
-    out = [np.uint64(len(arrays)).tobytes()]
+    heads, planes = [bytes([len(arrays)])], []
     for x in arrays:
         x = np.ascontiguousarray(x)
-        out += [np.uint64(len(x)).tobytes(), x.dtype.str.encode().ljust(8), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+        heads.append(_HEAD.pack(_KINDS.index(x.dtype), len(x)))
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    raw = b"".join((*heads, *planes))
+    return b"\0" + raw if len(raw) < _SMALL else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unzip(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 8, []
-    for _ in range(int(np.frombuffer(raw, np.uint64, 1)[0])):
-        n, kind = int(np.frombuffer(raw, np.uint64, 1, at)[0]), np.dtype(raw[at + 8 : at + 16].decode().strip())
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 16).reshape(kind.itemsize, n)
+    raw, out = data[1:] if data[0] == 0 else zstandard.ZstdDecompressor().decompress(data[1:]), []
+    at = 1 + raw[0] * _HEAD.size
+    for k in range(raw[0]):
+        code, n = _HEAD.unpack_from(raw, 1 + k * _HEAD.size)
+        kind = _KINDS[code]
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += 16 + n * kind.itemsize
+        at += n * kind.itemsize
     return out
 
 

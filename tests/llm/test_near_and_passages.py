@@ -246,6 +246,13 @@ def test_passages_of_rows_without_id(spark):
     assert substring_dedup.remove_repeated_passages(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 5000])
+def test_packed_arrays_come_back(n):
+    arrays = [np.arange(n, dtype=np.uint64) << np.uint64(40), -np.arange(n, dtype=np.int64), (np.arange(2 * n) % 3).astype(np.uint8)]
+    back = substring_dedup._unzip(substring_dedup._zip(*arrays))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back, strict=True))
+
+
 def test_factors_are_verified_and_pass_on(spark, monkeypatch):
     words = [f"w{k}" for k in range(60)]
     sources = substring_dedup.Sources([])
