@@ -64,6 +64,19 @@ def fixed_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
+def least_hashed(rows: DataFrame, place: Column, most: int, expected: float | None = None) -> DataFrame:
+    """At most `most` of the rows, those of the least place, a pseudorandom long from 0 on.
+
+    Ordering takes `most` rows of every task to one, so that only a share of the
+    rows takes part, twice as many as are asked for at least if there are
+    `expected` rows (unset, they are counted).
+    """
+    expected = rows.count() if expected is None else expected
+    if expected > 2 * most + 1000:
+        rows = rows.where(place < int((2 * most + 1000) / expected * 2**63))
+    return rows.orderBy(place, *[c for c in rows.columns if c in ("doc_id", "text")]).limit(most)
+
+
 def from_files(df: DataFrame) -> DataFrame:
     """df, written first if it does not come from files.
 

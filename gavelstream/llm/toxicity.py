@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import small_batches, text_or_empty
+from gavelstream.llm.common import least_hashed, small_batches, text_or_empty
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -85,7 +85,7 @@ def maximal_segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[i
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """doc_id, text, toxic of at most max_rows labelled rows that are not held out, least hash first; equal texts once, with the label of the smallest doc_id."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = least_hashed(known, F.shiftrightunsigned(F.xxhash64("doc_id"), 1), max_rows)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     # max_rows bounds the side that is broadcast
     first = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", F.col("toxic").cast("int").alias("toxic"))).alias("first"))
