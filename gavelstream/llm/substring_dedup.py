@@ -590,7 +590,7 @@ def remove_repeated_passages(docs: DataFrame, window_words: int = 13, n_blocks:
     asked = asking.select("batch", "index", "body", "anchors").mapInArrow(_ask_windows(window_words, n_blocks), _ROWS)
     hits = through_index(asked, _answer_windows, F.struct("block", "packed"))
     located = asking.join(hits.hint("merge"), "batch").select("batch", "index", "body", "anchors", "answers")
-    located = located.mapInArrow(_located(window_words, n_blocks), "batch long, found binary").repartition("batch")
+    located = located.mapInArrow(_located(window_words, n_blocks), "batch long, found binary").where("batch IS NOT NULL").repartition("batch")
 
     # a source that very many batches ask for answers them some at a time
     asked = located.mapInArrow(_asked_text, "batch long, to long, stretches binary")
