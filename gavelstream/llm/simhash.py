@@ -466,6 +466,22 @@ def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
     return prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, schema)
 
 
+def _most_frequent(counts: DataFrame) -> np.ndarray:
+    """The shingles with the greatest counts, sorted: as many steps of an eighth of a doubling as hold at most FREQUENT of them.
+
+    The driver gets one number for each step and then those shingles, however
+    many tasks count.
+    """
+    counts = counts.withColumn("step", F.floor(F.log2("count") * 8).cast("int"))
+    least, held = 1 << 30, 0
+    for row in counts.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        held += row["n"]
+        if held > FREQUENT:
+            break
+        least = row["step"]
+    return np.sort(counts.where(F.col("step") >= least).select("shingle").toArrow().column("shingle").to_numpy())
+
+
 def _in_blocks(grouped: DataFrame, weight: Column, most: int) -> DataFrame:
     """grouped (node, group) with x, y: every two nodes of a group meet in some pair of blocks; a block weighs about `most`."""
     blocks = grouped.groupBy("group").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
@@ -502,8 +518,7 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
             yield pa.RecordBatch.from_arrays([pa.array([x for s in sets for x in s], pa.int64())], ["shingle"])
 
     sample = texts.where("pmod(xxhash64(doc_id), 16) = 0").mapInArrow(all_shingles, "shingle long")
-    often = sample.groupBy("shingle").count().where("count >= 4").orderBy(F.desc("count"), "shingle").limit(FREQUENT)
-    frequent = np.sort(often.select("shingle").toArrow().column("shingle").to_numpy())
+    frequent = _most_frequent(sample.groupBy("shingle").count().where("count >= 4"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
