@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import small_batches, stash, text_or_empty
+from gavelstream.llm.common import least_hashed, small_batches, stash, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -350,7 +350,9 @@ _WINDOWS = pa.schema([("place", pa.int64()), ("text", pa.string()), ("spans", pa
 def labelled_windows(scanned: DataFrame, max_windows: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """At most max_windows windows of all documents, by a hash of their place, labelled by the fixed spans."""
     rows = scanned.mapInArrow(_windows, "place long, text string, spans array<struct<kind:int,start:int,end:int>>")
-    rows = rows.orderBy("place", "text").limit(max_windows).collect()
+    # a region gives a window or more; a part of them has certain labels
+    regions = scanned.agg(F.sum(F.size("regions"))).first()[0] or 0
+    rows = least_hashed(rows, F.col("place"), max_windows, regions / 8).collect()
     return [(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in rows]
 
 
