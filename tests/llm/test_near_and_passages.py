@@ -8,8 +8,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gavelstream.llm import fingerprint, simhash, substring_dedup
+from gavelstream.llm.common import least_hashed
 from gavelstream.llm.components import connected_components
 
 WORDS = [f"word{k}" for k in range(300)]
@@ -89,6 +91,21 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_bounded_sample_takes_the_least_places(spark):
+    rows = spark.range(5000).selectExpr("id AS doc_id", "shiftrightunsigned(xxhash64(id), 1) AS place", "'clash' AS most").repartition(7)
+    want = sorted(r["place"] for r in rows.collect())
+    assert [r["place"] for r in least_hashed(rows, F.col("place"), 300).collect()] == want[:300]
+    assert least_hashed(rows, F.col("place"), 9000).count() == 5000 and least_hashed(rows.where("false"), F.col("place"), 5).count() == 0
+
+
+@pytest.mark.parametrize("most", [5, 40, 100_000])
+def test_most_frequent_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "FREQUENT", most)
+    counts = {k: 4 + k * k for k in range(60)}
+    found = simhash._most_frequent(spark.createDataFrame(list(counts.items()), "shingle long, count long"))
+    assert len(found) <= most and found.tolist() == sorted(sorted(counts)[60 - len(found) :]) and len(found) >= min(most, 60) / 2
+
+
 def test_components_of_a_large_star(spark):
     """A centre with very many leaves, and leaves that are linked to each other."""
     links = spark.range(1, 30_000).selectExpr("if(id % 2 = 0, id, 30000) AS a", "if(id % 2 = 0, 30000, id) AS b")
