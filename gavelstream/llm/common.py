@@ -12,6 +12,8 @@ from gavelstream.shipping import ship_package
 
 #: White space of every word-based operator here, as a class of Java's and Python's regular expressions.
 WHITE = r"[\x20\x09-\x0D]"
+#: A word is what such white space separates.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Sorts after every real id; stands for a null id where an order is needed.
 LAST_ID = 2**63 - 1
 
