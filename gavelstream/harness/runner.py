@@ -25,7 +25,7 @@ from gavelstream.plans import catalogue
 from gavelstream.sources.auction_tables import Market, read_market
 from gavelstream.streaming import queries as streams
 from gavelstream.streaming.market import stream_market, watermarked, with_instants, write_market
-from gavelstream.streaming.sinks import KeyedTable, merging
+from gavelstream.streaming.sinks import merging
 from gavelstream.streaming.state import use_rocksdb
 
 MODES = ("batch", "stream")
@@ -86,24 +86,25 @@ def _run_to_the_end(writer: DataStreamWriter, config: RunConfig, is_paced: bool)
 
 def run_stream(spark: SparkSession, case: str, config: RunConfig, sf_dir: str | None) -> int:
     """Rows that a case's stream emits, or of the table it ends with, over the data as it comes in files or at a rate."""
-    if case not in streams.DIRECT and case not in streams.MERGED:
+    if not any(case in kind for kind in (streams.DIRECT, streams.PER_BATCH, streams.MERGED)):
         raise BenchmarkError(f"{case} does not run as a stream")
     use_rocksdb(spark)
     is_paced = config.paced and not sf_dir
     with tempfile.TemporaryDirectory(prefix="gavelstream-") as folder:
         market = _paced_market(spark, config) if is_paced else stream_market(spark, **write_market(_market(spark, config, sf_dir), f"{folder}/in"))
-        if case in streams.DIRECT:
-            query, mode = streams.DIRECT[case]
+        if case not in streams.MERGED:
+            query, mode = streams.DIRECT.get(case) or (streams.PER_BATCH[case][0], "append")
+            finish = streams.PER_BATCH[case][1] if case in streams.PER_BATCH else lambda batch: batch
             rows = 0
 
             def count(batch, number: int) -> None:
                 nonlocal rows
-                rows += make_rows(batch)
+                rows += make_rows(finish(batch))
 
             _run_to_the_end(query(market).writeStream.outputMode(mode).foreachBatch(count).option("checkpointLocation", f"{folder}/checkpoint"), config, is_paced)
             return rows
         merged, last = streams.MERGED[case], []
-        table = KeyedTable(f"{folder}/table", merged.keys, merged.merge())
+        table = merged.table(f"{folder}/table")
         writer = merging(merged.changes(market), table, merged.partial, lambda _, n: last.append(n)).option("checkpointLocation", f"{folder}/checkpoint")
         _run_to_the_end(writer, config, is_paced)
         return make_rows(merged.result(table.version(spark, last[-1]))) if last else 0
@@ -144,7 +145,7 @@ def summary(results: list[CaseResult]) -> str:
 
 def chosen_cases(cases: str, modes: list[str], skipped: list[str]) -> list[tuple[str, str]]:
     """The cases with their modes, in order; "suite" stands for every case of a mode but those skipped."""
-    known = {"batch": list(catalogue.MARKET_QUERIES), "stream": [*streams.DIRECT, *streams.MERGED]}
+    known = {"batch": list(catalogue.MARKET_QUERIES), "stream": [*streams.DIRECT, *streams.PER_BATCH, *streams.MERGED]}
     if cases.strip() == "suite":
         return [(case, mode) for mode in modes for case in known[mode] if case not in skipped]
     return [(case.strip(), mode) for case in cases.split(",") for mode in modes]

@@ -11,7 +11,7 @@ from gavelstream.operators.windows import hop_counts_by_pane, session_counts, tu
 from gavelstream.sources.auction_tables import Market
 
 
-def _hottest(counts: DataFrame) -> DataFrame:
+def hottest(counts: DataFrame) -> DataFrame:
     """Of the counts, those that no other of their window exceeds; each task ranks its own before the shuffle."""
     order = Window.partitionBy("starttime", "endtime").orderBy(F.col("num").desc())
     return counts.withColumn("place", F.rank().over(order)).where("place = 1").select("auction", "num", "starttime", "endtime")
@@ -19,7 +19,7 @@ def _hottest(counts: DataFrame) -> DataFrame:
 
 def q5(market: Market, slide_seconds: int = 2, slides: int = 5) -> DataFrame:
     """The auctions with the most bids in each window of ten seconds, every two seconds; ties all stay."""
-    return _hottest(_bid_counts(market, slide_seconds, slides))
+    return hottest(_bid_counts(market, slide_seconds, slides))
 
 
 def _bid_counts(market: Market, slide_seconds: int = 2, slides: int = 5) -> DataFrame:

@@ -40,11 +40,18 @@ def with_instants(table: DataFrame) -> DataFrame:
 
 
 def write_market(market: Market, folder: str, files: int = 4, kind: str = "parquet") -> dict[str, Source]:
-    """Batch tables as folders that streams can read: event times as TIMESTAMP (UTC), in order of time over the files."""
+    """Batch tables as folders that streams can read: event times as TIMESTAMP (UTC), in order of time over the files.
+
+    Files are written one after the other, as a stream takes them in the order
+    of their writing.
+    """
     places = {}
     for name in ("person", "auction", "bid"):
-        table = getattr(market, name)
-        table = with_instants(table)
-        table.repartitionByRange(files, "date_time").sortWithinPartitions("date_time").write.mode("overwrite").format(kind).save(f"{folder}/{name}")
+        at = F.unix_micros("date_time")
+        table = with_instants(getattr(market, name)).withColumn("_at", at)
+        bounds = table.approxQuantile("_at", [n / files for n in range(1, files)], 0.01)
+        for low, high in zip([None, *bounds], [*bounds, None]):
+            part = table.where(F.lit(True) if low is None else F.col("_at") > low).where(F.lit(True) if high is None else F.col("_at") <= high)
+            part.drop("_at").coalesce(1).sortWithinPartitions("date_time").write.mode("overwrite" if low is None else "append").format(kind).save(f"{folder}/{name}")
         places[name] = Source(kind, f"{folder}/{name}", {"maxFilesPerTrigger": "1"})
     return places

@@ -1,9 +1,10 @@
 """Each query of the catalogue as a stream: what it emits, in which mode, or what it merges.
 
 Queries that Spark runs as they stand use the batch functions. Windowed ones
-keep the window column, which carries the watermark. Queries that update what
-they have emitted (averages of maxima, ranks, distinct counts) merge their
-micro-batches into keyed tables or keep rows per key in state.
+keep the window column, which carries the watermark. Results that end with an
+auction or a window come from state with timers. Queries that update what they
+have emitted (averages of maxima, ranks, distinct counts) merge their changes
+into keyed tables; where state knows what changed, a batch costs what it brings.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from gavelstream.functions.scalars import day, minute
 from gavelstream.operators.windows import hop, tumble
 from gavelstream.plans import relational, stateless, windowed
 from gavelstream.sources.auction_tables import Market, side_input
-from gavelstream.streaming.state import top_rows_stream
+from gavelstream.streaming import auctions
+from gavelstream.streaming.sinks import KeyedTable, TopTable
+from gavelstream.streaming.state import distinct_changes, pane_window_counts, top_rows_stream
 
 #: How long after an auction opens its bids may come; bounds the join's state.
 LONGEST_AUCTION = "2 HOURS"
@@ -44,8 +47,9 @@ def q5(market: Market) -> DataFrame:
     return _hottest(market, "10 seconds", "2 seconds")
 
 
-def q5_many_windows(market: Market) -> DataFrame:
-    return _hottest(market, "5 minutes", "5 seconds")
+def q5_many_windows_counts(market: Market, slide_seconds: int = 5, slides: int = 60) -> DataFrame:
+    """The counts of all auctions in a window, in the micro-batch that closes it."""
+    return pane_window_counts(market.bid, "auction", "date_time", slide_seconds, slides)
 
 
 def q7(market: Market, size: str = "10 seconds") -> DataFrame:
@@ -95,6 +99,14 @@ class Merged:
     partial: Callable[[DataFrame], DataFrame]
     merge: Callable[[], tuple[Column, ...]]
     result: Callable[[DataFrame], DataFrame]
+    #: Set for a table of so many first rows, by an order in which rows only rise.
+    order: Callable[[], tuple[Column, ...]] | None = None
+    n: int = 0
+
+    def table(self, folder: str) -> KeyedTable | TopTable:
+        if self.order is None:
+            return KeyedTable(folder, self.keys, self.merge())
+        return TopTable(folder, self.keys, self.merge(), self.order(), self.n)
 
 
 def _final(result: Callable[[DataFrame], DataFrame]) -> Merged:
@@ -119,21 +131,14 @@ def _first_rows(changes: Callable[[Market], DataFrame], keys: tuple[str, ...], o
     )
 
 
-def _auctions_and_bids(market: Market) -> DataFrame:
-    """One change for each auction and each bid, by auction."""
-    opened = market.auction.select(F.col("id").alias("auction"), "itemName", F.lit(None).cast("long").alias("price"), F.lit(0).cast("long").alias("bids"))
-    return opened.unionByName(market.bid.select("auction", F.lit(None).cast("string").alias("itemName"), "price", F.lit(1).cast("long").alias("bids")))
-
-
-def _counted(result: Callable[[DataFrame], DataFrame]) -> Merged:
-    """A query over id, itemName (null while the auction is unknown), bid_count and max_price of each auction (q101 to q105)."""
-    names = {"itemName": (F.max, "itemName"), "bid_count": (F.sum, "bids"), "max_price": (F.max, "price")}
-    partial = lambda b: b.groupBy("auction").agg(*[f(c).alias(n) for n, (f, c) in names.items()])
-    return Merged(_auctions_and_bids, ("auction",), partial, lambda: tuple(f(n).alias(n) for n, (f, _) in names.items()), lambda t: result(t.withColumnRenamed("auction", "id")))
+def _counted(result: Callable[[DataFrame], DataFrame], **top) -> Merged:
+    """A query over id, opened, itemName, bid_count and max_price of each auction (q101 to q105).
 
-
-def _opened(table: DataFrame) -> DataFrame:
-    return table.where("itemName IS NOT NULL")
+    The state knows each count; the table holds the last, which is the greatest.
+    An auction that is not known yet has a row, but is not opened.
+    """
+    greatest = lambda: tuple(F.max(c).alias(c) for c in ("opened", "itemName", "bid_count", "max_price"))
+    return Merged(auctions.bid_changes, ("id",), lambda b: b.groupBy("id").agg(*greatest()), greatest, result, **top)
 
 
 def _average(table: DataFrame) -> Column:
@@ -141,29 +146,52 @@ def _average(table: DataFrame) -> Column:
     return table.where("bid_count > 0").agg(F.avg("bid_count").alias("n")).scalar()
 
 
-def _distinct(keys: tuple[str, ...], with_minute: bool) -> Merged:
-    """Distinct counts from a table of the ids seen, with a count for each price rank."""
-    names = ("rank1", "rank2", "rank3")
-    extra = ("minute",) if with_minute else ()
+def _distinct(keys: dict[str, Callable[[], Column]], with_minute: bool) -> Merged:
+    """Distinct counts, kept up by what each batch adds to them; the ids seen are in state, until the day is over."""
+    ids = {"bidders": "bidder", "auctions": "auction"}
+    flags = ("total", "rank1", "rank2", "rank3")
+    counts = tuple(f"{f}_{what}" for what in ("bids", *ids) for f in flags)
 
-    def partial(batch: DataFrame) -> DataFrame:
-        ranks = relational.price_ranks()
-        batch = batch.withColumn("minute", minute(F.col("date_time")))
-        ids = F.explode(F.array(F.struct(F.lit("bidders").alias("kind"), F.col("bidder").alias("id")), F.struct(F.lit("auctions").alias("kind"), F.col("auction").alias("id")))).alias("one")
-        rows = batch.withColumn("day", day(F.col("date_time"))).select(*keys, *[c.alias(r) for r, c in ranks.items()], *extra, ids)
-        rows = rows.select("*", "one.*").drop("one")
-        return rows.groupBy(*keys, "kind", "id").agg(F.count("*").alias("n"), *[F.count_if(F.col(r)).alias(r) for r in names], *[F.max(n).alias(n) for n in extra])
+    def changes(market: Market) -> DataFrame:
+        conditions = {"total": F.lit(True), **relational.price_ranks()}
+        return distinct_changes(market.bid, "date_time", {k: column() for k, column in keys.items()}, ids, conditions)
 
-    def merge() -> tuple[Column, ...]:
-        return tuple(F.sum(c).alias(c) for c in ("n", *names)) + tuple(F.max(n).alias(n) for n in extra)
+    def partial(batch: DataFrame) -> DataFrame:
+        of = lambda kind, column: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(0))
+        added = [of("bidders", f"n_{f}").alias(f"{f}_bids") for f in flags] + [of(kind, f"new_{f}").alias(f"{f}_{kind}") for kind in ids for f in flags]
+        return batch.groupBy(*keys).agg(F.max("latest").alias("latest"), *added)
 
     def result(table: DataFrame) -> DataFrame:
-        bidders = F.col("kind") == "bidders"
-        sums = [F.sum(F.when(bidders, F.col(c))).alias(f"{n}_bids") for n, c in (("total", "n"), *[(r, r) for r in names])]
-        kinds = [F.count_if((F.col("kind") == k) & (F.col(c) > 0)).alias(f"{n}_{k}") for k in ("bidders", "auctions") for n, c in (("total", "n"), *[(r, r) for r in names])]
-        return table.groupBy(*keys).agg(*[F.max(n).alias(n) for n in extra], *sums, *kinds)
+        return table.select(*keys, *([minute(F.col("latest")).alias("minute")] if with_minute else []), *counts)
+
+    return Merged(changes, tuple(keys), partial, lambda: (F.max("latest").alias("latest"), *[F.sum(c).alias(c) for c in counts]), result)
+
+
+def _average_price() -> Merged:
+    """q4 from the rises of auctions' prices: the old value is taken out of its category's sum, the new one put in."""
+
+    def partial(batch: DataFrame) -> DataFrame:
+        total = F.sum(F.col("new") - F.coalesce("old", F.lit(0)))
+        return batch.groupBy("category").agg(total.alias("total"), F.count_if(F.col("old").isNull()).alias("n"))
 
-    return Merged(lambda m: m.bid, (*keys, "kind", "id"), partial, merge, result)
+    sums = lambda: (F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return Merged(auctions.final_price_changes, ("category",), partial, sums, lambda t: t.select("category", (F.col("total") / F.col("n")).alias("avg_price")))
+
+
+def change_log(merged: Merged, folder: str) -> Callable[[DataFrame, int], None]:
+    """What a merging writer does after each batch to log the results that the batch changed, under the batch's number.
+
+    A batch that runs again writes its part of the log again.
+    """
+
+    def one(table: DataFrame, number: int) -> None:
+        result = merged.result(table)
+        if number:
+            before = merged.result(merged.table(folder).version(table.sparkSession, number - 1, table.schema))
+            result = result.exceptAll(before)
+        result.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/log/{number}")
+
+    return one
 
 
 def _last_prices(keys: tuple[str, ...], result: Callable[[DataFrame], DataFrame]) -> Merged:
@@ -185,9 +213,6 @@ def _window_counts(result: Callable[[DataFrame], DataFrame]) -> Merged:
     return Merged(lambda m: m.bid, ("auction", "starttime", "endtime"), partial, lambda: (F.sum("num").alias("num"),), result)
 
 
-_BID = ("id", "itemName", "seller", "expires", "bidder", "price", "bid_dateTime")
-
-
 def _top_prices(n: int = 10) -> Merged:
     """Each auction's highest prices; a key's state is at most n numbers a run."""
     highest = lambda prices: F.slice(F.sort_array(prices, asc=False), 1, n).alias("prices")
@@ -205,7 +230,6 @@ DIRECT: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "q3": (relational.q3, "append"),
     "q3_no_condition": (relational.q3_no_condition, "append"),
     "q5": (q5, "append"),
-    "q5_many_windows": (q5_many_windows, "append"),
     "q7": (q7, "append"),
     "q8": (q8, "append"),
     "q8_any_window": (q8_any_window, "append"),
@@ -217,24 +241,33 @@ DIRECT: dict[str, tuple[Callable[[Market], DataFrame], str]] = {
     "q18_latest": (relational.q18_latest, "update"),
     "q19": (q19, "update"),
     "q20": (relational.q20, "append"),
+    "q9": (auctions.winning_bids, "append"),
+    "q9_session": (auctions.bidding_sessions, "append"),
+}
+
+#: Streams whose result is a function of each micro-batch: name -> (function of the market, function of a micro-batch).
+PER_BATCH: dict[str, tuple[Callable[[Market], DataFrame], Callable[[DataFrame], DataFrame]]] = {
+    "q5_many_windows": (q5_many_windows_counts, windowed.hottest),
 }
 
 #: Queries over a keyed table that micro-batches are merged into.
 MERGED: dict[str, Merged] = {
-    "q4": _final(lambda t: t.groupBy("category").agg(F.avg("final").alias("avg_price"))),
+    "q4": _average_price(),
     "q106": _final(lambda t: t.agg(F.min("final").alias("min_final"))),
     "q6": _last_prices(("id", "seller", "bid_dateTime"), lambda t: t.select("seller", (F.sum("final").over(_last_ten(t, "bid_dateTime")) / F.lit(10.0)).alias("avg_sell_price"))),
     "q6_winning": _last_prices(("id", "seller", "expires"), lambda t: t.select("id", "seller", F.avg("final").over(_last_ten(t, "expires")).alias("avg_sell_price"))),
-    "q9": _first_rows(valid_bid_stream, ("id",), lambda: (F.col("price"), -F.unix_micros("bid_dateTime"), -F.col("bidder"))),
-    "q9_session": Merged(valid_bid_stream, _BID, lambda b: b.groupBy(*_BID).agg(F.count("*").alias("n")), lambda: (F.sum("n").alias("n"),), relational.bidding_sessions),
-    "q15": _distinct(("day",), False),
-    "q16": _distinct(("channel", "day"), True),
+    "q15": _distinct({"day": lambda: day(F.col("date_time"))}, False),
+    "q16": _distinct({"channel": lambda: F.col("channel"), "day": lambda: day(F.col("date_time"))}, True),
     "q19_topk": _top_prices(),
-    "q101": _counted(lambda t: _opened(t).select("id", "itemName", "max_price")),
-    "q102": _counted(lambda t: _opened(t).where("bid_count > 0").where(F.col("bid_count") >= _average(t)).select("id", "itemName", "bid_count")),
-    "q103": _counted(lambda t: _opened(t).where("bid_count >= 20").select("id", "itemName")),
-    "q104": _counted(lambda t: _opened(t).where("bid_count = 0 OR bid_count >= 20").select("id", "itemName")),
-    "q105": _counted(lambda t: _opened(t).where("bid_count > 0").select("id", "itemName", "bid_count").orderBy(F.desc("bid_count"), "id").limit(1000)),
+    "q101": _counted(lambda t: t.where("opened").select("id", "itemName", "max_price")),
+    "q102": _counted(lambda t: t.where("opened AND bid_count > 0").where(F.col("bid_count") >= _average(t)).select("id", "itemName", "bid_count")),
+    "q103": _counted(lambda t: t.where("opened").where("bid_count >= 20").select("id", "itemName")),
+    "q104": _counted(lambda t: t.where("opened").where("bid_count = 0 OR bid_count >= 20").select("id", "itemName")),
+    "q105": _counted(
+        lambda t: t.where("opened AND bid_count > 0").select("id", "itemName", "bid_count"),
+        order=lambda: (F.expr("opened AND bid_count > 0").desc(), F.desc("bid_count"), F.asc("id")),
+        n=1000,
+    ),
     "q5_rewrite": _window_counts(lambda t: relational.top_rows(t, ["starttime", "endtime"], [F.col("num").desc(), F.col("auction").asc()], 1).select("auction", "num", "starttime", "endtime")),
     "q5_asof": _window_counts(windowed.hottest_asof),
     "q7_rewrite": _first_rows(

@@ -82,8 +82,37 @@ class KeyedTable:
         return self.version(spark, number, rows.schema)
 
 
-def merging(changes: DataFrame, table: KeyedTable, partial: Callable[[DataFrame], DataFrame], then: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
-    """A writer that merges a stream's micro-batches, reduced by `partial`, into a keyed table; then gets the table after each."""
+@dataclass(frozen=True)
+class TopTable:
+    """The n first rows of a table whose rows only ever rise in the order, such as counts.
+
+    A row outside the first n that does not change cannot enter them, as those
+    before it rise or stay: the table after a batch is the first n of the table
+    before it and of the batch's rows. A batch costs n rows and its own, and
+    one that is run again starts from the same table.
+    """
+
+    folder: str
+    keys: tuple[str, ...]
+    merge: tuple[Column, ...]
+    order: tuple[Column, ...]
+    n: int
+
+    def version(self, spark: SparkSession, number: int, schema=None) -> DataFrame:
+        """The table after the batch of this number (counted from 0)."""
+        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(f"{self.folder}/top{number}")
+
+    def upsert(self, rows: DataFrame, number: int) -> DataFrame:
+        """Take in rows, which hold the keys and the merged columns, as the batch of this number; the table then."""
+        spark = rows.sparkSession
+        both = rows.unionByName(self.version(spark, number - 1, rows.schema)) if number else rows
+        first = both.groupBy(*self.keys).agg(*self.merge).orderBy(*self.order).limit(self.n)
+        first.select(rows.columns).write.mode("overwrite").parquet(f"{self.folder}/top{number}")
+        return self.version(spark, number, rows.schema)
+
+
+def merging(changes: DataFrame, table: KeyedTable | TopTable, partial: Callable[[DataFrame], DataFrame], then: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """A writer that merges a stream's micro-batches, reduced by `partial`, into a table; then gets the table after each."""
 
     def one(batch: DataFrame, number: int) -> None:
         merged = table.upsert(partial(batch), number)
@@ -93,6 +122,6 @@ def merging(changes: DataFrame, table: KeyedTable, partial: Callable[[DataFrame]
     return changes.writeStream.foreachBatch(one)
 
 
-def start_merging(changes: DataFrame, table: KeyedTable, partial: Callable[[DataFrame], DataFrame], checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def start_merging(changes: DataFrame, table: KeyedTable | TopTable, partial: Callable[[DataFrame], DataFrame], checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Merge what there is, and end."""
     return merging(changes, table, partial, then).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

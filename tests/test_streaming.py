@@ -67,7 +67,7 @@ def test_ranks_from_state(spark, places, tmp_path):
 @pytest.mark.parametrize("name", sorted(streams.MERGED))
 def test_merged_tables_end_at_the_batch_result(spark, places, tmp_path, name):
     merged, last = streams.MERGED[name], []
-    table = KeyedTable(str(tmp_path / "table"), merged.keys, merged.merge())
+    table = merged.table(str(tmp_path / "table"))
     changes = merged.changes(stream_market(spark, **places))
     start_merging(changes, table, merged.partial, str(tmp_path / "checkpoint"), lambda _, n: last.append(n)).awaitTermination()
     assert rows(merged.result(table.version(spark, last[-1]))) == rows(MARKET_QUERIES[name](read_market(spark, SF_DIR)))
@@ -75,7 +75,7 @@ def test_merged_tables_end_at_the_batch_result(spark, places, tmp_path, name):
 
 def test_every_query_has_a_stream_form():
     batch_only = {"q103_20", "q104_20", "q7_two_seconds"}  # q103, q104 and q7 with other numbers
-    assert set(MARKET_QUERIES) - batch_only - {"base"} <= {*streams.DIRECT, *streams.MERGED}
+    assert set(MARKET_QUERIES) - batch_only - {"base"} <= {*streams.DIRECT, *streams.PER_BATCH, *streams.MERGED}
 
 
 def test_a_run_is_written_again_seldom(spark, tmp_path):
