@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
@@ -32,11 +34,23 @@ def start_partitioned(result: DataFrame, checkpoint: str, path: str) -> Streamin
 
 def upsert_messages(result: DataFrame, keys: list[str]) -> DataFrame:
     """Rows as keyed messages, key and value in JSON, for a compacted topic."""
-    from pyspark.sql import functions as F
-
     return result.select(F.to_json(F.struct(*keys)).alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def noted(spark: SparkSession, path: str) -> int | None:
+    """The greatest number written at a path, if any."""
+    try:
+        return spark.read.schema("n long").json(path).agg(F.max("n")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def note(spark: SparkSession, path: str, number: int) -> None:
+    spark.range(1).select(F.lit(number).alias("n")).coalesce(1).write.mode("append").json(path)
+
+
 def _runs(number: int) -> list[int]:
     """The runs that make up a table after batch `number` (counted from 1): each ends there and covers as many batches as its lowest bit says."""
     found = []

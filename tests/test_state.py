@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelstream.operators.joins import asof_join
-from gavelstream.plans import relational
+from gavelstream.plans import relational, stateless
 from gavelstream.plans.catalogue import MARKET_QUERIES
 from gavelstream.sources.auction_tables import Market, read_market
 from gavelstream.sources.readers import Source
 from gavelstream.streaming import queries as streams
 from gavelstream.streaming.auctions import bidding_sessions
+from gavelstream.streaming.lateness import Grace
+from gavelstream.streaming.lookups import VersionedTable, joining
 from gavelstream.streaming.market import stream_market, with_instants, write_market
 from gavelstream.streaming.sinks import TopTable, start, start_merging
 from gavelstream.streaming.state import asof_join_stream
@@ -187,3 +189,54 @@ def test_a_top_table_keeps_the_first_rows(spark, tmp_path):
         for _ in range(2):  # a batch that runs again changes nothing
             found = table.upsert(spark.createDataFrame(list(batch.items()), "k long, n long"), number)
         assert sorted((-r["n"], r["k"]) for r in found.collect()) == sorted((-n, k) for k, n in counts.items())[:3]
+
+
+def test_lookups_see_the_table_of_their_batch(spark, market, tmp_path):
+    """A change between two batches is seen by the second only; a batch that runs again sees its own version."""
+    side, found, failing = VersionedTable(str(tmp_path / "side")), {}, [True]
+    keyed = lambda value: spark.range(10_000).select(F.col("id").alias("key"), F.lit(value).alias("value"))
+    bids = with_instants(market.bid).where("auction < 900")
+    for part in (0, 1):
+        bids.where(f"auction % 2 = {part}").coalesce(1).write.parquet(str(tmp_path / f"bids-{part}"))
+    stream = spark.readStream.schema(bids.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "bids-*"))
+
+    def then(joined, number):
+        values = {r["value"] for r in joined.select("value").distinct().collect()}
+        if number == 1 and failing[0]:
+            failing[0] = False
+            raise RuntimeError("lost")
+        found[number] = values
+        if number == 0:
+            side.publish(keyed("new"))
+
+    assert side.newest(spark) is None and side.publish(keyed("old")) == 1
+    join = lambda batch, table: stateless.q13(Market(None, None, batch), table)
+    run = lambda: joining(stream, side, join, str(tmp_path / "ledger"), then).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="lost"):
+        run().awaitTermination()
+    side.publish(keyed("newer"))
+    run().awaitTermination()
+    assert found == {0: {"old"}, 1: {"new"}}
+
+
+def test_grace_apart_from_the_watermark(spark, tmp_path):
+    """Rows in time, within and beyond the grace; the join has the first two, the side output the third."""
+    auctions = [_auction(k, 0, 500) for k in range(1, 6)]
+    bids = [[_bid(1, 1, 10, 100), _bid(2, 1, 10, 400)], [_bid(1, 2, 30, 397), _bid(3, 1, 7, 391), _bid(4, 1, 9, 387), _bid(5, 1, 1, 300)], [_bid(5, 2, 2, 410), _bid(1, 3, 99, 50)]]
+    market = read_market(spark, SF_DIR)
+    schema = with_instants(market.bid).schema
+    for number, part in enumerate(bids):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"bid-{number}"))
+    grace = Grace(str(tmp_path / "grace"), "date_time", lateness_seconds=4, grace_seconds=10)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "bid-*"))
+    grace.dealing(stream).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    grace.dealing(stream).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()  # all batches once more
+    assert {r["lateness"]: r["n"] for r in grace.counts(spark, schema).collect()} == {"on time": 4, "in grace": 2, "beyond": 2}
+    assert sorted((r["auction"], r["price"]) for r in grace.beyond(spark, schema).collect()) == [(1, 99), (5, 1)]
+
+    opened = spark.createDataFrame(auctions, with_instants(market.auction).schema)
+    opened.coalesce(1).write.parquet(str(tmp_path / "auction"))
+    flow = spark.readStream.schema(opened.schema).parquet(str(tmp_path / "auction")).withWatermark("date_time", "14 seconds")
+    joined = streams.valid_bid_stream(Market(None, flow, grace.taken(spark, schema))).select("id", "price")
+    start(joined, str(tmp_path / "c3"), kind="memory", name="grace_joined").awaitTermination()
+    assert sorted(map(tuple, spark.table("grace_joined").collect())) == [(1, 10), (1, 30), (2, 10), (3, 7), (4, 9), (5, 2)]
