@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelstream.llm.common import WHITE, stash, text_or_empty, unused
+from gavelstream.llm.common import WHITE, WORD, fixed_splits, from_files, stash, text_or_empty, unused
 
 
 def word_count(column: str = "text") -> Column:
     """How many words the text has (null: 0)."""
-    return F.regexp_count(text_or_empty(column), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -85,7 +85,7 @@ class Mixture:
     slots: shard, slot, source, epoch, block: the mixture in output order.
     documents: one row per row of docs: doc_id, source, size, source_size,
     target, taken (the words that the mixture takes of it, repeats counted).
-    pieces: doc_id, size, offset, words, draws: the part of each document in
+    pieces: row, doc_id, size, offset, words, draws: the part of each row of docs (row is its place there) in
     each of its blocks, and how often the mixture takes it.
     """
 
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     repeat a doc_id count one by one; extra columns are ignored. Without any
     words nothing is drawn and all is 0.
     """
-    rows = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-rows")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = stash(source_targets(sources, weights, max_epochs), "mix-targets")
 
@@ -135,25 +135,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     slots = slots.select("shard", "slot", "rank", "source", "turn", "n_blocks", epoch.alias("epoch"))
     slots = slots.withColumn("block", permuted(F.col("turn") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "rank", "epoch")))
 
-    in_pack = Window.partitionBy("rank", "pack").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_pack = Window.partitionBy("rank", "pack").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = keyed.where("size > 0").withColumn("start", F.sum("size").over(in_pack) - F.col("size"))
     placed = placed.join(packs.select("rank", "pack", "base").hint("merge"), ["rank", "pack"])
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    pieces = placed.select("rank", "pack", "start", "doc_id", "source", "size", "source_size", "target", "base", F.explode(F.sequence(first, last)).alias("local"))
+    pieces = placed.select("rank", "pack", "start", "row", "doc_id", "source", "size", "source_size", "target", "base", F.explode(F.sequence(first, last)).alias("local"))
     end = F.least(F.col("start") + F.col("size"), (F.col("local") + 1) * block_words)
     words = end - F.greatest(F.col("start"), F.col("local") * block_words)
     pieces = pieces.withColumn("words", words).withColumn("block", F.col("base") + F.col("local"))
 
     draws = slots.groupBy("rank", "block").agg(F.count("*").alias("draws"))
     met = pieces.join(draws.hint("merge"), ["rank", "block"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
-    taken = met.groupBy("rank", "pack", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("draws")).alias("taken"))
+    taken = met.groupBy("rank", "pack", "start", "row", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("draws")).alias("taken"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     empty = keyed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     offset = F.greatest(F.col("local") * block_words - F.col("start"), F.lit(0))
     return Mixture(
         slots.select("shard", "slot", "source", "epoch", "block"),
         taken.select(columns).unionByName(empty.select(columns)),
-        met.select("doc_id", "size", offset.alias("offset"), "words", "draws"),
+        met.select("row", "doc_id", "size", offset.alias("offset"), "words", "draws"),
     )
 
 
@@ -164,16 +164,21 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     first with the pieces taken at least once, the second with those taken twice
     or more, and so on; text joins their words by one space and n_chars, if
     there, counts its characters. What the mixture does not take, and documents
-    without words, give none. Rows that repeat a doc_id and a size share their
-    pieces, so ids should be unique.
+    without words, give none. Rows that repeat a doc_id, or have none, are mixed
+    each by itself, a null source is a source of its own, and an empty table
+    gives none. docs is read twice and rows are told apart by their place in it:
+    what does not come from files is written first, and what joins or groups
+    rows of files is the caller's to write.
     """
+    fixed_splits(docs.sparkSession)
+    docs = from_files(docs)
     pieces = mix(docs, **parameters).pieces.where("draws > 0")
-    taken = pieces.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "draws"))).alias("pieces"), F.max("draws").alias("most"))
-    # all that is worked with goes into two columns of new names, so that no column of docs clashes
-    mine, row = unused("mine", docs.columns), unused("row", docs.columns)
-    taken = taken.select(F.struct("doc_id", "size", "pieces", "most").alias(mine))
-    keys = docs["doc_id"].eqNullSafe(taken[mine]["doc_id"]) & (word_count() == taken[mine]["size"])
-    joined = docs.join(taken.hint("merge"), keys).withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mine)["most"])))
+    taken = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "draws"))).alias("pieces"), F.max("draws").alias("most"))
+    # all that is worked with goes into columns of new names, so that no column of docs clashes
+    mine, row, place = unused("mine", docs.columns), unused("row", docs.columns), unused("place", docs.columns)
+    taken = taken.select(F.struct("row", "pieces", "most").alias(mine))
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    joined = placed.join(taken.hint("merge"), placed[place] == taken[mine]["row"]).withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mine)["most"])))
     words = F.split(F.trim(F.regexp_replace("text", WHITE + "+", " ")), " ", -1)
     chosen = F.filter(F.col(mine)["pieces"], lambda p: p["draws"] >= F.col(row))
 
