@@ -15,27 +15,30 @@ def hop(time: str, size: str, slide: str) -> Column:
     return F.window(time, size, slide)
 
 
-def hop_counts(df: DataFrame, keys: list[str], time: str, size: str, slide: str, name: str = "num") -> DataFrame:
-    """keys, starttime, endtime, count: one grouping over the hopping windows."""
-    counted = df.groupBy(*keys, hop(time, size, slide).alias("w")).agg(F.count("*").alias(name))
-    return counted.select(*keys, F.col("w.start").alias("starttime"), F.col("w.end").alias("endtime"), name)
-
-
 def hop_counts_by_pane(df: DataFrame, keys: list[str], time: str, slide_seconds: int, slides: int, name: str = "num") -> DataFrame:
-    """As hop_counts, for windows of many slides.
-
-    Rows are counted per slide (pane) first; each pane's count then goes to the
-    `slides` windows that hold it, so that not every row is copied that often.
-    Rows are dealt out by the keys alone, once: panes, their copies and the sums
-    per window all stay in the task that counted them.
+    """keys, starttime, endtime, count for hopping windows of `slides` slides each.
+
+    Rows are counted per slide (pane) first, with partial sums before the
+    shuffle, so that a hot key's rows stay where they are; the few counts are
+    dealt out by key. A pane adds to the window that it enters and takes away
+    where it leaves, and a running sum over these changes holds until the next:
+    windows come from as many numbers as there are changes, not panes times
+    slides.
     """
-    dealt = df.select(*keys, time).repartition(*keys)
-    panes = dealt.groupBy(*keys, F.window(time, f"{slide_seconds} seconds").getField("start").alias("pane")).agg(F.count("*").alias("n"))
-    starts = panes.select(*keys, "pane", "n", F.explode(F.sequence(F.lit(0), F.lit(slides - 1))).alias("k"))
-    step = F.make_dt_interval(secs=F.col("k") * slide_seconds)
-    placed = starts.withColumn("starttime", F.col("pane") - step)
-    summed = placed.groupBy(*keys, "starttime").agg(F.sum("n").alias(name))
-    return summed.select(*keys, "starttime", (F.col("starttime") + F.make_dt_interval(secs=F.lit(slide_seconds * slides))).alias("endtime"), name)
+    size = slide_seconds * slides
+    seconds = lambda n: F.make_dt_interval(secs=n if isinstance(n, Column) else F.lit(n))
+    panes = df.groupBy(*keys, F.window(time, f"{slide_seconds} seconds").getField("start").alias("pane")).agg(F.count("*").alias("n"))
+    enters = F.struct((F.col("pane") - seconds(size - slide_seconds)).alias("start"), F.col("n").alias("change"))
+    leaves = F.struct((F.col("pane") + seconds(slide_seconds)).alias("start"), (-F.col("n")).alias("change"))
+    changes = panes.select(*keys, F.explode(F.array(enters, leaves)).alias("c")).select(*keys, "c.*")
+    order = Window.partitionBy(*keys).orderBy("start")
+    # rows of one start share their sum, and the last of them alone lasts
+    held = changes.select(*keys, "start", F.sum("change").over(order).alias(name), F.lead("start").over(order).alias("until"))
+    lasting = F.timestamp_diff("SECOND", F.col("start"), F.col("until")) / slide_seconds
+    held = held.where((F.col(name) > 0) & (F.col("until") > F.col("start")))
+    windows = held.select(*keys, "start", name, F.explode(F.sequence(F.lit(0), lasting.cast("int") - 1)).alias("k"))
+    placed = windows.withColumn("starttime", F.col("start") + seconds(F.col("k") * slide_seconds))
+    return placed.select(*keys, "starttime", (F.col("starttime") + seconds(size)).alias("endtime"), name)
 
 
 def session_counts(df: DataFrame, keys: list[str], time: str, gap: str, name: str) -> DataFrame:

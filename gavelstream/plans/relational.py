@@ -158,7 +158,8 @@ def _bid_counts(market: Market) -> DataFrame:
 
 def q102(market: Market) -> DataFrame:
     """Auctions with at least the average number of bids per auction that has any."""
-    counts = _bid_counts(market)
+    # without nulls, as the join would leave them out of its side alone, and group the bids once more
+    counts = _bid_counts(market).where("auction IS NOT NULL")
     many = counts.where(F.col("bid_count") >= counts.agg(F.avg("bid_count").alias("n")).scalar())
     return market.auction.join(many, market.auction["id"] == many["auction"]).select("id", "itemName", "bid_count")
 

@@ -53,8 +53,8 @@ def q21(market: Market) -> DataFrame:
     ids = regex_group_or_null(F.col("url"), CHANNEL_PATTERN, 2)
     for channel, number in CHANNEL_IDS.items():
         ids = F.when(name == channel, number).otherwise(ids)
-    # a bid without an id is an empty array, so that the ids are made once; a filter on them would make them again
-    return market.bid.select("auction", "bidder", "price", "channel", F.explode(F.array_compact(F.array(ids))).alias("channel_id"))
+    known = name.isin(*CHANNEL_IDS) | F.col("url").rlike(CHANNEL_PATTERN)
+    return market.bid.where(known).select("auction", "bidder", "price", "channel", ids.alias("channel_id"))
 
 
 def q22(market: Market) -> DataFrame:

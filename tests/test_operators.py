@@ -12,9 +12,9 @@ from gavelstream.functions.aggregates import top_k
 from gavelstream.functions.scalars import array_average, count_char, euros, json_path, regex_group_or_null, register_count_char, split_index
 from gavelstream.operators.joins import asof_join, interval_join, not_in
 from gavelstream.operators.ranking import last_row, top_rows
-from gavelstream.operators.windows import hop_counts, hop_counts_by_pane, predicate_sessions, session_counts
+from gavelstream.operators.windows import hop, hop_counts_by_pane, predicate_sessions, session_counts
 from gavelstream.plans import relational, stateless, windowed
-from gavelstream.sources.auction_tables import Market, create_views
+from gavelstream.sources.auction_tables import Market, create_views, read_market
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -53,6 +53,11 @@ def test_session_boundary(spark):
     assert found == [(1, at(20.001), at(30.001)), (2, at(0), at(20))]
 
 
+def hop_counts(df, keys, time, size, slide):
+    counted = df.groupBy(*keys, hop(time, size, slide).alias("w")).agg(F.count("*").alias("num"))
+    return counted.select(*keys, F.col("w.start").alias("starttime"), F.col("w.end").alias("endtime"), "num")
+
+
 def test_hop_has_five_windows(spark):
     found = hop_counts(bids(spark, [(1, 1, 1, 3)]), ["auction"], "date_time", "10 seconds", "2 seconds").collect()
     assert sorted(r["starttime"] for r in found) == [at(s) for s in (-6, -4, -2, 0, 2)]
@@ -67,6 +72,21 @@ def test_panes_equal_windows(spark, rows):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, panes.select(*plain.columns).collect()))
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_combine_before_the_shuffle_and_scan_once(spark):
+    market = read_market(spark, "/root/testdata/sf0.001")
+    for query in (windowed.q5, windowed.q5_many_windows, windowed.q5_rewrite, windowed.q5_asof):
+        plan = executed(query(market))
+        assert "REPARTITION" not in plan and "partial_count" in plan
+    assert "ReusedExchange" in executed(relational.q102(market)).split("Initial Plan")[0]
+    plan = executed(stateless.q21(market))
+    assert "RLIKE" in plan and "Generate" not in plan
+
+
 def test_q5_ties_and_asof(spark):
     market = Market(None, None, bids(spark, [(1, 1, 1, 0), (2, 1, 1, 1)]))
     rows = sorted(map(tuple, windowed.q5(market).collect()))
