@@ -7,7 +7,6 @@ import csv
 import json
 import signal
 import sys
-import tempfile
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,6 +24,7 @@ from gavelstream.plans import catalogue
 from gavelstream.sources.auction_tables import Market, read_market
 from gavelstream.streaming import queries as streams
 from gavelstream.streaming.market import stream_market, watermarked, with_instants, write_market
+from gavelstream.streaming.replay import work_folder
 from gavelstream.streaming.sinks import merging
 from gavelstream.streaming.state import use_rocksdb
 
@@ -90,24 +90,24 @@ def run_stream(spark: SparkSession, case: str, config: RunConfig, sf_dir: str |
         raise BenchmarkError(f"{case} does not run as a stream")
     use_rocksdb(spark)
     is_paced = config.paced and not sf_dir
-    with tempfile.TemporaryDirectory(prefix="gavelstream-") as folder:
-        market = _paced_market(spark, config) if is_paced else stream_market(spark, **write_market(_market(spark, config, sf_dir), f"{folder}/in"))
-        if case not in streams.MERGED:
-            query, mode = streams.DIRECT.get(case) or (streams.PER_BATCH[case][0], "append")
-            finish = streams.PER_BATCH[case][1] if case in streams.PER_BATCH else lambda batch: batch
-            rows = 0
-
-            def count(batch, number: int) -> None:
-                nonlocal rows
-                rows += make_rows(finish(batch))
-
-            _run_to_the_end(query(market).writeStream.outputMode(mode).foreachBatch(count).option("checkpointLocation", f"{folder}/checkpoint"), config, is_paced)
-            return rows
-        merged, last = streams.MERGED[case], []
-        table = merged.table(f"{folder}/table")
-        writer = merging(merged.changes(market), table, merged.partial, lambda _, n: last.append(n)).option("checkpointLocation", f"{folder}/checkpoint")
-        _run_to_the_end(writer, config, is_paced)
-        return make_rows(merged.result(table.version(spark, last[-1]))) if last else 0
+    folder = work_folder(spark, f"case-{case}")
+    market = _paced_market(spark, config) if is_paced else stream_market(spark, **write_market(_market(spark, config, sf_dir), f"{folder}/in"))
+    if case not in streams.MERGED:
+        query, mode = streams.DIRECT.get(case) or (streams.PER_BATCH[case][0], "append")
+        finish = streams.PER_BATCH[case][1] if case in streams.PER_BATCH else lambda batch: batch
+        rows = 0
+
+        def count(batch, number: int) -> None:
+            nonlocal rows
+            rows += make_rows(finish(batch))
+
+        _run_to_the_end(query(market).writeStream.outputMode(mode).foreachBatch(count).option("checkpointLocation", f"{folder}/checkpoint"), config, is_paced)
+        return rows
+    merged, last = streams.MERGED[case], []
+    table = merged.table(f"{folder}/table")
+    writer = merging(merged.changes(market), table, merged.partial, lambda _, n: last.append(n)).option("checkpointLocation", f"{folder}/checkpoint")
+    _run_to_the_end(writer, config, is_paced)
+    return make_rows(merged.result(table.version(spark, last[-1]))) if last else 0
 
 
 def run_case(case: str, mode: str, config: RunConfig, sf_dir: str | None = None) -> CaseResult:

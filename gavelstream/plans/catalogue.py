@@ -16,6 +16,7 @@ from gavelstream.plans import relational, stateless, windowed
 from gavelstream.reports import dashboard
 from gavelstream.sources.auction_tables import Market, event_time, read_market, side_input, split_union, union_events
 from gavelstream.sources.readers import latest_by_key, literal_rows
+from gavelstream.streaming.replay import REPLAYED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -184,5 +185,8 @@ QUERIES: dict[str, Query] = {
     "last_event": _table("events", lambda e: last_row(e.select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])),
     "distinct_events": _table("events", lambda e: e.select("event_type").distinct()),
     "top_events": _table("events", lambda e: top_overall(e.select("event_id", "value"), [F.col("value").desc(), F.col("event_id").asc()], 100)),
+    # the stream forms with state of their own, run to the end of the tables
+    **{f"stream_{n}": q for n, q in REPLAYED.items()},
+    "stream_q9_session": lambda spark, sf_dir: REPLAYED["q9_session"](spark, sf_dir).select("ws", "we", F.inline("wb")),
     **{f"dashboard_{n}": _sinkless_report(n) for n in ("response_time", "report_times", "cases", "memory", "cpu", "network_write", "network_read")},
 }

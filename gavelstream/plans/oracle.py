@@ -179,3 +179,6 @@ ORACLE_SQL: dict[str, str] = {
     "dashboard_network_write": f'{_REPORT} SELECT "time", container, (event_id * 1000 + user_id) / 1024 ^ 2 AS network_mb FROM chosen',
     "dashboard_network_read": f'{_REPORT} SELECT "time", container, event_id * 1048576 / 1024 ^ 2 AS network_mb FROM chosen',
 }
+
+#: Streams end at their batch form's result.
+ORACLE_SQL |= {f"stream_{n}": ORACLE_SQL[n] for n in ("q4", "q5_many_windows", "q9", "q9_session", "q15", "q16", "q101", "q105", "asof_join")}

@@ -175,7 +175,7 @@ class BiddingSessions(PerAuction):
 
     def on_bids(self, key: int, auction: dict, bids: list[tuple], now: int) -> Iterator[Row]:
         self._waiting.appendList(bids)
-        self._handle.registerTimer(ceil_ms(max(b[2] for b in bids)))
+        self._handle.registerTimer(ceil_ms(min(b[2] for b in bids)))
         return iter(())
 
     def on_time(self, key: int, auction: dict, now: int) -> Iterator[Row]:
@@ -185,6 +185,7 @@ class BiddingSessions(PerAuction):
         self._waiting.clear()
         if later:
             self._waiting.appendList(later)
+            self._handle.registerTimer(ceil_ms(min(b[2] for b in later)))
         held = self._session.get()
         session = tuple(held) if held else None
         for _, price, at, _ in ready:

@@ -219,9 +219,13 @@ class AsOf(StatefulProcessor):
             self._lefts.appendList(lefts)
         if rights:
             self._rights.put(sorted(self._all(self._rights) + rights, key=itemgetter(0)))
-        self._handle.registerTimer(-(-max(r[0] for r in lefts + rights) // 1000))
+        # the first left row asks for the next look; without any, right rows ask for one to go
+        self._await(min(r[0] for r in lefts) if lefts else max(r[0] for r in rights))
         return iter(())
 
+    def _await(self, at: int) -> None:
+        self._handle.registerTimer(-(-at // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         lefts, rights = self._all(self._lefts), self._all(self._rights)
@@ -232,7 +236,10 @@ class AsOf(StatefulProcessor):
                 if place:
                     yield self._row(*left[1:], *rights[place - 1][1:])
         later = [x for x in lefts if x[0] > now]
-        self._lefts.put(later) if later else self._lefts.clear()
+        self._lefts.clear()
+        if later:
+            self._lefts.appendList(later)
+            self._await(min(x[0] for x in later))
         kept = rights[max(0, bisect_right(times, now) - 1) :]
         if len(kept) < len(rights):
             self._rights.put(kept)
