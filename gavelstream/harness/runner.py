@@ -116,6 +116,7 @@ def run_case(case: str, mode: str, config: RunConfig, sf_dir: str | None = None)
         began = time.time()
         try:
             with session(config) as spark:
+                spark.streams.addListener(sampler.progress)
                 began = time.time()
                 rows = (run_batch if mode == "batch" else run_stream)(spark, case, config, sf_dir)
                 took = time.time() - began

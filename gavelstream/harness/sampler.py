@@ -8,6 +8,8 @@ import time
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
+
 
 def _processes(top: int) -> list[int]:
     """The process and all below it."""
@@ -47,11 +49,38 @@ def _network() -> tuple[int, int]:
     return received, sent
 
 
+class StreamProgress(StreamingQueryListener):
+    """The last micro-batch of the session's streams, and what they have done in all."""
+
+    def __init__(self) -> None:
+        self.last: dict | None = None
+        self._late = self._rows = 0
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        pass
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        done = event.progress
+        self._rows += done.numInputRows
+        self._late += sum(s.numRowsDroppedByWatermark for s in done.stateOperators)
+        self.last = {
+            "batch": done.batchId,
+            "batch_ms": done.batchDuration,
+            "input_rows": self._rows,
+            "state_rows": sum(s.numRowsTotal for s in done.stateOperators),
+            "late_rows": self._late,
+        }
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        pass
+
+
 class Sampler:
-    """Samples this process and its children in a thread while it is open."""
+    """Samples this process and its children, and the progress of its streams, in a thread while it is open."""
 
     def __init__(self, case: str, name: str, interval: float = 1.0):
         self.case, self.name, self.interval, self.samples = case, name, interval, []
+        self.progress = StreamProgress()
         self._stop = threading.Event()
         self._thread = threading.Thread(target=self._run, daemon=True)
 
@@ -62,8 +91,8 @@ class Sampler:
     def __exit__(self, *_) -> None:
         self._stop.set()
         self._thread.join()
-        if not self.samples:
-            self.samples.append(self.sample(None))
+        # the end as well, which a short case has before its first sample
+        self.samples.append(self.sample(self.samples[-1] if self.samples else None))
 
     def _run(self) -> None:
         while not self._stop.wait(self.interval):
@@ -85,4 +114,5 @@ class Sampler:
             "cpu_stats": cpu,
             "precpu_stats": before["cpu_stats"] if before else cpu,
             "networks": {"eth0": {"rx_bytes": received, "tx_bytes": sent}},
+            "streams": self.progress.last,
         }

@@ -51,6 +51,13 @@ def note(spark: SparkSession, path: str, number: int) -> None:
     spark.range(1).select(F.lit(number).alias("n")).coalesce(1).write.mode("append").json(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can write one."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _runs(number: int) -> list[int]:
     """The runs that make up a table after batch `number` (counted from 1): each ends there and covers as many batches as its lowest bit says."""
     found = []
@@ -69,7 +76,7 @@ class KeyedTable:
     number of batches has bits, and never with all that came before; the table
     is the merge of at most that many runs. A batch that is run again after a
     failure starts from runs before it and writes its own anew, so it counts
-    once. Runs that no later table reads may be cleared at any time.
+    once. Runs that no later table reads are cleared two batches on (clear).
     """
 
     folder: str
@@ -95,6 +102,11 @@ class KeyedTable:
         self._merged(spark, ended, rows.schema, rows).write.mode("overwrite").parquet(f"{self.folder}/run{last}")
         return self.version(spark, number, rows.schema)
 
+    def clear(self, spark: SparkSession, number: int) -> None:
+        """Delete the runs that neither the table after this batch nor the one before it is made of."""
+        for run in {*_runs(number - 1)} - {*_runs(number), *_runs(number + 1)}:
+            remove(spark, f"{self.folder}/run{run}")
+
 
 @dataclass(frozen=True)
 class TopTable:
@@ -124,6 +136,11 @@ class TopTable:
         first.select(rows.columns).write.mode("overwrite").parquet(f"{self.folder}/top{number}")
         return self.version(spark, number, rows.schema)
 
+    def clear(self, spark: SparkSession, number: int) -> None:
+        """Delete the table from two batches before this one."""
+        if number > 1:
+            remove(spark, f"{self.folder}/top{number - 2}")
+
 
 def merging(changes: DataFrame, table: KeyedTable | TopTable, partial: Callable[[DataFrame], DataFrame], then: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
     """A writer that merges a stream's micro-batches, reduced by `partial`, into a table; then gets the table after each."""
@@ -132,6 +149,7 @@ def merging(changes: DataFrame, table: KeyedTable | TopTable, partial: Callable[
         merged = table.upsert(partial(batch), number)
         if then:
             then(merged, number)
+        table.clear(batch.sparkSession, number)
 
     return changes.writeStream.foreachBatch(one)
 

@@ -120,3 +120,19 @@ def test_entry_without_the_corpus_parts():
         "import __spark_entry__ as e; q = e.queries(); assert 'q4' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     )
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+def test_stream_progress_is_sampled(spark, tmp_path):
+    for number in range(2):
+        spark.range(10 * (number + 1)).selectExpr("id % 3 AS k").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    counted = spark.readStream.schema("k long").option("maxFilesPerTrigger", "1").json(str(tmp_path / "in")).groupBy("k").count()
+    with Sampler("count", "stream", 0.05) as sampler:
+        spark.streams.addListener(sampler.progress)
+        counted.writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):  # progress comes in a thread of its own
+            if sampler.progress.last and sampler.progress.last["input_rows"] == 30:
+                break
+            time.sleep(0.1)
+    spark.streams.removeListener(sampler.progress)
+    last = sampler.samples[-1]["streams"]
+    assert last["input_rows"] == 30 and last["state_rows"] == 3 and last["late_rows"] == 0 and last["batch_ms"] > 0

@@ -87,6 +87,18 @@ def test_a_run_is_written_again_seldom(spark, tmp_path):
     assert [spark.read.parquet(f"{tmp_path}/run{n}").count() for n in range(1, 8)] == [1, 2, 2, 4, 2, 3, 2]
 
 
+def test_old_runs_are_cleared(spark, tmp_path):
+    """What is left makes the table, and lets the last batch run again."""
+    table = KeyedTable(str(tmp_path), ("k",), (F.sum("n").alias("n"),))
+    for number in range(11):
+        one = spark.createDataFrame([(number, 1), (0, 1)], "k long, n long")
+        for _ in range(2):
+            table.upsert(one, number)
+        table.clear(spark, number)
+        assert {r["k"]: r["n"] for r in table.version(spark, number).collect()} == {k: 1 for k in range(number + 1)} | {0: number + 2}
+    assert sorted(p.name for p in tmp_path.glob("run*")) == ["run10", "run11", "run8"]
+
+
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     table = KeyedTable(str(tmp_path), ("k",), (F.sum("n").alias("n"),))
     one = spark.createDataFrame([(1, 2)], "k long, n long")
