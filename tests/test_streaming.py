@@ -32,7 +32,7 @@ def streamed(spark, places, tmp_path, name, mode=None):
     return spark.table(table)
 
 
-@pytest.mark.parametrize("name", ["q0", "q1", "q2", "q10", "q13", "q14", "q21", "q22", "q3", "q20"])
+@pytest.mark.parametrize("name", ["q0", "q1", "q2", "q10", "q13", "q14", "q21", "q22", "q3", "q3_no_condition", "q20"])
 def test_unwindowed_streams_equal_batch(spark, places, tmp_path, name):
     assert rows(streamed(spark, places, tmp_path, name)) == rows(QUERIES[name](spark, SF_DIR))
 
@@ -59,6 +59,15 @@ def test_updates_end_at_the_batch_result(spark, places, tmp_path, name, keys):
     assert changes.select(keys).distinct().count() == want.count()
 
 
+def test_windows_of_processing_time_count_each_bid_once(spark, places, tmp_path):
+    changes = streamed(spark, places, tmp_path, "q12")
+    last = changes.groupBy("bidder", "starttime", "endtime").agg(F.max("bid_count").alias("n"))
+    assert last.agg(F.sum("n")).first()[0] == 6000
+    assert last.where("endtime != starttime + INTERVAL 10 SECONDS").isEmpty()
+    want = read_market(spark, SF_DIR).bid.groupBy("bidder").count()
+    assert rows(last.groupBy("bidder").agg(F.sum("n").alias("count"))) == rows(want)
+
+
 def test_ranks_from_state(spark, places, tmp_path):
     changes = streamed(spark, places, tmp_path, "q19").select("auction", "bidder", "price", "rank_number")
     assert set(rows(QUERIES["q19"](spark, SF_DIR).select("auction", "bidder", "price", "rank_number"))) <= set(rows(changes))
