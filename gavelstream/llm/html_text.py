@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -61,7 +62,7 @@ _FURNITURE = re.compile(
 _COMMENT_IDS = frozenset("comments respond disqus_thread".split())
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
     name: str
     mark: str = ""
@@ -74,8 +75,8 @@ class Node:
         return self.name in _INLINE
 
 
-def _markup(page: str) -> Iterator[tuple[str, re.Match | None]]:
-    """The text before each piece of markup, with the markup; at last the text behind it, with None.
+def _markup(page: str) -> Iterator[tuple[str, re.Match | None, str | None]]:
+    """The text before each piece of markup, with the markup and its kind; at last the text behind it, with None.
 
     Takes time in proportion to the page: behind the last > no tag can end, and
     once a quote in a tag has not been closed up to there, quotes do not count
@@ -83,14 +84,16 @@ def _markup(page: str) -> Iterator[tuple[str, re.Match | None]]:
     """
     last, at, pattern = page.rfind(">") + 1, 0, _MARKUP
     while m := pattern.search(page, at, last):
-        if m["unquoted"]:
+        kind = m.lastgroup
+        if kind == "unquoted":
             pattern = _WITHOUT_QUOTES
             m = pattern.search(page, m.start(), last)
-        yield page[at : m.start()], m
+            kind = m.lastgroup
+        yield page[at : m.start()], m, kind
         at = m.end()
-        if not (m["comment"] is None and m["section"] is None and m["rest"] is None):
+        if kind in ("comment", "section", "rest"):
             return  # what is never closed takes the rest of the page
-    yield re.split("<(?=[a-z/!?])", page[at:], maxsplit=1, flags=re.IGNORECASE)[0], None
+    yield re.split("<(?=[a-z/!?])", page[at:], maxsplit=1, flags=re.IGNORECASE)[0], None, None
 
 
 def parse(page: str) -> Node:
@@ -106,19 +109,20 @@ def parse(page: str) -> Node:
             inner = inner.parent
         return inner
 
-    for text, m in _markup(page):
+    for text, m, kind in _markup(page):
         if text:
             at.parts.append(text)
-        if m is None or m["raw"] or not (m["start"] or m["end"]):
-            continue
-        name = (m["start"] or m["end"]).lower()
-        if m["end"]:
+        if kind == "end":
+            name = m["end"].lower()
             if open_names[name]:
                 node = at
                 while node.name != name:
                     node = node.parent
                 at = leave(node)
             continue
+        if kind != "attrs":
+            continue
+        name, attrs = m["start"].lower(), m["attrs"]
         if name in _VOID:
             at.parts.append(Node(name))
             continue
@@ -130,12 +134,12 @@ def parse(page: str) -> Node:
             if node.name in ends:
                 at = leave(node)
         node = Node(name, parent=at)
-        if m["attrs"]:
-            found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m["attrs"])}
+        if attrs:
+            found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attrs)}
             node.mark = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
             node.roles, node.ident = tuple(f"{found.get('class', '')} {found.get('role', '')}".split()), found.get("id", "").strip()
         at.parts.append(node)
-        if not m["attrs"].rstrip().endswith("/"):
+        if not attrs.rstrip().endswith("/"):
             at = node
             open_names[name] += 1
     return root
@@ -230,11 +234,17 @@ def _signed(h: xxhash.xxh64) -> int:
     return h.intdigest() - 2**63
 
 
+@lru_cache(maxsize=100_000)
+def _place(outer: int, name: str, roles: tuple[str, ...]) -> int:
+    shape = " ".join(sorted(t for t in roles if not any(c.isdigit() for c in t)))
+    return _signed(xxhash.xxh64(f"{outer}|{name}|{shape}"))
+
+
 def elements(root: Node, least_words: int = LEAST_WORDS) -> list[Element]:
     """The page itself, and its containers and single blocks of so many words or more, in page order.
 
     Ids and classes with digits belong to a page more often than to a template,
-    so they are no part of a place. The page as a whole has depth 0.
+    so they are no part of a place, nor are inline elements. The page as a whole has depth 0.
     """
     words = _word_counts(root)
     found, stack = [], [(root, 0, 0)]
@@ -245,9 +255,7 @@ def elements(root: Node, least_words: int = LEAST_WORDS) -> list[Element]:
         if depth == 0 or (node.name not in _UNCOUNTED and (is_block or not node.inline()) and words[id(node)] >= least_words):
             own = words[id(node)] - sum(words[id(p)] for p in inner if not p.inline() and p.name not in _BLOCKS)
             found.append(Element(node, is_block, place, depth, words[id(node)], own))
-        for p in reversed(inner):
-            shape = " ".join(sorted(t for t in p.roles if not any(c.isdigit() for c in t)))
-            stack.append((p, _signed(xxhash.xxh64(f"{place}|{p.name}|{shape}")), depth + 1))
+        stack += [(p, place if p.name in _INLINE else _place(place, p.name, p.roles), depth + 1) for p in reversed(inner)]
     return found
 
 
