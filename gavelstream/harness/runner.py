@@ -25,7 +25,7 @@ from gavelstream.sources.auction_tables import Market, read_market
 from gavelstream.streaming import queries as streams
 from gavelstream.streaming.market import stream_market, watermarked, with_instants, write_market
 from gavelstream.streaming.replay import work_folder
-from gavelstream.streaming.sinks import merging
+from gavelstream.streaming.sinks import merging, remove
 from gavelstream.streaming.state import use_rocksdb
 
 MODES = ("batch", "stream")
@@ -89,8 +89,15 @@ def run_stream(spark: SparkSession, case: str, config: RunConfig, sf_dir: str |
     if not any(case in kind for kind in (streams.DIRECT, streams.PER_BATCH, streams.MERGED)):
         raise BenchmarkError(f"{case} does not run as a stream")
     use_rocksdb(spark)
-    is_paced = config.paced and not sf_dir
     folder = work_folder(spark, f"case-{case}")
+    try:
+        return _stream_in(folder, spark, case, config, sf_dir)
+    finally:
+        remove(spark, folder)
+
+
+def _stream_in(folder: str, spark: SparkSession, case: str, config: RunConfig, sf_dir: str | None) -> int:
+    is_paced = config.paced and not sf_dir
     market = _paced_market(spark, config) if is_paced else stream_market(spark, **write_market(_market(spark, config, sf_dir), f"{folder}/in"))
     if case not in streams.MERGED:
         query, mode = streams.DIRECT.get(case) or (streams.PER_BATCH[case][0], "append")
