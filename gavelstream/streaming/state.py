@@ -255,9 +255,16 @@ def asof_join_stream(left: DataFrame, right: DataFrame, key: str, time: str, pay
     """
     ship_package(left.sparkSession)
     at = F.unix_micros(time).alias("_at")
-    with_left = left.select(key, time, at, F.struct(*left.columns).alias("_left"))
-    with_right = right.select(key, time, at, F.struct(*payload).alias("_right"))
+    # times are microseconds while Python has them, so that no time zone touches them
+    instants = [f.name for side, names in ((left, left.columns), (right, payload)) for f in side.select(*names).schema if f.dataType == T.TimestampType()]
+
+    def packed(names: list[str]) -> Column:
+        return F.struct(*[F.unix_micros(c).alias(c) if c in instants else F.col(c) for c in names])
+
+    with_left = left.select(key, time, at, packed(left.columns).alias("_left"))
+    with_right = right.select(key, time, at, packed(payload).alias("_right"))
     left_schema, right_schema = with_left.schema["_left"].dataType, with_right.schema["_right"].dataType
     both = with_left.unionByName(with_right, allowMissingColumns=True)
     out = T.StructType([*left_schema.fields, *right_schema.fields])
-    return both.groupBy(key).transformWithState(statefulProcessor=AsOf(left_schema, right_schema, out), outputStructType=out, outputMode="append", timeMode="EventTime")
+    found = both.groupBy(key).transformWithState(statefulProcessor=AsOf(left_schema, right_schema, out), outputStructType=out, outputMode="append", timeMode="EventTime")
+    return found.withColumns({c: F.timestamp_micros(c) for c in instants}) if instants else found
