@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gavelstream.operators.joins import asof_join
 from gavelstream.operators.ranking import top_rows
-from gavelstream.operators.windows import hop_counts_by_pane, session_counts, tumble, tumbles_touched
+from gavelstream.operators.windows import hop_counts_by_pane, hottest_by_pane, pane_counts, session_counts, tumble, tumbles_touched
 from gavelstream.sources.auction_tables import Market
 
 
@@ -19,7 +19,7 @@ def hottest(counts: DataFrame) -> DataFrame:
 
 def q5(market: Market, slide_seconds: int = 2, slides: int = 5) -> DataFrame:
     """The auctions with the most bids in each window of ten seconds, every two seconds; ties all stay."""
-    return hottest(_bid_counts(market, slide_seconds, slides))
+    return hottest_by_pane(pane_counts(market.bid, ["auction"], "date_time", slide_seconds), "auction", slide_seconds, slides)
 
 
 def _bid_counts(market: Market, slide_seconds: int = 2, slides: int = 5) -> DataFrame:
