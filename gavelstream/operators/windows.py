@@ -106,15 +106,17 @@ def predicate_sessions(df: DataFrame, keys: list[str], time: str, starts: Column
     order = Window.partitionBy(*keys).orderBy(time, *tie)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     late = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(order).cast("timestamp")) > longest_seconds * 1_000_000
-    marked = df.withColumns({"_s": starts, "_e": ends, "_late": F.coalesce(late, F.lit(False))})
+    numbered = df.withColumns({"_s": starts, "_e": ends, "_late": F.coalesce(late, F.lit(False)), "_n": F.row_number().over(order)})
     # runs are cut after each end and before each late row; a session is what follows a run's first start
-    cuts = F.coalesce(F.sum(F.when(F.col("_e"), 1).otherwise(0)).over(before), F.lit(0)) + F.sum(F.when(F.col("_late"), 1).otherwise(0)).over(order)
-    runs = marked.withColumn("session_id", cuts)
-    in_run = Window.partitionBy(*keys, "session_id").orderBy(time, *tie)
-    opened = F.max(F.col("_s")).over(in_run)
-    kept = runs.withColumn("_open", opened).where("_open")
-    start = F.min(time).over(Window.partitionBy(*keys, "session_id"))
-    return kept.withColumn("session_start", start).drop("_s", "_e", "_late", "_open")
+    cuts = F.coalesce(F.sum(F.when(F.col("_e"), 1).otherwise(0)).over(before), F.lit(0)) + F.sum(F.when(F.col("_late"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    cut = F.col("_late") | F.coalesce(F.lag("_e").over(order), F.lit(True))
+    # all in one order, so that a group is sorted once
+    begun = numbered.withColumns({"session_id": cuts, "_cut": cut})
+    begun = begun.withColumns({"_run": F.max(F.when(F.col("_cut"), F.col("_n"))).over(order), "_last": F.max(F.when(F.col("_s"), F.col("_n"))).over(before)})
+    opens = F.col("_s") & (F.col("_last").isNull() | (F.col("_last") < F.col("_run")))
+    begun = begun.withColumn("_open", F.max(F.when(opens, F.struct("_n", time))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = begun.where(F.col("_open._n") >= F.col("_run"))
+    return kept.withColumn("session_start", F.col(f"_open.{time}")).drop("_s", "_e", "_late", "_n", "_cut", "_run", "_last", "_open")
 
 
 def tumbles_touched(time: str, seconds: int) -> Column:
