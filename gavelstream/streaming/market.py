@@ -17,11 +17,17 @@ def watermarked(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return stream.withWatermark("date_time", lateness)
 
 
-def stream_market(spark: SparkSession, person: Source, auction: Source, bid: Source, lateness: str = LATENESS) -> Market:
-    """Streams of the three kinds, each from its own place."""
+#: Rows of a file that write_market writes, about; a part of more is several files, written by as many tasks.
+FILE_ROWS = 100_000
+
+
+def stream_market(spark: SparkSession, person: Source | None = None, auction: Source | None = None, bid: Source | None = None, lateness: str = LATENESS) -> Market:
+    """Streams of the three kinds, each from its own place; None where there is none."""
     kinds = {"person": person, "auction": auction, "bid": bid}
-    streams = {}
+    streams = dict.fromkeys(kinds)
     for name, source in kinds.items():
+        if source is None:
+            continue
         rows = source.stream(spark, getattr(schemas, name)())
         streams[name] = watermarked(with_declared_names(rows, name), lateness)
     return Market(**streams)
@@ -34,24 +40,35 @@ def stream_union(spark: SparkSession, source: Source, lateness: str = LATENESS)
 
 
 def with_instants(table: DataFrame) -> DataFrame:
-    """Event times as TIMESTAMP, read as UTC, as watermarks need them."""
+    """Event times as TIMESTAMP, read in the session's time zone (UTC), as watermarks need them."""
     times = [c for c in ("date_time", "expires") if c in table.columns]
-    return table.withColumns({c: F.to_timestamp(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")) for c in times})
+    return table.withColumns({c: F.col(c).cast("timestamp") for c in times})
 
 
-def write_market(market: Market, folder: str, files: int = 4, kind: str = "parquet") -> dict[str, Source]:
-    """Batch tables as folders that streams can read: event times as TIMESTAMP (UTC), in order of time over the files.
+def write_market(market: Market, folder: str, files: int = 4, kind: str = "parquet", names: tuple[str, ...] = ("person", "auction", "bid")) -> dict[str, Source]:
+    """Batch tables as folders that streams can read: event times as TIMESTAMP (UTC), in order of time over `files` parts.
 
-    Files are written one after the other, as a stream takes them in the order
-    of their writing.
+    Parts are written one after the other, as a stream takes files in the order
+    of their writing, and a micro-batch takes one part. A part is one file, or
+    of a large table as many as there are tasks to write it.
     """
     places = {}
-    for name in ("person", "auction", "bid"):
+    for name in names:
         at = F.unix_micros("date_time")
         table = with_instants(getattr(market, name)).withColumn("_at", at)
         bounds = table.approxQuantile("_at", [n / files for n in range(1, files)], 0.01)
-        for low, high in zip([None, *bounds], [*bounds, None]):
-            part = table.where(F.lit(True) if low is None else F.col("_at") > low).where(F.lit(True) if high is None else F.col("_at") <= high)
-            part.drop("_at").coalesce(1).sortWithinPartitions("date_time").write.mode("overwrite" if low is None else "append").format(kind).save(f"{folder}/{name}")
-        places[name] = Source(kind, f"{folder}/{name}", {"maxFilesPerTrigger": "1"})
+        tasks = max(1, table.count() // (files * FILE_ROWS))
+        place = f"{folder}/{name}"
+        for number, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+            part = table.where(F.lit(True) if low is None else F.col("_at") > low).where(F.lit(True) if high is None else F.col("_at") <= high).drop("_at")
+            dealt = part.coalesce(1) if tasks == 1 else part.repartition(tasks)
+            dealt.sortWithinPartitions("date_time").write.mode("append" if number else "overwrite").format(kind).save(place)
+            # a micro-batch would fill up with files of the next part, and its watermark pass that part's others
+            for _ in range((number + 1) * tasks - _n_files(table.sparkSession, place)):
+                part.limit(0).coalesce(1).write.mode("append").format(kind).save(place)
+        places[name] = Source(kind, place, {"maxFilesPerTrigger": str(tasks)})
     return places
+
+
+def _n_files(spark: SparkSession, place: str) -> int:
+    return len(spark.read.format("binaryFile").load(place).inputFiles())

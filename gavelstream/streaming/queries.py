@@ -20,21 +20,10 @@ from gavelstream.operators.windows import hop, tumble
 from gavelstream.plans import relational, stateless, windowed
 from gavelstream.sources.auction_tables import Market, side_input
 from gavelstream.streaming import auctions
-from gavelstream.streaming.sinks import KeyedTable, TopTable
+from gavelstream.streaming.auctions import valid_bid_stream
+from gavelstream.streaming.sinks import KeyedTable
 from gavelstream.streaming.state import distinct_changes, pane_window_counts, top_rows_stream
 
-#: How long after an auction opens its bids may come; bounds the join's state.
-LONGEST_AUCTION = "2 HOURS"
-
-
-def valid_bid_stream(market: Market, longest: str = LONGEST_AUCTION) -> DataFrame:
-    """Auctions with their valid bids, as an interval join whose state the watermarks bound."""
-    b = market.bid.select("auction", "bidder", "price", F.col("date_time").alias("bid_dateTime"), F.col("extra").alias("bid_extra"))
-    a = market.auction
-    held = (b["bid_dateTime"] >= a["date_time"]) & (b["bid_dateTime"] <= a["expires"]) & (b["bid_dateTime"] <= a["date_time"] + F.expr(f"INTERVAL {longest}"))
-    return a.join(b, (a["id"] == b["auction"]) & held)
-
-
 def _hottest(market: Market, size: str, slide: str) -> DataFrame:
     counts = market.bid.groupBy("auction", hop("date_time", size, slide).alias("w")).agg(F.count("*").alias("num"))
     again = market.bid.groupBy("auction", hop("date_time", size, slide).alias("mw")).agg(F.count("*").alias("n"))
@@ -99,14 +88,9 @@ class Merged:
     partial: Callable[[DataFrame], DataFrame]
     merge: Callable[[], tuple[Column, ...]]
     result: Callable[[DataFrame], DataFrame]
-    #: Set for a table of so many first rows, by an order in which rows only rise.
-    order: Callable[[], tuple[Column, ...]] | None = None
-    n: int = 0
 
-    def table(self, folder: str) -> KeyedTable | TopTable:
-        if self.order is None:
-            return KeyedTable(folder, self.keys, self.merge())
-        return TopTable(folder, self.keys, self.merge(), self.order(), self.n)
+    def table(self, folder: str) -> KeyedTable:
+        return KeyedTable(folder, self.keys, self.merge())
 
 
 def _final(result: Callable[[DataFrame], DataFrame]) -> Merged:
@@ -131,14 +115,14 @@ def _first_rows(changes: Callable[[Market], DataFrame], keys: tuple[str, ...], o
     )
 
 
-def _counted(result: Callable[[DataFrame], DataFrame], **top) -> Merged:
+def _counted(result: Callable[[DataFrame], DataFrame]) -> Merged:
     """A query over id, opened, itemName, bid_count and max_price of each auction (q101 to q105).
 
-    The state knows each count; the table holds the last, which is the greatest.
-    An auction that is not known yet has a row, but is not opened.
+    A batch adds its counts to those of the table. An auction that is not known
+    yet has a row, but is not opened.
     """
-    greatest = lambda: tuple(F.max(c).alias(c) for c in ("opened", "itemName", "bid_count", "max_price"))
-    return Merged(auctions.bid_changes, ("id",), lambda b: b.groupBy("id").agg(*greatest()), greatest, result, **top)
+    added = lambda: (F.max("opened").alias("opened"), F.max("itemName").alias("itemName"), F.sum("bid_count").alias("bid_count"), F.max("max_price").alias("max_price"))
+    return Merged(auctions.bid_changes, ("id",), lambda b: b.groupBy("id").agg(*added()), added, result)
 
 
 def _average(table: DataFrame) -> Column:
@@ -178,6 +162,35 @@ def _average_price() -> Merged:
     return Merged(auctions.final_price_changes, ("category",), partial, sums, lambda t: t.select("category", (F.col("total") / F.col("n")).alias("avg_price")))
 
 
+def _ids_seen(keys: dict[str, Callable[[], Column]], with_minute: bool) -> Merged:
+    """_distinct over a table of the ids themselves: a row for each key and id, with the flags under which it has been seen.
+
+    A batch is grouped before it is merged, and nothing calls Python for each
+    key and day, but the ids stay in the table when their day is over.
+    """
+    ids = {"bidders": "bidder", "auctions": "auction"}
+    flags = ("total", "rank1", "rank2", "rank3")
+    names = [f"n_{f}" for f in flags]
+
+    def partial(batch: DataFrame) -> DataFrame:
+        conditions = {"total": F.lit(True), **relational.price_ranks()}
+        one = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id")) for kind, c in ids.items()]))
+        counts = [F.when(c, 1).otherwise(0).alias(f"n_{f}") for f, c in conditions.items()]
+        placed = batch.select(*[column().alias(k) for k, column in keys.items()], "date_time", *counts, one.alias("one")).select("*", "one.*")
+        return placed.groupBy(*keys, "kind", "id").agg(F.max("date_time").alias("latest"), *[F.sum(n).alias(n) for n in names])
+
+    def result(table: DataFrame) -> DataFrame:
+        of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+        seen = lambda n: F.when((F.col(n) > 0) & F.col("id").isNotNull(), 1).otherwise(0)
+        counts = [of("bidders", F.col(f"n_{f}")).alias(f"{f}_bids") for f in flags] + [of(kind, seen(f"n_{f}")).alias(f"{f}_{kind}") for kind in ids for f in flags]
+        last = [F.max("latest").alias("minute")] if with_minute else []
+        found = table.groupBy(*keys).agg(*last, *counts).withColumn("day", day(F.col("day")))
+        return found.withColumn("minute", minute(F.col("minute"))) if with_minute else found
+
+    merge = lambda: (F.max("latest").alias("latest"), *[F.sum(n).alias(n) for n in names])
+    return Merged(lambda m: m.bid, (*keys, "kind", "id"), partial, merge, result)
+
+
 def change_log(merged: Merged, folder: str) -> Callable[[DataFrame, int], None]:
     """What a merging writer does after each batch to log the results that the batch changed, under the batch's number.
 
@@ -263,11 +276,7 @@ MERGED: dict[str, Merged] = {
     "q102": _counted(lambda t: t.where("opened AND bid_count > 0").where(F.col("bid_count") >= _average(t)).select("id", "itemName", "bid_count")),
     "q103": _counted(lambda t: t.where("opened").where("bid_count >= 20").select("id", "itemName")),
     "q104": _counted(lambda t: t.where("opened").where("bid_count = 0 OR bid_count >= 20").select("id", "itemName")),
-    "q105": _counted(
-        lambda t: t.where("opened AND bid_count > 0").select("id", "itemName", "bid_count"),
-        order=lambda: (F.expr("opened AND bid_count > 0").desc(), F.desc("bid_count"), F.asc("id")),
-        n=1000,
-    ),
+    "q105": _counted(lambda t: relational.top_overall(t.where("opened AND bid_count > 0").select("id", "itemName", "bid_count"), [F.desc("bid_count"), F.asc("id")], 1000)),
     "q5_rewrite": _window_counts(lambda t: relational.top_rows(t, ["starttime", "endtime"], [F.col("num").desc(), F.col("auction").asc()], 1).select("auction", "num", "starttime", "endtime")),
     "q5_asof": _window_counts(windowed.hottest_asof),
     "q7_rewrite": _first_rows(
@@ -278,3 +287,10 @@ MERGED: dict[str, Merged] = {
         ("auction", "price", "bidder", "date_time", "extra"),
     ),
 }
+
+#: MERGED as the registered queries run it over whole tables, where a call of Python for each key would take the time.
+WHOLE: dict[str, Merged] = MERGED | {
+    "q4": _final(lambda t: t.groupBy("category").agg(F.avg("final").alias("avg_price"))),
+    "q15": _ids_seen({"day": lambda: F.to_date("date_time")}, False),
+    "q16": _ids_seen({"channel": lambda: F.col("channel"), "day": lambda: F.to_date("date_time")}, True),
+}

@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelstream import schemas
 from gavelstream.sources.auction_tables import Market, read_market
+from gavelstream.sources.readers import Source
+from gavelstream.streaming import auctions
 from gavelstream.streaming import queries as streams
+from gavelstream.streaming.carried import AsOfTable, HottestWindows, start_carrying
 from gavelstream.streaming.market import stream_market, write_market
 from gavelstream.streaming.sinks import start, start_merging
-from gavelstream.streaming.state import asof_join_stream, use_rocksdb
+from gavelstream.streaming.state import use_rocksdb
 
 #: Later than everything: a last row then takes the watermark past all others.
 LAST_TIME = "TIMESTAMP_NTZ'2100-01-01 00:00:00'"
@@ -35,53 +40,52 @@ def ended(market: Market) -> Market:
     return Market(market.person, market.auction.unionByName(auction), market.bid.unionByName(bid))
 
 
-def _appended(market: Market, name: str, folder: str) -> DataFrame:
+def _appended(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
     spark = market.bid.sparkSession
-    query, _ = streams.DIRECT[name]
-    rows = query(market)
+    rows = {"q9": auctions.winning_bids_joined, "q9_session": auctions.bidding_sessions_joined}[name](market)
     start(rows, f"{folder}/checkpoint", kind="parquet", path=f"{folder}/out").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-def _per_batch(market: Market, name: str, folder: str) -> DataFrame:
-    spark, numbers = market.bid.sparkSession, []
-    query, finish = streams.PER_BATCH[name]
+def _hottest(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
+    table = HottestWindows(f"{folder}/windows", "auction", slide_seconds=5, slides=60)
+    last = start_carrying(table.panes(market.bid, "date_time"), table, f"{folder}/checkpoint")
+    table.close(market.bid.sparkSession, last, F.expr(LAST_TIME).cast("timestamp"))
+    return table.result(market.bid.sparkSession)
 
-    def one(batch: DataFrame, number: int) -> None:
-        finish(batch).write.mode("overwrite").parquet(f"{folder}/out/{number}")
-        numbers.append(number)
 
-    writer = query(market).writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(*[f"{folder}/out/{n}" for n in sorted(set(numbers))])
-
-
-def _merged(market: Market, name: str, folder: str) -> DataFrame:
-    merged, numbers = streams.MERGED[name], []
+def _merged(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
+    merged, numbers = streams.WHOLE[name], []
     table = merged.table(f"{folder}/table")
     start_merging(merged.changes(market), table, merged.partial, f"{folder}/checkpoint", lambda _, n: numbers.append(n)).awaitTermination()
     return merged.result(table.version(market.bid.sparkSession, numbers[-1]))
 
 
-def _asof(market: Market, name: str, folder: str) -> DataFrame:
+def _asof(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
     """Auctions at their end with the last opening of their seller until then."""
     spark = market.auction.sparkSession
-    # each side has its own time, and so its own watermark
-    flat = spark.readStream.schema(market.auction.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in/auction")
-    left = flat.select("id", "seller", "expires", F.col("expires").alias("at")).withWatermark("at", "10 seconds")
-    right = flat.select("seller", F.col("date_time").alias("opened"), F.col("date_time").alias("at")).withWatermark("at", "4 seconds")
-    joined = asof_join_stream(left, right, "seller", "at", ["opened"]).drop("at")
-    start(joined, f"{folder}/checkpoint", kind="parquet", path=f"{folder}/out").awaitTermination()
-    return spark.read.schema(joined.schema).parquet(f"{folder}/out")
+    flat = places["auction"].stream(spark, schemas.auction()).selectExpr("id", "seller", "expires", "date_time AS opened")
+    table = AsOfTable(f"{folder}/asof", "seller", "at", ("opened",), {"left": 10, "right": 4})
+    left = flat.select("seller", F.col("expires").alias("at"), "id", "expires")
+    right = flat.select("seller", F.col("opened").alias("at"), "opened")
+    start_carrying(table.rows(left, right), table, f"{folder}/checkpoint")
+    return table.result(spark).select("id", "seller", "expires", "opened")
+
+
+Run = Callable[[Market, str, str, dict[str, Source]], DataFrame]
+
 
+def _replayed(run: Run, name: str, last_row: bool, **used: str) -> Callable[[SparkSession, str], DataFrame]:
+    """`used` names the tables that the query reads, with the columns that it uses besides date_time; a stream's others are null."""
 
-def _replayed(run: Callable[[Market, str, str], DataFrame], name: str, last_row: bool) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         use_rocksdb(spark)
         folder = work_folder(spark, f"stream-{name}")
         market = read_market(spark, sf_dir)
-        places = write_market(ended(market) if last_row else market, f"{folder}/in", files=3)
-        found = run(stream_market(spark, **places), name, folder)
+        market = ended(market) if last_row else market
+        pruned = {kind: getattr(market, kind).select("date_time", *columns.split()) for kind, columns in used.items()}
+        places = write_market(replace(market, **pruned), f"{folder}/in", files=3, names=tuple(used))
+        found = run(stream_market(spark, **places), name, folder, places)
         # the batch forms have times without a zone
         times = [f.name for f in found.schema if f.dataType.typeName() == "timestamp"]
         return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times}) if times else found
@@ -91,8 +95,12 @@ def _replayed(run: Callable[[Market, str, str], DataFrame], name: str, last_row:
 
 #: Name -> query over a folder of tables; what ends with the watermark gets a last row behind it.
 REPLAYED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{n: _replayed(_appended, n, True) for n in ("q9", "q9_session")},
-    "q5_many_windows": _replayed(_per_batch, "q5_many_windows", True),
-    **{n: _replayed(_merged, n, False) for n in ("q4", "q15", "q16", "q101", "q105")},
-    "asof_join": _replayed(_asof, "asof_join", True),
+    "q9": _replayed(_appended, "q9", True, auction="id itemName description initialBid reserve expires seller category extra", bid="auction bidder price extra"),
+    "q9_session": _replayed(_appended, "q9_session", True, auction="id itemName expires seller", bid="auction price"),
+    "q5_many_windows": _replayed(_hottest, "q5_many_windows", True, bid="auction"),
+    "q4": _replayed(_merged, "q4", False, auction="id category expires", bid="auction price"),
+    **{n: _replayed(_merged, n, False, auction="id itemName", bid="auction price") for n in ("q101", "q105")},
+    "q15": _replayed(_merged, "q15", False, bid="auction bidder price"),
+    "q16": _replayed(_merged, "q16", False, bid="auction bidder price channel"),
+    "asof_join": _replayed(_asof, "asof_join", True, auction="id expires seller"),
 }
