@@ -491,9 +491,24 @@ def _in_blocks(grouped: DataFrame, weight: Column, most: int) -> DataFrame:
     return dealt.select("node", "group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
 
-def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+def _near_nodes(marks: DataFrame, radius: int) -> DataFrame:
+    """a, b: links between nodes with equal fingerprints, or ones within the radius; marks are node, fp."""
+    first = stash(marks.groupBy("fp").agg(F.min("node").alias("first")), "similar-fingerprints")
+    equal = marks.join(first, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select("fp"), radius)
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
+    return equal.unionByName(near.where("a_node != b_node").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
+def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 4) -> DataFrame:
     """a, b: doc_ids of pairs whose sets of shingles are similar (Jaccard), so many that they connect all groups of them.
 
+    Texts whose SimHash fingerprints (as near_duplicates has them) differ in at
+    most `radius` bits are candidates, and the exact check follows. Similar
+    texts may lie further apart than that; these are found beside them, by what
+    their sets share:
+
     Texts with equal sets are one node. Similar sets share a shingle among the
     first of each in any one order (prefix filter), so every similar pair of
     nodes meets there. Pairs that meet at rare shingles, but for those that are
@@ -525,9 +540,10 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
             sets = [_sorted_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
             first = pa.array([_prefix(s, frequent, similarity) for s, _ in sets], pa.list_(pa.int64()))
             cells = pa.array([parity(s) for s, _ in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for _, k in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), cells, first], ["doc_id", "node", "n", "cells", "prefix"])
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text").cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for _, k in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), cells, first, pa.array(fps)], ["doc_id", "node", "n", "cells", "prefix", "fp"])
 
-    rows = stash(texts.mapInArrow(prefixes, "doc_id long, node long, n int, cells binary, prefix array<long>"), "similar")
+    rows = stash(texts.mapInArrow(prefixes, "doc_id long, node long, n int, cells binary, prefix array<long>, fp long"), "similar")
     nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("cells").alias("cells")), "similar-nodes")
     again = rows.join(nodes, "node").where("doc_id != least_id").select(F.col("least_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     single = rows.join(nodes.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi")
@@ -559,6 +575,7 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     groups = connected_components(met.where("common and a != b").select("a", "b")).withColumnRenamed("root", "group")
     dealt = _in_blocks(groups, F.lit(1), BLOCK_NODES).join(nodes.select("node", "n", "cells"), "node")
     possible = possible.unionByName(dealt.groupBy("group", "x", "y").applyInArrow(possible_in_blocks, "a long, b long"))
+    possible = possible.unionByName(_near_nodes(rows.select("node", "fp").distinct(), radius))
 
     # families of those that may be similar
     families = stash(connected_components(possible).withColumnRenamed("root", "group").join(nodes.select("node", "n", "least_id"), "node"), "similar-families")
