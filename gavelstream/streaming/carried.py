@@ -7,6 +7,7 @@ runs again starts from the same table and writes its own parts anew.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gavelstream.operators.joins import asof_join
 from gavelstream.operators.windows import hottest_by_pane, pane_counts
+from gavelstream.sources.auction_tables import Market
 from gavelstream.streaming.sinks import remove
 
 
@@ -38,6 +40,18 @@ class Carried:
             if number > 1:
                 remove(spark, f"{self.folder}/{name}/{number - 2}")
 
+    def passed(self, batch: DataFrame, time: str, lateness: dict[str, int], number: int) -> tuple[int | None, int | None]:
+        """What all sides (column _side) are past by their lateness (seconds), before this batch and with it, in microseconds; None as long as one has not come."""
+        newest = batch.groupBy("_side").agg(F.max(F.unix_micros(time)).alias("newest"))
+        past = self.before(newest, "newest", number)
+
+        def least(table: DataFrame) -> int | None:
+            found = {r["_side"]: r["newest"] - lateness[r["_side"]] * 1_000_000 for r in table.collect() if r["newest"] is not None}
+            return min(found.values()) if len(found) == len(lateness) else None
+
+        now = self.write(newest.unionByName(past).groupBy("_side").agg(F.max("newest").alias("newest")), "newest", number)
+        return least(past) if number else None, least(now)
+
     def result(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/out/*")
 
@@ -105,10 +119,7 @@ class AsOfTable(Carried):
 
     def take(self, batch: DataFrame, number: int) -> None:
         spark, at = batch.sparkSession, F.unix_micros(self.time)
-        newest = batch.groupBy("_side").agg(F.max(at).alias("newest"))
-        past = self.before(newest, "newest", number)
-        before = self._passed(past) if number else None
-        now = self._passed(self.write(newest.unionByName(past).groupBy("_side").agg(F.max("newest").alias("newest")), "newest", number))
+        before, now = self.passed(batch, self.time, self.lateness, number)
         both = (batch if before is None else batch.where(at > before)).unionByName(self.before(batch, "carried", number))
         ready = F.lit(False) if now is None else at <= now
         lefts, rights = both.where("_side = 'left'"), both.where("_side = 'right'").select(self.key, self.time, "_right.*")
@@ -118,13 +129,47 @@ class AsOfTable(Carried):
         self.write(both.where(~ready).unionByName(last.select(both.columns)), "carried", number)
         self.clear(spark, ("newest", "carried"), number)
 
-    def _passed(self, newest: DataFrame) -> int | None:
-        """What both sides are past, in microseconds; None before both have come."""
-        found = {r["_side"]: r["newest"] - self.lateness[r["_side"]] * 1_000_000 for r in newest.collect() if r["newest"] is not None}
-        return min(found.values()) if len(found) == 2 else None
 
+@dataclass(frozen=True)
+class EndedAuctions(Carried):
+    """What a query makes of auctions and their bids, for each auction in the batch in which both streams are past its end by their lateness (seconds).
 
-def start_carrying(rows: DataFrame, table: HottestWindows | AsOfTable, checkpoint: str) -> int:
+    An auction waits for its end, a bid for both streams to be past it and,
+    if its auction is there, for that to end. Rows later than the lateness go.
+    Ids are keys: an auction that comes again after its end is another one.
+    """
+
+    query: Callable[[Market], DataFrame]
+    lateness: dict[str, int]
+
+    def rows(self, market: Market) -> DataFrame:
+        """The stream to take: rows of both kinds."""
+        kinds = {"auction": market.auction, "bid": market.bid}
+        one, other = (t.select("date_time", F.lit(kind).alias("_side"), F.struct(*t.columns).alias(f"_{kind}")) for kind, t in kinds.items())
+        return one.unionByName(other, allowMissingColumns=True)
+
+    def take(self, batch: DataFrame, number: int) -> None:
+        at = F.unix_micros("date_time")
+        before, now = self.passed(batch, "date_time", self.lateness, number)
+        fresh = batch if before is None else batch.where(at > before)
+        known = {}
+        for kind in ("auction", "bid"):
+            rows = fresh.where(F.col("_side") == kind).select(f"_{kind}.*")
+            known[kind] = rows.unionByName(self.before(rows, kind, number))
+        over, passed = (F.lit(False), F.lit(False)) if now is None else (F.unix_micros("expires") <= now, at <= now)
+        auctions, bids = known["auction"], known["bid"]
+        self.write(self.query(Market(None, auctions.where(over), bids.where(passed))), "out", number)
+        waiting = self.write(auctions.where(~over), "auction", number)
+        earliest = waiting.agg(F.min(F.unix_micros("date_time"))).first()[0]
+        if now is not None:  # of the bids passed few are later than the first opening that waits, and are looked at
+            bids = bids.where(at > (now if earliest is None else min(now, earliest - 1)))
+            mine = waiting.select(F.col("id").alias("auction"), F.lit(True).alias("_waits")).distinct()
+            bids = bids.join(mine, "auction", "left").where(~passed | F.col("_waits")).select(bids.columns)
+        self.write(bids, "bid", number)
+        self.clear(batch.sparkSession, ("newest", "auction", "bid"), number)
+
+
+def start_carrying(rows: DataFrame, table: HottestWindows | AsOfTable | EndedAuctions, checkpoint: str) -> int:
     """Take what there is, and end; the number of the last batch."""
     numbers = []
 

@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelstream import schemas
+from gavelstream.plans import relational
 from gavelstream.sources.auction_tables import Market, read_market
 from gavelstream.sources.readers import Source
 from gavelstream.streaming import auctions
 from gavelstream.streaming import queries as streams
-from gavelstream.streaming.carried import AsOfTable, HottestWindows, start_carrying
+from gavelstream.streaming.carried import AsOfTable, EndedAuctions, HottestWindows, start_carrying
 from gavelstream.streaming.market import stream_market, write_market
 from gavelstream.streaming.sinks import start, start_merging
 from gavelstream.streaming.state import use_rocksdb
 
 #: Later than everything: a last row then takes the watermark past all others.
-LAST_TIME = "TIMESTAMP_NTZ'2100-01-01 00:00:00'"
+LAST_TIME = "TIMESTAMP_NTZ'9999-01-01 00:00:00'"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -40,9 +41,22 @@ def ended(market: Market) -> Market:
     return Market(market.person, market.auction.unionByName(auction), market.bid.unionByName(bid))
 
 
+#: What is made of ended auctions, and of all that came of them.
+ENDED: dict[str, tuple[Callable[[Market], DataFrame], Callable[[DataFrame], DataFrame]]] = {
+    "q9": (relational.q9, lambda found: found),
+}
+
+
+def _ended(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
+    each, result = ENDED[name]
+    table = EndedAuctions(f"{folder}/ended", each, {"auction": 4, "bid": 4})
+    start_carrying(table.rows(market), table, f"{folder}/checkpoint")
+    return result(table.result(market.bid.sparkSession))
+
+
 def _appended(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
     spark = market.bid.sparkSession
-    rows = {"q9": auctions.winning_bids_joined, "q9_session": auctions.bidding_sessions_joined}[name](market)
+    rows = {"q9_session": auctions.bidding_sessions_joined}[name](market)
     start(rows, f"{folder}/checkpoint", kind="parquet", path=f"{folder}/out").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
@@ -95,7 +109,7 @@ def _replayed(run: Run, name: str, last_row: bool, **used: str) -> Callable[[Spa
 
 #: Name -> query over a folder of tables; what ends with the watermark gets a last row behind it.
 REPLAYED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "q9": _replayed(_appended, "q9", True, auction="id itemName description initialBid reserve expires seller category extra", bid="auction bidder price extra"),
+    "q9": _replayed(_ended, "q9", True, auction="id itemName description initialBid reserve expires seller category extra", bid="auction bidder price extra"),
     "q9_session": _replayed(_appended, "q9_session", True, auction="id itemName expires seller", bid="auction price"),
     "q5_many_windows": _replayed(_hottest, "q5_many_windows", True, bid="auction"),
     "q4": _replayed(_merged, "q4", False, auction="id category expires", bid="auction price"),
