@@ -14,11 +14,10 @@ from gavelstream import schemas
 from gavelstream.plans import relational
 from gavelstream.sources.auction_tables import Market, read_market
 from gavelstream.sources.readers import Source
-from gavelstream.streaming import auctions
 from gavelstream.streaming import queries as streams
 from gavelstream.streaming.carried import AsOfTable, EndedAuctions, HottestWindows, start_carrying
 from gavelstream.streaming.market import stream_market, write_market
-from gavelstream.streaming.sinks import start, start_merging
+from gavelstream.streaming.sinks import start_merging
 from gavelstream.streaming.state import use_rocksdb
 
 #: Later than everything: a last row then takes the watermark past all others.
@@ -44,6 +43,7 @@ def ended(market: Market) -> Market:
 #: What is made of ended auctions, and of all that came of them.
 ENDED: dict[str, tuple[Callable[[Market], DataFrame], Callable[[DataFrame], DataFrame]]] = {
     "q9": (relational.q9, lambda found: found),
+    "q9_session": (relational.q9_session, lambda found: found),
 }
 
 
@@ -54,13 +54,6 @@ def _ended(market: Market, name: str, folder: str, places: dict[str, Source]) ->
     return result(table.result(market.bid.sparkSession))
 
 
-def _appended(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
-    spark = market.bid.sparkSession
-    rows = {"q9_session": auctions.bidding_sessions_joined}[name](market)
-    start(rows, f"{folder}/checkpoint", kind="parquet", path=f"{folder}/out").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
-
-
 def _hottest(market: Market, name: str, folder: str, places: dict[str, Source]) -> DataFrame:
     table = HottestWindows(f"{folder}/windows", "auction", slide_seconds=5, slides=60)
     last = start_carrying(table.panes(market.bid, "date_time"), table, f"{folder}/checkpoint")
@@ -110,7 +103,7 @@ def _replayed(run: Run, name: str, last_row: bool, **used: str) -> Callable[[Spa
 #: Name -> query over a folder of tables; what ends with the watermark gets a last row behind it.
 REPLAYED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q9": _replayed(_ended, "q9", True, auction="id itemName description initialBid reserve expires seller category extra", bid="auction bidder price extra"),
-    "q9_session": _replayed(_appended, "q9_session", True, auction="id itemName expires seller", bid="auction price"),
+    "q9_session": _replayed(_ended, "q9_session", True, auction="id itemName expires seller", bid="auction bidder price"),
     "q5_many_windows": _replayed(_hottest, "q5_many_windows", True, bid="auction"),
     "q4": _replayed(_merged, "q4", False, auction="id category expires", bid="auction price"),
     **{n: _replayed(_merged, n, False, auction="id itemName", bid="auction price") for n in ("q101", "q105")},
