@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,13 @@ def covering_masks(radius: int, family: int = 0) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in masks(step)]
 
 
-def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
-    """The unsigned SimHash of a UTF-8 text; bytes.lower and bytes.split treat exactly A-Z and the ASCII white space."""
-    words = text.lower().split()
-    if not words:
-        return 0
+def _words(text: bytes) -> list[bytes]:
+    """bytes.lower and bytes.split treat exactly A-Z and the ASCII white space."""
+    return text.lower().split()
+
+
+def _hashes(words: list[bytes], shingle_words: int, seed: int) -> tuple[Iterator[np.ndarray], int]:
+    """The unsigned hashes of all shingles, in blocks, and their number; the whole sequence is one if it has fewer words."""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -61,14 +64,23 @@ def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     blocks = ((starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist()) for k in range(0, len(starts), BLOCK))
-    return _majority(([digest(joined[s:e], seed) for s, e in zip(*block)] for block in blocks), len(starts))
+    return (np.array([digest(joined[s:e], seed) for s, e in zip(*block)], np.uint64) for block in blocks), len(starts)
+
+
+def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
+    """The unsigned SimHash of a UTF-8 text."""
+    return _fingerprint(_words(text), shingle_words, seed)
 
 
-def _majority(blocks: Iterable[list[int]], n: int) -> int:
+def _fingerprint(words: list[bytes], shingle_words: int = 4, seed: int = 42) -> int:
+    return _majority(*_hashes(words, shingle_words, seed)) if words else 0
+
+
+def _majority(blocks: Iterable[np.ndarray], n: int) -> int:
     """The bits that are set in over half of n hashes."""
     counts = np.zeros(BITS, np.int64)
     for hashes in blocks:
-        rows = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+        rows = hashes.view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
@@ -253,24 +265,35 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int =
 
 def shingle_set(text: bytes, shingle_words: int = 5, seed: int = 42) -> list[int]:
     """Signed hashes of the text's distinct shingles; of the whole sequence if it has fewer words, none if it has no words."""
-    words = text.lower().split()
-    shingles = {b" ".join(words[k : k + shingle_words]) for k in range(max(1, len(words) - shingle_words + 1))} if words else ()
-    return [h - 2**64 if h >= 2**63 else h for h in (xxhash.xxh64_intdigest(x, seed) for x in shingles)]
+    return _distinct(_words(text), shingle_words, seed).tolist()
 
 
-#: A shingle that stands in the prefixes of more sets than this is compared by blocks.
-COMMON = 32
+def _distinct(words: list[bytes], shingle_words: int, seed: int = 42) -> np.ndarray:
+    """shingle_set of a text's words, sorted."""
+    if not words:
+        return np.empty(0, np.int64)
+    hashes = np.sort(np.concatenate([b.view(np.int64) for b in _hashes(words, shingle_words, seed)[0]]))
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
+
+
+#: A shingle that stands in the prefixes of more sets than this is compared by blocks. Twice as many as the sample finds
+#: on average (LEAST), so that few shingles are neither put last nor met in pairs: groups of those grow together.
+COMMON = 128
+#: A shingle is frequent if it comes so often in a sample of one text in SAMPLED.
+LEAST, SAMPLED = 4, 16
 #: Shingles of the sets of a block, and sets of a block that is compared by parities, about.
 BLOCK_SHINGLES, BLOCK_NODES = 400_000, 2048
-#: Frequent shingles that are put last in the order of prefixes, at most; the order decides on the time taken, not on the result.
-FREQUENT = 100_000
+#: Frequent shingles that are put last in the order of prefixes, at most (16 MB); the order decides on the time taken, not on the result.
+FREQUENT = 2_000_000
 #: Rows of the prefix table that are looked at together.
 ROWS = 200_000
+#: Pairs that are made of them at once.
+PAIRS = 1 << 20
 
 
-def _sorted_set(text: bytes, shingle_words: int) -> tuple[np.ndarray, int]:
-    """The sorted set of the text's shingles, and its signed hash."""
-    shingles = np.unique(np.array(shingle_set(text, shingle_words), np.int64))
+def _sorted_set(words: list[bytes], shingle_words: int) -> tuple[np.ndarray, int]:
+    """The sorted set of the words' shingles, and its signed hash."""
+    shingles = _distinct(words, shingle_words)
     node = xxhash.xxh64_intdigest(shingles.tobytes())
     return shingles, node - 2**64 if node >= 2**63 else node
 
@@ -324,22 +347,20 @@ def _prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np
     return np.concatenate([shingles[~last], shingles[last]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
-def _candidates(rows: tuple[np.ndarray, ...], starts: np.ndarray, sizes: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """a, b, i, j, na, nb: all pairs of each run of rows (node, place, n) that can be similar by their n."""
+def _candidates(rows: tuple[np.ndarray, ...], starts: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[list[np.ndarray]]:
+    """a, b, i, j, na, nb: all pairs of each run of rows (node, place, n) that can be similar by their n, in parts of about PAIRS."""
     node, place, n = rows
-    out: list[list[np.ndarray]] = [[] for _ in range(6)]
     for d in np.unique(sizes[sizes > 1]).tolist():
         at = starts[sizes == d]
-        for y in range(1, d):
-            for x in range(y):
-                left, right = at + x, at + y
-                close = n[left] >= similarity * n[right] - 1e-9  # runs are sorted by n
-                left, right = left[close], right[close]
-                swap = node[left] > node[right]
-                a, b = np.where(swap, right, left), np.where(swap, left, right)
-                for k, values in enumerate((node[a], node[b], place[a], place[b], n[a], n[b])):
-                    out[k].append(values)
-    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+        y, x = np.tril_indices(d, -1)
+        step = max(1, PAIRS // len(x))
+        for k in range(0, len(at), step):
+            left, right = ((at[k : k + step, None] + side).ravel() for side in (x, y))
+            close = n[left] >= similarity * n[right] - 1e-9  # runs are sorted by n
+            left, right = left[close], right[close]
+            swap = node[left] > node[right]
+            a, b = np.where(swap, right, left), np.where(swap, left, right)
+            yield [node[a], node[b], place[a], place[b], n[a], n[b]]
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -434,7 +455,7 @@ def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
         ends = np.unique(np.stack([node[first], node])[:, ~breaks], axis=1)
         return emit([*ends, *np.zeros((4, ends.shape[1]), np.int64)], True)
 
-    def look(rows: list[np.ndarray], open_shingle: int | None, last: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray], int | None]:
+    def look(rows: list[np.ndarray], open_shingle: int | None, last: bool) -> tuple[Iterator[pa.RecordBatch], list[np.ndarray], int | None]:
         """Batches to emit, the rows of the unfinished run, and its shingle if it is known to be common."""
         shingle, node, place, n = rows
         starts = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1))
@@ -445,11 +466,9 @@ def _meetings(prefixes: DataFrame, similarity: float) -> DataFrame:
         ended = ~common
         if not last:
             ended[-1] = False
-        columns = _candidates((node, place, n), starts[ended], sizes[ended], similarity)
-        if len(columns[0]):
-            out.append(emit(columns, False))
+        pairs = (emit(columns, False) for columns in _candidates((node, place, n), starts[ended], sizes[ended], similarity) if len(columns[0]))
         keep = slice(len(shingle), None) if last else slice(len(shingle) - 1, None) if common[-1] else slice(int(starts[-1]), None)
-        return out, [c[keep] for c in rows], int(shingle[-1]) if common[-1] else None
+        return chain(out, pairs), [c[keep] for c in rows], int(shingle[-1]) if common[-1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held, open_shingle = [], 0, None
@@ -529,18 +548,19 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
 
     def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([x for s in sets for x in s], pa.int64())], ["shingle"])
+            sets = [_distinct(_words(t.as_py()), shingle_words) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else [], pa.int64())], ["shingle"])
 
-    sample = texts.where("pmod(xxhash64(doc_id), 16) = 0").mapInArrow(all_shingles, "shingle long")
-    frequent = _most_frequent(sample.groupBy("shingle").count().where("count >= 4"))
+    sample = texts.where(f"pmod(xxhash64(doc_id), {SAMPLED}) = 0").mapInArrow(all_shingles, "shingle long")
+    frequent = _most_frequent(sample.groupBy("shingle").count().where(f"count >= {LEAST}"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_sorted_set(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.binary())]
+            texts = [_words(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            sets = [_sorted_set(words, shingle_words) for words in texts]
             first = pa.array([_prefix(s, frequent, similarity) for s, _ in sets], pa.list_(pa.int64()))
             cells = pa.array([parity(s) for s, _ in sets], pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text").cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
+            fps = np.fromiter(map(_fingerprint, texts), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for _, k in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int32()), cells, first, pa.array(fps)], ["doc_id", "node", "n", "cells", "prefix", "fp"])
 
     rows = stash(texts.mapInArrow(prefixes, "doc_id long, node long, n int, cells binary, prefix array<long>, fp long"), "similar")
@@ -587,7 +607,7 @@ def similar_pairs(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_sorted_set(zstandard.ZstdDecompressor().decompress(t.as_py()), shingle_words) for t in batch.column("body")]
+            sets = [_sorted_set(_words(zstandard.ZstdDecompressor().decompress(t.as_py())), shingle_words) for t in batch.column("body")]
             yield pa.RecordBatch.from_arrays([pa.array([k for _, k in sets], pa.int64()), pa.array([s for s, _ in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
     bodies = texts.mapInArrow(packed, "doc_id long, body binary")
